@@ -3,14 +3,37 @@
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each context, so that they need no copy of it."""
+    context = spark.sparkContext
+    if getattr(context, "_barloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    out.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), os.path.dirname(root)))
+    path = os.path.join(tempfile.mkdtemp(prefix="barloom-"), "barloom.zip")  # on the driver, which serves it
+    with open(path, "wb") as file:
+        file.write(packed.getvalue())
+    context.addPyFile(path)
+    context._barloom_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table `name` of `folder`; columns and filters are pushed into the scan by Catalyst."""
+    shipped(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
