@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STRETCH_S = 1 << 20
+#: Slots made at once.
+RUN = 4096
 
 
 def slots(listings: DataFrame) -> DataFrame:
@@ -30,7 +32,10 @@ def slots(listings: DataFrame) -> DataFrame:
         (F.col("step_minutes").cast("bigint") * 60_000_000).alias("step"),
         F.coalesce(F.col("trading_session") == "fx", F.lit(False)).alias("fx"),
     ).where("begins < ends and step > 0").distinct()
-    exploded = each.select("provider", "symbol", "step", "fx", F.explode(F.sequence("begins", F.col("ends") - 1, "step")).alias("slot"))
+    n = F.ceil((F.col("ends") - F.col("begins")) / F.col("step"))
+    runs = each.withColumn("n", n).withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN))))  # no long arrays
+    places = F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("n")) - 1)
+    exploded = runs.withColumn("place", F.explode(places)).select("provider", "symbol", "step", "fx", (F.col("begins") + F.col("place") * F.col("step")).alias("slot"))
     minute = F.pmod(F.floor(F.col("slot") / 60_000_000) + 3 * 1440, F.lit(7 * 1440))  # of the week that begins on Monday; 1970 began on a Thursday
     in_session = ~F.col("fx") | (minute < 5 * 1440) | (minute >= 6 * 1440 + 22 * 60)
     return exploded.where(in_session).select("provider", "symbol", "slot", "step")

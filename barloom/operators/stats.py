@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions import dist
 from barloom.functions.semantics import until_now, whole
@@ -19,17 +20,17 @@ from barloom.operators.ranks import average_ranks, quantiles
 from barloom.operators.scan import folded, scanned
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def spearman_p(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if r != r else dist.spearman_p(r, int(k)) for r, k in zip(rho.astype(float), n)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _binomial_p(k: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([dist.binomial_two_sided_half(int(a), int(b)) if b else None for a, b in zip(k, n)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([None if a != a else dist.chi_square_tail(a, d) for a, d in zip(x, dof)], dtype=float)
 
