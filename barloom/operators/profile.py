@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 
 def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
-    """(load, column_name, num, txt, n): how often each value of each column occurs in each load.
+    """(load, column_no, num, txt, n): how often each value of each column occurs in each load; column_no is the place in
+    `columns`, as names would be most of what is shuffled.
 
     Numbers and booleans go to num; all else to txt as a string, timestamps as microseconds in num. NaN counts as
     null. A null is a row with num and txt null. An empty table gives no row; columns of `df` that aren't named are
@@ -24,7 +25,7 @@ def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     cells = []
-    for name in columns:
+    for place, name in enumerate(columns):
         c, kind = F.col(f"`{name}`"), kinds[name]
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
             num, txt = F.unix_micros(c.cast("timestamp")).cast("double"), F.lit(None).cast("string")
@@ -33,9 +34,9 @@ def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
             num, txt = F.when(~F.isnan(num), num), F.lit(None).cast("string")
         else:
             num, txt = F.lit(None).cast("double"), c.cast("string")
-        cells.append(F.struct(F.lit(name).alias("column_name"), num.alias("num"), txt.alias("txt")))
+        cells.append(F.struct(F.lit(place).alias("column_no"), num.alias("num"), txt.alias("txt")))
     long = df.select(F.col(f"`{load}`").alias("load"), F.explode(F.array(*cells)).alias("cell"))
-    return long.groupBy("load", "cell.column_name", "cell.num", "cell.txt").agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy("load", "cell.column_no", "cell.num", "cell.txt").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _bin() -> Column:
@@ -63,11 +64,11 @@ def profile(df: DataFrame, load: str, columns: Sequence[str], patterns: Mapping[
     unmatched: Column = F.lit(False)
     for name, pattern in (patterns or {}).items():
         value = F.coalesce(txt, num.cast("string"))
-        unmatched = unmatched | ((F.col("column_name") == name) & there & ~value.rlike(pattern))
+        unmatched = unmatched | ((F.col("column_no") == list(columns).index(name)) & there & ~value.rlike(pattern))
     counted = lambda test: F.sum(F.when(test, n).otherwise(0))
     binned = (
         value_counts(df, load, columns)
-        .groupBy("load", "column_name", _bin().alias("bin"))
+        .groupBy("load", "column_no", _bin().alias("bin"))
         .agg(
             F.sum(n).alias("n_rows"),
             counted(~there).alias("n_nulls"),
@@ -85,7 +86,7 @@ def profile(df: DataFrame, load: str, columns: Sequence[str], patterns: Mapping[
         )
     )
     total = [F.sum(c).alias(c) for c in ("n_rows", "n_nulls", "n_zeros", "n_negative", "n_distinct", "n_unmatched")]
-    folded = binned.groupBy("load", "column_name").agg(
+    folded = binned.groupBy("load", "column_no").agg(
         *total,
         F.sum("n_positive").alias("n_positive"),
         F.min("min_num").alias("min_num"),
@@ -99,7 +100,7 @@ def profile(df: DataFrame, load: str, columns: Sequence[str], patterns: Mapping[
     present = F.col("n_rows") - F.col("n_nulls")
     return folded.select(
         "load",
-        "column_name",
+        F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column_no") + 1).alias("column_name"),
         "n_rows",
         "n_nulls",
         "n_zeros",
