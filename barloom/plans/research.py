@@ -891,3 +891,26 @@ def multi_factor(spark, d):
 def multi_factor_backtest(spark, d):
     config = bt.MultiFactorConfig(hp_lambda=1e4, hp_window=50, ma_short=10, ma_long=30, norm_window=100)
     return bt.multi_factor_backtest(hourly(spark, d), config)
+
+
+# -- long series
+
+
+def minutes(spark: SparkSession, d: str) -> DataFrame:
+    """One series of minute bars of all events: tens of thousands of bars from 100,000 events."""
+    e = table(spark, d, "events")
+    return src.bars(e, F.lit("ALL"), F.col("ts"), F.col("value"), [F.col("event_id")], "minute")
+
+
+@query()
+def hp_minutes(spark, d):
+    """Six one-sided trends over a window of 500 rows of a long series, cut into stretches that run in parallel."""
+    lambdas = {"hp_1m": 1e6, "hp_10m": 1e7, "hp_100m": 1e8, "hp_1b": 1e9, "hp_3_9b": 3.9e9, "hp_100b": 1e11}
+    return shown(causal_trends(minutes(spark, d), "close", lambdas, 500, stretch_rows=8000), *lambdas)
+
+
+@query()
+def rolling_ic_minutes(spark, d):
+    """Rank correlation over the last 1,000 rows of a long series."""
+    s = Series(minutes(spark, d)).momentum("mom", period=24).forward_return("f24", 24)
+    return stats.rolling_information(s.df, "mom", "f24", 1000).select(*KEY, "rolling_ic")
