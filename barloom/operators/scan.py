@@ -120,3 +120,10 @@ def folded(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], step:
     each = parts.select(*keys, F.posexplode("_sums").alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
     ordered = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_l"))  # `width` numbers a series
     return ordered.select(*keys, F.transform("_l", lambda s: s["_v"]).alias("sums"))
+
+
+def by_stretch(df: DataFrame, keys: Sequence[str], order: str, rows: int, reach: int, make: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:
+    """make(df, keys) over stretches of each series instead of whole series, for features that look back at most `reach`
+    rows: the way for a series that holds a third of all rows. make gets the keys to partition by."""
+    out = make(stretched(df, keys, order, rows, reach), (*keys, "_stretch"))
+    return out.where("_own").drop("_own", "_stretch")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import backtest as bt
 from barloom.operators import machines, quality, signals, stats
+from barloom.operators.scan import by_stretch
 from barloom.operators.series import Series
 from barloom.operators.trend import causal_trends, endpoint_weights, two_sided_trend
 from barloom.sources import bars as src
@@ -155,6 +156,13 @@ def rolling_vol_z(spark, d):
     return shown(Series(hourly(spark, d)).log_return("lr").volatility("rv", "lr").zscore("z", "lr").df, "rv", "z")
 
 
+@query(SQL["rolling_vol_z"])
+def rolling_vol_z_stretched(spark, d):
+    """The same over stretches of 300 rows of each series."""
+    make = lambda df, keys: Series(df, keys).log_return("lr").volatility("rv", "lr").zscore("z", "lr").df
+    return shown(by_stretch(hourly(spark, d), ("symbol",), "ts", 300, 20, make), "rv", "z")
+
+
 @query(
     chain(
         f"ln(close) - lag(ln(close), 10) over {W} as mom, close - lag(close) over {W} as c",
@@ -914,3 +922,113 @@ def rolling_ic_minutes(spark, d):
     """Rank correlation over the last 1,000 rows of a long series."""
     s = Series(minutes(spark, d)).momentum("mom", period=24).forward_return("f24", 24)
     return stats.rolling_information(s.df, "mom", "f24", 1000).select(*KEY, "rolling_ic")
+
+
+# -- comparisons of results
+
+
+def _yearly_sql() -> str:
+    return "with y as (" + SQL["yearly"] + ")"
+
+
+@query(
+    f"""{_yearly_sql()} select symbol, case when part <= 1998 then 'is' else 'oos' end as period, count(*) as years, count(*) filter (where sharpe > 0) as positive,
+  round(median(sharpe), 4) as median_sharpe, arg_max(part, sharpe) as best_year, arg_min(part, sharpe) as worst_year from y group by 1, 2"""
+)
+def yearly_rollup(spark, d):
+    y = yearly(spark, d).withColumn("period", F.when(F.col("part") <= 1998, "is").otherwise("oos"))
+    return y.groupBy("symbol", "period").agg(
+        F.count(F.lit(1)).alias("years"), F.count_if(F.col("sharpe") > 0).alias("positive"), F.round(F.median("sharpe"), 4).alias("median_sharpe"), F.max_by("part", "sharpe").alias("best_year"), F.min_by("part", "sharpe").alias("worst_year")
+    )
+
+
+@query(_GRID_SQL + " select a.symbol, a.t1, a.sharpe as sharpe_20, b.sharpe as sharpe_40, round(b.sharpe - a.sharpe, 4) as delta, b.n_trades - a.n_trades as trades_delta from r a join r b on a.symbol = b.symbol and a.t1 = b.t1 and a.t2 = 20 and b.t2 = 40")
+def grid_deltas(spark, d):
+    """Two result tables side by side on their parameters, with differences."""
+    g = _grid(spark, d)
+    a = g.where("t2 = 20").select("symbol", "t1", F.col("sharpe").alias("sharpe_20"), F.col("n_trades").alias("_n"))
+    b = g.where("t2 = 40").select("symbol", "t1", F.col("sharpe").alias("sharpe_40"), "n_trades")
+    return a.join(b, ["symbol", "t1"]).select("symbol", "t1", "sharpe_20", "sharpe_40", F.round(F.col("sharpe_40") - F.col("sharpe_20"), 4).alias("delta"), (F.col("n_trades") - F.col("_n")).alias("trades_delta"))
+
+
+@query(
+    f"""with {H}, a as (select ts, close as a from h where symbol = 'click'), b as (select ts, close as b from h where symbol = 'view')
+select 'inner' as kind, count(*) as n, round(sum(a - b), 4) as gap from a join b using (ts) union all select 'full', count(*), round(sum(coalesce(a, 0) - coalesce(b, 0)), 4) from a full join b using (ts)
+union all select 'left', count(*), round(sum(a - coalesce(b, 0)), 4) from a left join b using (ts) union all select 'anti', count(*), round(sum(a), 4) from a anti join b using (ts) union all select 'semi', count(*), round(sum(a), 4) from a semi join b using (ts)"""
+)
+def alignments(spark, d):
+    """Series aligned on time: inner, full outer, left, anti and semi."""
+    h = hourly(spark, d)
+    a = h.where("symbol = 'click'").select("ts", F.col("close").alias("a"))
+    b = h.where("symbol = 'view'").select("ts", F.col("close").alias("b"))
+    out = None
+    for kind, how in (("inner", "inner"), ("full", "full"), ("left", "left"), ("anti", "left_anti"), ("semi", "left_semi")):
+        j = a.join(b, "ts", how)
+        gap = F.coalesce("a", F.lit(0.0)) - (F.coalesce("b", F.lit(0.0)) if how in ("inner", "full", "left") else F.lit(0.0))
+        one = j.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(gap), 4).alias("gap")).select(F.lit(kind).alias("kind"), "n", "gap")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    f"""with {H}, a as (select ts from h where symbol = 'click'), b as (select ts from h where symbol = 'view')
+select 'union' as kind, count(*) as n from (select ts from a union select ts from b) union all select 'union_all', count(*) from (select ts from a union all select ts from b)
+union all select 'intersect', count(*) from (select ts from a intersect select ts from b) union all select 'except', count(*) from (select ts from a except select ts from b)"""
+)
+def set_operations(spark, d):
+    h = hourly(spark, d)
+    a, b = (h.where(F.col("symbol") == s).select("ts") for s in ("click", "view"))
+    one = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return one(a.union(b).distinct(), "union").union(one(a.union(b), "union_all")).union(one(a.intersect(b), "intersect")).union(one(a.subtract(b), "except"))
+
+
+@query(_FEATURES_SQL + f", e as (select *, {roll('avg', 'close', 5)} - {roll('avg', 'close', 20)} as sp from f) select symbol, ts, coalesce(abs(td) > 0.5, false) as strong, coalesce(sign(td) = sign(sp), false) as aligned, td is not null and sp is not null as both_there from e")
+def entry_quality(spark, d):
+    s = Series(_features(spark, d)).ma_spread("sp", "close", 5, 20).df
+    truth = lambda c: F.coalesce(c, F.lit(False))
+    return s.select(*KEY, truth(F.abs("td") > 0.5).alias("strong"), truth(F.signum("td") == F.signum("sp")).alias("aligned"), (F.col("td").isNotNull() & F.col("sp").isNotNull()).alias("both_there"))
+
+
+@query(f"with {H} select symbol, count(*) filter (where ts <= timestamp '2024-01-20') as before, count(*) filter (where ts >= timestamp '2024-01-21') as after, count(*) as n from h group by 1")
+def midnight_cut(spark, d):
+    """A cut at midnight of a day and a start on the next leave the day's other bars in neither slice."""
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    return hourly(spark, d).groupBy("symbol").agg(F.count_if(F.col("ts") <= at("2024-01-20")).alias("before"), F.count_if(F.col("ts") >= at("2024-01-21")).alias("after"), F.count(F.lit(1)).alias("n"))
+
+
+@query(_BT_SQL + " select symbol, sum(abs(trade)) as turnover, round(sum(cost) * 10000, 4) as cost_bps, round(sum(cost) * 10000 / count(*) * 24, 6) as cost_bps_a_day, round(sum(net_return) filter (where net_return > 0) / nullif(-sum(net_return) filter (where net_return < 0), 0), 4) as profit_factor from q group by 1")
+def turnover(spark, d):
+    r = F.col("net_return")
+    return _run(spark, d).groupBy("symbol").agg(
+        F.sum(F.abs("trade")).alias("turnover"), F.round(F.sum("cost") * 10_000, 4).alias("cost_bps"), F.round(F.sum("cost") * 10_000 / F.count(F.lit(1)) * 24, 6).alias("cost_bps_a_day"),
+        F.round(F.try_divide(F.sum(F.when(r > 0, r)), -F.sum(F.when(r < 0, r))), 4).alias("profit_factor"),
+    )
+
+
+_VARIANT_SQL = (
+    _REGIME_CHAIN.replace("with recursive ", "with recursive ", 1)
+    + f""", a0 as (select *, {roll('avg', 'close', 5)} - {roll('avg', 'close', 20)} as sp from g), a as (select *, case when sp > 0 then 1.0::double when sp is not null then -1.0::double end as s from a0),
+v as (select symbol, ts, close, v.variant, case v.variant when 'base' then s when 'reversed' then -s else case when regime = 1 then -s else 0 end end as signal from a, (values ('base'), ('reversed'), ('gated')) v(variant)),
+c as (select *, coalesce(lag(signal) over w, 0) as position, coalesce(close / nullif(lag(close) over w, 0) - 1, 0) as ret from v window w as (partition by symbol, variant order by ts)),
+e as (select *, coalesce(position - lag(position) over (partition by symbol, variant order by ts), 0) as trade from c),
+n as (select *, position * ret - abs(trade) * 0.00009 as net_return from e),
+m as (select symbol, variant, round(avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt(6048), 4) as sharpe, floor(sum(abs(trade)) / 2)::bigint as n_trades from n group by 1, 2),
+b as (select symbol, sharpe as base from m where variant = 'base')"""
+)
+
+
+@query(_VARIANT_SQL + " select m.symbol, variant, sharpe, n_trades, n_trades < 30 as underpowered, coalesce(sharpe < 0.5 * base, false) as collapsed from m join b on m.symbol = b.symbol")
+def variants(spark, d):
+    """One combination as it is, reversed, and reversed and gated by regime, against the first."""
+    s = Series(_features(spark, d)).vol_regime("regime", "lr", 20, 100).crossover("s", "close", 5, 20).df
+    grid = spark.createDataFrame([("base",), ("reversed",), ("gated",)], "variant string")
+    signal = F.when(F.col("variant") == "base", F.col("s")).when(F.col("variant") == "reversed", -F.col("s")).otherwise(machines.regime_gate(-F.col("s"), F.col("regime")))
+    by = ("symbol", "variant")
+    m = bt.metrics(bt.backtest(bt.crossed(s.select(*KEY, "close", "s", "regime"), grid).withColumn("signal", signal), "signal", bt.FxCost(0.7, 0.2), by), by, by)
+    base = m.where("variant = 'base'").select("symbol", F.col("sharpe").alias("base"))
+    return m.join(base, "symbol").select("symbol", "variant", "sharpe", "n_trades", (F.col("n_trades") < 30).alias("underpowered"), F.coalesce(F.col("sharpe") < 0.5 * F.col("base"), F.lit(False)).alias("collapsed"))
+
+
+@query(_GRID_SQL + " select t1, t2, grouping_id(t1, t2) as level, count(*) as n, round(max(sharpe), 4) as best from r group by cube (t1, t2)")
+def grid_cube(spark, d):
+    return _grid(spark, d).cube("t1", "t2").agg(F.grouping_id("t1", "t2").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.max("sharpe"), 4).alias("best"))

@@ -121,3 +121,18 @@ def test_series_do_not_mix_and_share_one_exchange(spark):
     pd.testing.assert_frame_equal(all_causal(two).where(F.col("symbol") == "t").orderBy("ts").toPandas(), alone)
     windows = Series(two).log_return("lr").volatility("rv", "lr", 5).atr("atr", 5).sma("m", "close", 4).df
     assert windows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("rows", [3, 11, 500])
+def test_features_over_stretches_equal_those_over_series(spark, rows):
+    from barloom.operators.scan import by_stretch
+
+    two = bars(spark, walk(50)).union(bars(spark, walk(35, 7), symbol="t"))
+
+    def make(df, keys=("symbol",)):
+        return Series(df, keys).log_return("lr").zscore("z", "lr", 6, 3).atr("a", 5).crossover("x", "close", 2, 6).rank("r", "close", 7, 2).df
+
+    def rounded(df):
+        return {(r.symbol, r.ts): tuple(None if v is None else round(v, 9) for v in (r.lr, r.z, r.a, r.x, r.r)) for r in df.collect()}
+
+    assert rounded(by_stretch(two, ("symbol",), "ts", rows, 8, make)) == rounded(make(two))
