@@ -80,9 +80,9 @@ def p2_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FIELD = r"""[ \t\r]*("([^"]|"")*"|[^"@]*)[ \t\r]*"""
-P2_FOUND_SQL = r"""
+_P2_SQL = r"""
 with l as (
-  select line_id, layout, delim, case when line_no = 1 then ltrim(line, chr(65279)) else line end as line
+  select line_id, file_name, layout, delim, case when line_no = 1 then ltrim(line, chr(65279)) else line end as line
   from raw_lines where not (layout = 'headed' and line_no = 1)),
 q as (
   select *, case delim when ',' then regexp_full_match(line, '(?s)FCOMMA(,FCOMMA)*') else regexp_full_match(line, '(?s)FSEMI(;FSEMI)*') end as closed,
@@ -97,13 +97,22 @@ t as (
     case when layout = 'broker' then v[3:7] else v[2:8] end as nums
   from f),
 r as (
-  select line_id, case when not closed then 'quoting' when len(v) <> case layout when 'broker' then 7 else 9 end then 'column_count'
+  select *, case when not closed then 'quoting' when len(v) <> case layout when 'broker' then 7 else 9 end then 'column_count'
     when not timed then 'bad_datetime'
     when not coalesce(list_bool_and(list_transform(nums, lambda x, i: regexp_full_match(x, '[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?') or (x = '' and i = 5))), false) then 'bad_value' end as reason
   from t)
-select line_id, reason from r where reason is not null
 """.replace("FCOMMA", _FIELD.replace("@", ",").replace("(", "(?:", 2)).replace("FSEMI", _FIELD.replace("@", ";").replace("(", "(?:", 2))
 
+P2_FOUND_SQL = _P2_SQL + "select line_id, reason from r where reason is not null"
+P2_ROWS_SQL = (
+    _P2_SQL
+    + r"""select line_id, file_name, layout, case when layout = 'broker' then strptime(v[1] || ' ' || v[2], '%Y.%m.%d %H:%M')
+  else v[1][1:19]::timestamp - case when length(v[1]) > 20 then to_minutes((v[1][20:20] || '1')::int * (v[1][21:22]::int * 60 + v[1][24:25]::int)) else to_minutes(0) end end as datetime,
+  """
+    + ", ".join(f"try_cast(ltrim(nums[{i + 1}], '+') as double) as {c}" for i, c in enumerate(("open", "high", "low", "close", "volume", "dividends", "stock_splits")))
+    + " from r where reason is null"
+)
+
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The one instant of each stamp that means a time."""
@@ -231,6 +240,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_rows, p3_f
 SQL = {
     "p1_found": P1_FOUND_SQL,
     "p2_found": P2_FOUND_SQL,
+    "p2_rows": P2_ROWS_SQL,
     "p4_found": P4_FOUND_SQL,
     "p4_grid": P4_GRID_SQL,
     "p5_found": P5_FOUND_SQL,
