@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from barloom.functions import dist
 from barloom.functions.semantics import until_now, whole
 from barloom.operators.ranks import average_ranks, quantiles
-from barloom.operators.scan import folded, scanned
+from barloom.operators.scan import by_stretch, folded, scanned
 
 
 @F.pandas_udf(T.DoubleType())
@@ -92,9 +92,35 @@ def monotonicity(means: DataFrame, by: Sequence[str]) -> DataFrame:
     return ics.select(*by, F.col("ic").alias("rho"), "p_value", F.coalesce((F.abs("ic") > 0.8) & (F.col("p_value") < 0.05), F.lit(False)).alias("is_monotonic"))
 
 
-def rolling_information(df: DataFrame, x: str, y: str, n: int, out: str = "rolling_ic", keys: Sequence[str] = ("symbol",), order: str = "ts") -> DataFrame:
+def _slid(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Rank correlations of all windows of n: ranks are kept as the window slides, one comparison of the window with the
+    value that leaves and one with the value that comes."""
+    out = np.empty(len(a) - n + 1)
+    rings, ranks_ = [], []
+    for v in (a, b):
+        first = v[:n].copy()
+        rank = np.empty(n, np.int64)
+        rank[first.argsort(kind="stable")] = np.arange(n)
+        rings.append(first)
+        ranks_.append(rank)
+    scale = 6 / (n * (n * n - 1.0))
+    for i in range(len(out)):
+        if i:
+            at = (i - 1) % n
+            for v, ring, rank in zip((a, b), rings, ranks_):
+                new = v[i + n - 1]
+                rank -= ring >= ring[at]  # the value that leaves came first, so equal ones ranked above it
+                ring[at] = new
+                rank += ring > new
+                rank[at] = np.count_nonzero(ring <= new) - 1
+        gap = ranks_[0] - ranks_[1]
+        out[i] = 1 - scale * float(gap @ gap)
+    return out
+
+
+def rolling_information(df: DataFrame, x: str, y: str, n: int, out: str = "rolling_ic", keys: Sequence[str] = ("symbol",), order: str = "ts", stretch_rows: int | None = None) -> DataFrame:
     """Rows where both values are there, with the rank correlation of the last n of them; ranks are ordinal, of equal
-    values the earlier is the lower."""
+    values the earlier is the lower. With stretch_rows a series is cut into stretches that run in parallel."""
 
     def step(block: dict[str, np.ndarray], state: dict) -> dict[str, np.ndarray]:
         a = np.concatenate((state.get("a", np.zeros(0)), block[x]))
@@ -102,22 +128,15 @@ def rolling_information(df: DataFrame, x: str, y: str, n: int, out: str = "rolli
         size = len(block[x])
         result = np.full(size, np.nan)
         if len(a) >= n:
-            wa, wb = (np.lib.stride_tricks.sliding_window_view(v, n) for v in (a, b))
-            for at in range(0, len(wa), max(1, 2_000_000 // n)):
-                pa_, pb = wa[at : at + max(1, 2_000_000 // n)], wb[at : at + max(1, 2_000_000 // n)]
-                order_a = pa_.argsort(1, kind="stable")
-                rank_b = np.empty(pb.shape, np.int64)
-                np.put_along_axis(rank_b, pb.argsort(1, kind="stable"), np.arange(n)[None, :], 1)
-                # Walking along a's order, a's rank is the place.
-                gap = np.take_along_axis(rank_b, order_a, 1) - np.arange(n)
-                rho = 1 - 6 * (gap.astype(float) ** 2).sum(1) / (n * (n * n - 1.0))
-                first = len(a) - size
-                place = at + n - 1 - first
-                result[max(place, 0) : place + len(rho)] = rho[max(0, -place) :]
-        state["a"], state["b"] = a[-(n - 1) :], b[-(n - 1) :]
+            rho = _slid(a, b, n)
+            result[size - len(rho) :] = rho
+        state["a"], state["b"] = a[len(a) - min(len(a), n - 1) :], b[len(b) - min(len(b), n - 1) :]
         return {out: result}
 
-    return scanned(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, order, step, {out: "double"})
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if stretch_rows is None:
+        return scanned(rows, keys, order, step, {out: "double"})
+    return by_stretch(rows, keys, order, stretch_rows, n - 1, lambda d, k: scanned(d, k, order, step, {out: "double"}))
 
 
 def rolling_summary(rolled: DataFrame, by: Sequence[str], c: str = "rolling_ic") -> DataFrame:

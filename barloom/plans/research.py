@@ -912,9 +912,9 @@ def minutes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hp_minutes(spark, d):
-    """Six one-sided trends over a window of 500 rows of a long series, cut into stretches that run in parallel."""
+    """Six one-sided trends over a window of 500 rows of a long series."""
     lambdas = {"hp_1m": 1e6, "hp_10m": 1e7, "hp_100m": 1e8, "hp_1b": 1e9, "hp_3_9b": 3.9e9, "hp_100b": 1e11}
-    return shown(causal_trends(minutes(spark, d), "close", lambdas, 500, stretch_rows=8000), *lambdas)
+    return shown(causal_trends(minutes(spark, d), "close", lambdas, 500), *lambdas)
 
 
 @query()

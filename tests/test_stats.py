@@ -89,6 +89,13 @@ def test_rolling_information(spark):
             assert math.isclose(got[i], np.corrcoef(a, b)[0, 1], abs_tol=1e-12)
 
 
+def test_rolling_information_over_stretches(spark):
+    df, _ = pairs(spark, 90, 5)
+    key = lambda d: {r.ts: r.rolling_ic for r in d.collect()}
+    whole = key(stats.rolling_information(df, "x", "y", 12))
+    assert whole == key(stats.rolling_information(df, "x", "y", 12, stretch_rows=10)) and len(whole) == 80
+
+
 def ols(y, x):
     beta, *_ = np.linalg.lstsq(x, y, rcond=None)
     e = y - x @ beta
