@@ -331,7 +331,8 @@ def lambda_sens(spark, d):
 
 @query()
 def hp_two_sided(spark, d):
-    return shown(two_sided_trend(hourly(spark, d), "close"), "trend", "cycle")
+    s = Series(two_sided_trend(hourly(spark, d), "close")).zscore("cycle_z", "cycle", 50)
+    return shown(s.df, "trend", "cycle", "cycle_z")
 
 
 @query()
@@ -785,9 +786,6 @@ def grid_pivot(spark, d):
     return p.withColumnsRenamed({"20": "t2_20", "40": "t2_40"})
 
 
-_DAILY_BT = _BT_SQL.replace(H, D)
-
-
 def _daily_run(spark, d) -> DataFrame:
     return Series(daily(spark, d)).crossover("signal", "close", 5, 20).df
 
@@ -875,6 +873,41 @@ def cost_scenarios(spark, d):
     return out.groupBy("symbol", "t1", "t2", "name").agg(F.round(F.try_divide(F.avg(r), F.stddev_samp(r)) * F.sqrt(F.lit(6048)), 4).alias("sharpe"))
 
 
+_OOS_SQL = f"""with recursive {D}, m as (select *, {", ".join(f"{roll('avg', 'close', n)} as m{n}" for n in (5, 10, 20, 40))} from h),
+g as (select m.*, t1, t2, (case t1 when 5 then m5 else m10 end) - (case t2 when 20 then m20 else m40 end) as sp, case when ts <= timestamp '1998-12-31 23:59:59' then 'is' else 'oos' end as part from m, (values (5, 20), (5, 40), (10, 20), (10, 40)) v(t1, t2)),
+b as (select *, case when sp > 0 then 1.0::double when sp is not null then -1.0::double end as signal from g),
+c as (select *, coalesce(lag(signal) over w, 0) as position, coalesce(close / nullif(lag(close) over w, 0) - 1, 0) as ret from b window w as (partition by symbol, t1, t2, part order by ts)),
+e as (select *, coalesce(position - lag(position) over (partition by symbol, t1, t2, part order by ts), 0) as trade from c),
+i as (select symbol, t1, t2, avg(position * ret - abs(trade) * 0.00009) / nullif(stddev_samp(position * ret - abs(trade) * 0.00009), 0) as s, floor(sum(abs(trade)) / 2) as n_trades from e where part = 'is' group by 1, 2, 3),
+best as (select * from i where n_trades >= 30 qualify row_number() over (partition by symbol order by s desc, t1, t2) = 1),
+s(name, bps) as (values ('low', 0.9::double), ('mid', 1.5::double), ('high', 2.0::double)),
+k as (select e.symbol, e.t1, e.t2, s.name, e.position * e.ret - abs(e.trade) * s.bps / 10000 as net from e join best using (symbol, t1, t2), s where part = 'oos')
+select symbol, t1, t2, name, count(*) as n_obs, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(6048), 4) as sharpe from k group by all"""
+
+
+@query(_OOS_SQL)
+def selected_oos(spark, d):
+    """Of each series the best combination with enough trades in sample, tested out of sample under three cost scenarios.
+    Signals are made over the whole history; each slice is then a series of its own."""
+    grid = spark.createDataFrame([(a, b) for a in (5, 10) for b in (20, 40)], "t1 int, t2 int")
+    s = Series(daily(spark, d))
+    for n in (5, 10, 20, 40):
+        s = s.sma(f"m{n}", "close", n)
+    gap = F.when(F.col("t1") == 5, F.col("m5")).otherwise(F.col("m10")) - F.when(F.col("t2") == 20, F.col("m20")).otherwise(F.col("m40"))
+    part = F.when(F.col("ts") <= F.lit("1998-12-31 23:59:59").cast("timestamp_ntz"), "is").otherwise("oos")
+    rows = bt.crossed(s.df, grid).withColumns({"signal": F.when(gap > 0, 1.0).when(gap.isNotNull(), -1.0), "part": part})
+    by = ("symbol", "t1", "t2", "part")
+    run = bt.backtest(rows, "signal", bt.FxCost(0.7, 0.2), by)
+    inside = bt.metrics(run.where("part = 'is'"), by, by, n_trials=4).where("n_trades >= 30")
+    w = Window.partitionBy("symbol").orderBy(F.col("sharpe").desc(), "t1", "t2")
+    best = inside.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("symbol", "t1", "t2")
+    outside = run.where("part = 'oos'").join(best, ["symbol", "t1", "t2"], "left_semi")
+    scenarios = spark.createDataFrame([("low", 0.9), ("mid", 1.5), ("high", 2.0)], "name string, bps double")
+    net = F.col("gross_return") - F.abs("trade") * F.col("bps") / 10_000
+    each = bt.crossed(outside, scenarios).withColumn("net", net)
+    return each.groupBy("symbol", "t1", "t2", "name").agg(F.count(F.lit(1)).alias("n_obs"), F.round(F.try_divide(F.avg("net"), F.stddev_samp("net")) * F.sqrt(F.lit(6048)), 4).alias("sharpe"))
+
+
 @query()
 def signal_grid(spark, d):
     """Crossing signals over thresholds and holds, volatility floors on them, and their measures."""

@@ -92,10 +92,10 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Dat
     return first_of(rows, ("symbol", "ts"), "seq").drop("seq")
 
 
-def load(spark: SparkSession, folder: str, symbol: str, ending: str = ".csv") -> DataFrame:
-    """Bars of one symbol of a folder. LoadError for a symbol without a file, ValidationError if a bar's high or low is
-    passed by another of its prices."""
-    from barloom.operators.quality import ohlc_violations
+def load(spark: SparkSession, folder: str, symbol: str, ending: str = ".csv", with_checks: bool = False):
+    """Bars of one symbol of a folder, with_checks also the table of named checks. LoadError for a symbol without a file,
+    ValidationError if a bar's high or low is passed by another of its prices."""
+    from barloom.operators.quality import checks, ohlc_violations
 
     path = os.path.join(folder, symbol + ending)
     if not os.path.exists(path):
@@ -103,7 +103,7 @@ def load(spark: SparkSession, folder: str, symbol: str, ending: str = ".csv") ->
     out = read_bars(spark, path, symbol)
     if out.agg(ohlc_violations().alias("n")).first()[0]:
         raise ValidationError(f"{symbol}: low or high passed by open or close")
-    return out
+    return (out, checks(out, "ts")) if with_checks else out
 
 
 def fill_gaps(df: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -38,6 +38,8 @@ def test_folder_and_loader(spark, tmp_path):
     counts = {r.symbol: r["count"] for r in src.read_folder(spark, str(tmp_path)).groupBy("symbol").count().collect()}
     assert counts == {"X": 3, "Y": 1}
     assert src.load(spark, str(tmp_path), "X").count() == 3
+    bars, checks = src.load(spark, str(tmp_path), "X", with_checks=True)
+    assert bars.count() == 3 and checks.count() == 5
     with pytest.raises(src.LoadError):
         src.load(spark, str(tmp_path), "Z")
     with pytest.raises(src.ValidationError):
