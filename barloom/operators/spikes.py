@@ -61,7 +61,8 @@ def _impossible() -> Column:
 def judged(bars: DataFrame, window: int = 11, stuck_run: int = 8, stretch_s: int = STRETCH_S) -> DataFrame:
     """(bar_id, provider, symbol, impossible, stuck, far, change), one row for each bar of a series that counts.
 
-    Of bars with equal provider, symbol and ts the lowest bar_id counts; then bars whose close is null or NaN, or whose
+    Of bars with equal provider, symbol and ts the lowest bar_id counts (of equal ones the least by close, high, low and
+    open, nulls first); then bars whose close is null or NaN, or whose
     ts is null, are left out. A series is a provider and symbol (null is a value) in the order of ts. far: the greatest
     distance of high, low or close from the median close of `window` bars centred on the bar, fewer at the ends.
     stuck: one of at least stuck_run successive bars with the same close. change: distance to the close before, null
@@ -75,7 +76,7 @@ def judged(bars: DataFrame, window: int = 11, stuck_run: int = 8, stretch_s: int
         .withColumn("stretch", F.floor(F.col("t") / (stretch_s * 1_000_000)))
     )
     place = ("provider", "symbol", "stretch")
-    first = Window.partitionBy(*place).orderBy("t", "bar_id")
+    first = Window.partitionBy(*place).orderBy("t", "bar_id", "close", "high", "low", "open")
     series = (
         rows.withColumn("_same", F.lag("t").over(first) == F.col("t"))
         .where("_same is null or not _same")
