@@ -182,7 +182,7 @@ def find(texts: list[str | None], ix: Index, min_words: int, edits: int) -> list
 
 
 def leaks(
-    documents: DataFrame, id: str, text: str, items: DataFrame, item_id: str, passage: str, min_words: int = 15, edits: int = 1, block_chars: int = 8_000_000
+    documents: DataFrame, id: str, text: str, items: DataFrame, item_id: str, passage: str, min_words: int = 15, edits: int = 1, block_chars: int = 2_000_000
 ) -> DataFrame:
     """(id, item_id, exact): documents that hold a stretch of at least min_words successive words of an item's passage
     with at most `edits` edits for each min_words words; exact: they hold min_words successive words unchanged.

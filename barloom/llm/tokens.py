@@ -50,16 +50,17 @@ def encode(path: str, text: str) -> list[int]:
 def _chunks(chunk: int, overlap: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = text.as_py()
                 starts = range(0, len(text), chunk)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([key] * len(starts), pa.int64()),
+                        pa.array([mark] * len(starts), pa.int64()),
                         pa.array(list(starts), pa.int64()),
                         pa.array([text[s : s + chunk + overlap] for s in starts], pa.large_string()).cast(pa.string()),
                     ],
-                    ["id", "start", "text"],
+                    ["id", "mark", "start", "text"],
                 )
 
     return rows
@@ -77,11 +78,11 @@ def boundaries(text: str, start: int, chunk: int, overlap: int) -> tuple[list[in
 def _pretokenised(chunk: int, overlap: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            starts, texts = batch.column(2).to_pylist(), batch.column(4).to_pylist()
             both = [boundaries(t, s, chunk, overlap) for s, t in zip(starts, texts)]
             spots = pa.list_(pa.int64())
-            arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array([h for h, _ in both], spots), pa.array([t for _, t in both], spots)]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "start", "text", "head", "tail"])
+            arrays = [*batch.columns, pa.array([h for h, _ in both], spots), pa.array([t for _, t in both], spots)]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "head", "tail"])
 
     return rows
 
@@ -98,38 +99,46 @@ def _encoded(path: str, rows_at_once: int = 512):
     return rows
 
 
+def _same(columns: list[str]):
+    return F.expr(" and ".join(f"c.{k} <=> s.{k}" for k in columns))
+
+
 def encoded(documents: DataFrame, id: str, text: str, path: str, chunk_chars: int = 16_384, overlap: int = 512) -> DataFrame:
     """(id, ids): the token ids of each document's whole text, without special tokens.
 
-    documents: a bigint `id`, unique, and a string `text`; other columns are ignored, whatever their names. Null and
-    empty texts have an empty list. An empty table gives an empty one. path: a file of ranks that every executor has.
-    Only texts above chunk_chars characters are shuffled, as chunks by (id, start) and then as pieces of ids.
+    documents: a bigint `id` and a string `text`; other columns are ignored, whatever their names. Null and empty texts
+    have an empty list. Rows that repeat an id, with the same text or another, have a row each. An empty table gives an
+    empty one. path: a file of ranks that every executor has. Only texts above chunk_chars characters are shuffled, as
+    chunks by (id, hash of the text, start), equal ones once, and then as pieces of ids.
     """
     if overlap >= chunk_chars or overlap <= MARGIN:
         raise ValueError("overlap must lie between MARGIN and chunk_chars")
     docs = documents.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     is_long = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
     short = docs.where(~is_long).mapInArrow(_encoded(path), "id long, ids array<int>")
-    long = docs.where(is_long)
-    parts = long.mapInArrow(_chunks(chunk_chars, overlap), "id long, start long, text string")
-    cut = parts.repartition("id", "start").mapInArrow(_pretokenised(chunk_chars, overlap), "id long, start long, text string, head array<long>, tail array<long>")
-    by_start = Window.partitionBy("id").orderBy("start")
-    joints = cut.select("id", "start", "head", "tail").withColumn("common", F.array_intersect(F.lag("tail").over(by_start), "head"))
+    long = docs.where(is_long).select("id", F.xxhash64("text").alias("mark"), "text")
+    key = ["id", "mark"]
+    parts = long.mapInArrow(_chunks(chunk_chars, overlap), "id long, mark long, start long, text string")
+    apart = parts.groupBy(*key, "start").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    cut = apart.mapInArrow(_pretokenised(chunk_chars, overlap), "id long, mark long, start long, copies long, text string, head array<long>, tail array<long>")
+    by_start = Window.partitionBy(*key).orderBy("start")
+    joints = cut.select(*key, "start", "copies", "head", "tail").withColumn("common", F.array_intersect(F.lag("tail").over(by_start), "head"))
     begins = F.when(F.col("start") == 0, F.lit(0)).otherwise(F.try_element_at("common", F.lit(1)))
-    stitched = joints.select("id", "start", F.when((F.col("start") == 0) | (F.size("common") > 0), begins).alias("begin"))
+    stitched = joints.select(*key, "start", "copies", F.when((F.col("start") == 0) | (F.size("common") > 0), begins).alias("begin"))
     stitched = stitched.withColumns({
         "end": F.lead("begin").over(by_start),
         "final": F.lead("start").over(by_start).isNull(),
-        "whole": F.count(F.when(F.col("begin").isNull(), 1)).over(Window.partitionBy("id")) > 0,
+        "whole": F.count(F.when(F.col("begin").isNull(), 1)).over(Window.partitionBy(*key)) > 0,
     })
-    sound = stitched.where("not whole").select("id", "start", "begin", "end", "final")
+    sound = stitched.where("not whole").select(*key, "start", "begin", "end", "final")
     length = F.when(F.col("final"), F.lit(2**31 - 1)).otherwise(F.col("end") - F.col("begin")).cast("int")
-    pieces = cut.select("id", "start", "text").join(sound, ["id", "start"]).select(
-        "id", "start", F.substring(F.col("text"), (F.col("begin") - F.col("start") + 1).cast("int"), length).alias("piece")
+    pieces = cut.select(*key, "start", "copies", "text").alias("c").join(sound.alias("s"), _same([*key, "start"])).select(
+        *[f"c.{k}" for k in key], "c.start", "copies", F.substring(F.col("text"), (F.col("begin") - F.col("c.start") + 1).cast("int"), length).alias("piece")
     )
-    coded = pieces.mapInArrow(_encoded(path), "id long, start long, ids array<int>")
-    stitched_ids = coded.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda p: p["ids"])).alias("ids"))
-    unsound = long.join(stitched.where("whole").select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_encoded(path), "id long, ids array<int>")
+    coded = pieces.mapInArrow(_encoded(path), "id long, mark long, start long, copies long, ids array<int>")
+    joined = coded.groupBy(*key).agg(F.max("copies").alias("copies"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda p: p["ids"])).alias("ids"))
+    stitched_ids = joined.select("id", F.explode(F.array_repeat("ids", F.col("copies").cast("int"))).alias("ids"))
+    unsound = long.alias("c").join(stitched.where("whole").select(*key).distinct().alias("s"), _same(key), "left_semi").select("id", "text").mapInArrow(_encoded(path), "id long, ids array<int>")
     both = short.unionByName(stitched_ids).unionByName(unsound)
     return both.withColumnRenamed("id", id)
 

@@ -39,6 +39,14 @@ def test_stitched_chunks_equal_the_whole(spark, chunk, overlap):
     assert got == want
 
 
+def test_repeated_rows_have_a_row_each(spark):
+    long, other = "one two three " * 20, "four five " * 30
+    rows = [(1, long), (1, long), (1, other), (None, long), (2, "x"), (2, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((str(k), tokens.encode(PATH, t)) for k, t in rows)
+    assert sorted((str(r.doc_id), r.ids) for r in tokens.encoded(df, "doc_id", "text", PATH, 60, 20).collect()) == want
+
+
 def test_boundaries_fall_in(spark):
     text = "The court's ruling of 12 May, he said,   was\n\nfinal. " * 20
     true = {m.start() for m in regex.finditer(tokens.PATTERN, text)}
