@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.tables import written
+
 KINDS = ("string", "double", "long", "boolean", "object", "array", "null")
 
 
@@ -97,9 +99,10 @@ def changes(records: DataFrame, aliases: DataFrame) -> DataFrame:
     aliases: (alias, field), alias in lower case; another name is its own field. change_kind is `added`, `removed`,
     `renamed` (same field, another set of names) or `type_changed`. A file's type of a field is the first of string
     (also for booleans, objects and arrays), double, long that any value that isn't null has; a file with nulls only
-    keeps the type the field had last. A provider's first file has no change. Null providers form one provider.
+    keeps the type the field had last. A provider's first file has no change. Null providers form one provider. The fused
+    types, a few rows a file, are written to the shared folder once, as they are read for files and for fields.
     """
-    fused = tagged_types(records)
+    fused = written(tagged_types(records), "types")
     order = Window.partitionBy("provider").orderBy("at", "file_no")
     files = (
         fused.where("name is null")
