@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import difference, drift, gridfill, instants, profile, rejects, spikes
-from barloom.sources.tables import table
+from barloom.sources.tables import table, written
 
 PRICES = ("open", "high", "low", "close")
 SRC_REF = r"^[A-Z]{2}[0-9]{6}-[0-9]{4}\z"
 
 
 def _profiled(spark: SparkSession, d: str, columns: tuple[str, ...]) -> DataFrame:
-    profiles = profile.profile(table(spark, d, "bars"), "load_no", columns, {"src_ref": SRC_REF})
+    # A row for each load and column, read for the load itself and as a baseline: written, so that bars are counted once.
+    profiles = written(profile.profile(table(spark, d, "bars"), "load_no", columns, {"src_ref": SRC_REF}), "profile")
     return profile.compared(profiles, table(spark, d, "loads").select(F.col("load_no").alias("load"), F.col("baseline_load").alias("baseline")))
 
 
@@ -68,6 +71,31 @@ union all select load_no, 'src_ref', 'distinct' from j where d_src_ref * 10 < bd
 union all select load_no, 'volume', 'shift' from j where mean > b_mean * 4 or mean * 4 < b_mean
 """
 
+_NUMBERS = ("bar_id::double", "epoch_us(ts)::double", *PRICES, "volume", "epoch_us(ingested_at)::double")
+_BIN = "case when num = 0 then 0 when num > 0 then least(greatest(floor(ln(num) / ln(2)), -1000), 1000) + 2000 when num < 0 then -(least(greatest(floor(ln(-num) / ln(2)), -1000), 1000) + 2000) else length(txt) end"
+P1_PROFILE_SQL = (
+    "with u as ("
+    + " union all ".join(f"select load_no, '{re.sub(r'^epoch_us.(.*).::double|::double$', r'\1', c)}' as column_name, {c} as num, null::varchar as txt from bars" for c in _NUMBERS)
+    + " union all "
+    + " union all ".join(f"select load_no, '{c}', null, {c} from bars" for c in ("provider", "symbol", "src_ref"))
+    + f"""),
+p as (select load_no, column_name, count(*) as n_rows, count(*) filter (where num is null and txt is null) as n_nulls, count(*) filter (where num = 0) as n_zeros, count(*) filter (where num < 0) as n_negative,
+  count(distinct num) + count(distinct txt) as n_distinct, min(num) as min_num, max(num) as max_num, case when column_name in ('open', 'high', 'low', 'close', 'volume') then avg(num) end as mean_num,
+  min(txt) as min_txt, max(txt) as max_txt, count(*) filter (where column_name = 'src_ref' and txt is not null and not regexp_full_match(txt, '[A-Z]{{2}}[0-9]{{6}}-[0-9]{{4}}')) as n_unmatched from u group by 1, 2),
+h as (select load_no, column_name, {_BIN} as bin, count(*)::double as n from u where num is not null or txt is not null group by 1, 2, 3),
+l as (select load_no, max(baseline_load) as base from loads group by 1 having max(baseline_load) is not null),
+k as (select l.load_no, h.column_name, h.bin from l join h on h.load_no = l.load_no or h.load_no = l.base group by all),
+t as (select load_no, column_name, sum(n) as n from h group by 1, 2),
+j as (select k.load_no, k.column_name, coalesce(a.n, 0) as x, coalesce(b.n, 0) as y, coalesce(ta.n, 0) as n, coalesce(tb.n, 0) as m, count(*) over (partition by k.load_no, k.column_name) as w
+  from k join l on l.load_no = k.load_no left join h a on a.load_no = k.load_no and a.column_name = k.column_name and a.bin = k.bin left join h b on b.load_no = l.base and b.column_name = k.column_name and b.bin = k.bin
+  left join t ta on ta.load_no = k.load_no and ta.column_name = k.column_name left join t tb on tb.load_no = l.base and tb.column_name = k.column_name),
+s as (select load_no, column_name, sum(((x + 0.5) / (n + w * 0.5) - (y + 0.5) / (m + w * 0.5)) * ln(((x + 0.5) / (n + w * 0.5)) / ((y + 0.5) / (m + w * 0.5)))) as psi,
+  sum((x * sqrt(m / nullif(n, 0)) - y * sqrt(n / nullif(m, 0))) ** 2 / (x + y)) as chi2 from j group by 1, 2)
+select p.load_no, p.column_name, n_rows, n_nulls, n_zeros, n_negative, n_distinct, round(min_num, 6) as min_num, round(max_num, 6) as max_num, round(mean_num, 6) as mean_num, min_txt, max_txt, n_unmatched,
+  round(psi, 6) as psi, round(chi2, 6) as chi2 from p left join s on s.load_no = p.load_no and s.column_name = p.column_name
+"""
+)
+
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The lines that don't load, with one reason each."""
@@ -239,6 +267,7 @@ union all select k, 'datetime' from j where a.datetime is distinct from b.dateti
 QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_rows, p3_found, p4_found, p4_grid, p5_found, p6_found, p6_table, p7_found)}
 SQL = {
     "p1_found": P1_FOUND_SQL,
+    "p1_profile": P1_PROFILE_SQL,
     "p2_found": P2_FOUND_SQL,
     "p2_rows": P2_ROWS_SQL,
     "p4_found": P4_FOUND_SQL,
