@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import date, datetime, timedelta, timezone
-from functools import cache
+from functools import cache, lru_cache
 from zoneinfo import ZoneInfo
 
 # English month names, as far as they are compared.
@@ -30,7 +30,7 @@ _UNITS = {10: 1_000_000, 13: 1_000, 16: 1}
 _ORDERS = {"dmy": "dmy", "mdy": "mdy", "ymd": "ymd"}
 
 
-@cache
+@lru_cache(4096)  # names come from the data
 def zone(name: str | None) -> ZoneInfo | None:
     """The named zone, UTC for null, None for a name that isn't known."""
     try:

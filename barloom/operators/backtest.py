@@ -154,7 +154,14 @@ def as_of(df: DataFrame, rates: DataFrame, values: Sequence[str], keys: Sequence
     both = left.drop(*values).unionByName(right, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("_at", "_row")
     is_rate = F.col("_row") == 0
-    last = {v: F.coalesce(F.last(F.when(is_rate, F.struct(v)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))[v], F.expr(f"lead(case when _row = 0 then `{v}` end, 1) ignore nulls over (partition by {', '.join(keys)} order by _at, _row)")) for v in values}
+    over = f"over (partition by {', '.join(keys)} order by _at, _row)"
+    last = {
+        v: F.coalesce(
+            F.last(F.when(is_rate, F.struct(v)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))[v],
+            F.expr(f"lead(case when _row = 0 then `{v}` end, 1) ignore nulls {over}"),
+        )
+        for v in values
+    }
     return both.withColumns(last).where("_row = 1").drop("_at", "_row")
 
 
@@ -178,7 +185,7 @@ def swap_cost(rate_bps: Column, size: Column, days: Column, start: Column) -> Co
     return F.when((size < 0) | (days < 0), F.lit(None)).when((size == 0) | (days == 0), F.lit(0.0)).otherwise(pnl)
 
 
-def split(df: DataFrame, test_ratio: float = 0.2, gap: int = 0, keys: Sequence[str] = KEYS, order: str = ORDER, blocks: str = "day") -> DataFrame:
+def split(df: DataFrame, test_ratio: float = 0.2, gap: int = 0, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
     """`df` with part: `train`, `gap` (the `gap` rows before the test) or `test` (the last test_ratio of each series)."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     first_test = F.floor(n * F.lit(1 - test_ratio)) + 1

@@ -100,7 +100,7 @@ def quality_report(df: DataFrame, freq: str = "h", sigmas: float = 5.0, keys: Se
 
 
 def checks(df: DataFrame, seq: str, spike_sigmas: float = 10.0, key: str = "symbol") -> DataFrame:
-    """(symbol, check_name, is_valid, n_details) of duplicates, order (by `seq`), ohlc integrity, missing bars (whole
+    """(symbol, check_name, is_valid, n_details) of the type of ts (a timestamp, which is UTC), duplicates, order (by `seq`), ohlc integrity, missing bars (whole
     weekends left out) and extreme spikes (which never make a series invalid)."""
     w = Window.partitionBy(key).orderBy(seq)
     steps = df.withColumns({"_back": F.lag("ts").over(w) > F.col("ts"), "_r": F.try_divide(F.col("close"), F.lag("close").over(whole((key,)))) - 1})
@@ -112,7 +112,8 @@ def checks(df: DataFrame, seq: str, spike_sigmas: float = 10.0, key: str = "symb
         F.count_if(F.abs(F.col("_r") - F.col("_m")) > spike_sigmas * F.col("_s")).alias("extreme_spikes"),
     )
     gaps = missing_bars(df, "h", (key,)).where(F.weekday("ts") < 5).groupBy(key).agg(F.count(F.lit(1)).alias("missing_bars"))
-    all_ = one.join(gaps, key, "left").na.fill(0, ["missing_bars"])
-    names = ("duplicates", "monotonic", "ohlc_integrity", "missing_bars", "extreme_spikes")
+    no_time = int(not dict(df.dtypes)["ts"].startswith("timestamp"))
+    all_ = one.join(gaps, key, "left").na.fill(0, ["missing_bars"]).withColumn("timezone", F.lit(no_time).cast("bigint"))
+    names = ("timezone", "duplicates", "monotonic", "ohlc_integrity", "missing_bars", "extreme_spikes")
     long = all_.unpivot([key], list(names), "check_name", "n_details")
     return long.select(key, "check_name", ((F.col("n_details") == 0) | (F.col("check_name") == "extreme_spikes")).alias("is_valid"), "n_details")

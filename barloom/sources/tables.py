@@ -24,9 +24,12 @@ def shipped(spark: SparkSession) -> None:
             for f in sorted(files):
                 if f.endswith(".py"):
                     out.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), os.path.dirname(root)))
-    path = os.path.join(tempfile.mkdtemp(prefix="barloom-"), "barloom.zip")  # on the driver, which serves it
-    with open(path, "wb") as file:
-        file.write(packed.getvalue())
+    path = f"{shared_folder(spark)}/barloom-{uuid.uuid4().hex}.zip"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    atexit.register(_delete, spark, path)
     context.addPyFile(path)
     context._barloom_shipped = True
 

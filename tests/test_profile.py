@@ -59,3 +59,16 @@ def test_compared_and_issues(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert profile.profile(df, "lot", ["price", "note"]).count() == 0
+
+
+def test_stability_index_and_chi_square_by_hand(spark):
+    import math
+
+    rows = [(0, v) for v in [0.5] * 30 + [1.5] * 50 + [3.0] * 20] + [(1, v) for v in [1.5] * 10 + [3.0] * 25 + [-3.0] * 5]
+    df = spark.createDataFrame(rows, "lot long, v double")
+    r = profile.compared(profile.profile(df, "lot", ["v"]), spark.createDataFrame([(1, 0)], "load long, baseline long")).where("load = 1").first()
+    x, y = [0, 10, 25, 5], [30, 50, 20, 0]  # bins of 0.5, 1.5, 3 and -3
+    p = [(a + 0.5) / (40 + 2) for a in x]
+    q = [(a + 0.5) / (100 + 2) for a in y]
+    assert math.isclose(r.psi, sum((a - b) * math.log(a / b) for a, b in zip(p, q)))
+    assert math.isclose(r.chi2, sum((a * math.sqrt(100 / 40) - b * math.sqrt(40 / 100)) ** 2 / (a + b) for a, b in zip(x, y)))

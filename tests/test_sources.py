@@ -39,7 +39,7 @@ def test_folder_and_loader(spark, tmp_path):
     assert counts == {"X": 3, "Y": 1}
     assert src.load(spark, str(tmp_path), "X").count() == 3
     bars, checks = src.load(spark, str(tmp_path), "X", with_checks=True)
-    assert bars.count() == 3 and checks.count() == 5
+    assert bars.count() == 3 and checks.count() == 6
     with pytest.raises(src.LoadError):
         src.load(spark, str(tmp_path), "Z")
     with pytest.raises(src.ValidationError):
@@ -107,7 +107,7 @@ def test_quality(spark):
 def test_checks(spark):
     df = hours(spark, [datetime(2025, 1, 6, 1), datetime(2025, 1, 6, 0), datetime(2025, 1, 6, 0), datetime(2025, 1, 6, 4)], low=103.0).withColumn("seq", F.monotonically_increasing_id())
     got = {r.check_name: (r.is_valid, r.n_details) for r in quality.checks(df, "seq").collect()}
-    assert got["duplicates"] == (False, 1) and got["monotonic"] == (False, 1) and got["ohlc_integrity"][0] is False and got["missing_bars"] == (False, 2) and got["extreme_spikes"][0] is True
+    assert got["timezone"] == (True, 0) and got["duplicates"] == (False, 1) and got["monotonic"] == (False, 1) and got["ohlc_integrity"][0] is False and got["missing_bars"] == (False, 2) and got["extreme_spikes"][0] is True
 
 
 def test_written_table_goes_to_the_shared_folder(spark):
