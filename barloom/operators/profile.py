@@ -4,16 +4,38 @@ The rows of each load are unpivoted to (load, column, value), counted by value b
 the counts are folded into frequencies, distinct values, ranges and histograms. The first shuffle is keyed by the
 value, so that a load or column of a third of all rows spreads over all tasks; the later ones carry one row for each
 (load, column, histogram bin).
+
+The histograms of a profile are fixed ones. `distances` compares loads on the values themselves instead: counts by value
+of texts, counts by the baseline's quantile bins of numbers and timestamps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.sources.tables import written
+
+#: The parts of a baseline whose ends, values of its own, bound the bins of a number.
+TENTHS = 10
+
+
+def _is_text(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.NumericType, T.BooleanType))
+
+
+def _split(c: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """A value as (number, text), one of which is null."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double"), F.lit(None).cast("string")
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        num = c.cast("double")
+        return F.when(~F.isnan(num), num), F.lit(None).cast("string")
+    return F.lit(None).cast("double"), c.cast("string")
+
 
 def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
     """(load, column_no, num, txt, n): how often each value of each column occurs in each load; column_no is the place in
@@ -26,14 +48,7 @@ def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
     kinds = {f.name: f.dataType for f in df.schema.fields}
     cells = []
     for place, name in enumerate(columns):
-        c, kind = F.col(f"`{name}`"), kinds[name]
-        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            num, txt = F.unix_micros(c.cast("timestamp")).cast("double"), F.lit(None).cast("string")
-        elif isinstance(kind, (T.NumericType, T.BooleanType)):
-            num = c.cast("double")
-            num, txt = F.when(~F.isnan(num), num), F.lit(None).cast("string")
-        else:
-            num, txt = F.lit(None).cast("double"), c.cast("string")
+        num, txt = _split(F.col(f"`{name}`"), kinds[name])
         cells.append(F.struct(F.lit(place).alias("column_no"), num.alias("num"), txt.alias("txt")))
     long = df.select(F.col(f"`{load}`").alias("load"), F.explode(F.array(*cells)).alias("cell"))
     return long.groupBy("load", "cell.column_no", "cell.num", "cell.txt").agg(F.count(F.lit(1)).alias("n"))
@@ -156,6 +171,94 @@ def compared(profiles: DataFrame, baselines: DataFrame) -> DataFrame:
     }).drop("_keys", "_n", "_m", "base_bins")
 
 
+def _order_bin(x: Column) -> Column:
+    """A bin by sign and logarithm, so fine that seven hours of microseconds since 1970 are one; keeps the order."""
+    size = lambda v: F.floor(F.log2(F.least(v, F.lit(1e308))) * 65536) + 1100 * 65536
+    return F.when(x > 0, size(x)).when(x < 0, -size(-x)).otherwise(F.lit(0)).cast("bigint")
+
+
+def _bounds(numbers: DataFrame) -> DataFrame:
+    """(load, column_no, bound): bound.least, the least num, and bound.shared, those that several quantiles share, open a
+    bin; bound.upto, the other quantiles, each end one. numbers: load, column_no, num. No task sorts a whole load."""
+    by = ["load", "column_no"]
+    rows = numbers.where("num is not null").withColumn("bin", _order_bin(F.col("num")))
+    whole = Window.partitionBy(*by)
+    ran = Window.unboundedPreceding, -1
+    counted = rows.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumns({"below": F.coalesce(F.sum("n").over(whole.orderBy("bin").rowsBetween(*ran)), F.lit(0)), "all": F.sum("n").over(whole)})
+    targets = counted.withColumn("at", F.transform(F.sequence(F.lit(0), F.lit(TENTHS)), lambda i: F.expr("(all - 1)") * i / TENTHS).cast("array<bigint>"))
+    hit = lambda: F.filter("at", lambda t: (t >= F.col("below")) & (t < F.col("below") + F.col("n")))
+    middle = targets.withColumn("at", hit()).where(F.size("at") > 0).select(*by, "bin", "at", F.col("below").alias("start"))
+    values = rows.join(middle, [*by, "bin"]).groupBy(*by, "bin", "num", "at", "start").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "bin").orderBy("num").rowsBetween(*ran)), F.lit(0))
+    found = values.withColumn("below", F.col("start") + before).withColumn("at", hit()).where(F.size("at") > 0)
+    q = found.groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat("num", F.size("at"))))).alias("q"))
+    shared = F.array_distinct(F.filter("q", lambda e, i: (i > 0) & (e == F.get("q", i - 1))))
+    return q.select(*by, F.struct(F.get("q", F.lit(0)).alias("least"), shared.alias("shared"), F.slice("q", 2, TENTHS).alias("upto")).alias("bound"))
+
+
+def distances(df: DataFrame, load: str, columns: Sequence[str], baselines: DataFrame) -> DataFrame:
+    """(load, baseline, column_name, n_values, base_values, n_cells, psi, chi2): how far each column of each load that
+    has a baseline, by `baselines` (load, baseline), is from the baseline's.
+
+    Texts are compared value by value over the values of both loads; numbers and timestamps by the bins that the
+    baseline's least value, deciles and greatest value bound (exact, of its own values; what lies outside, and a value
+    that several of them share, is a bin of its own). n_values and base_values count what isn't null, n_cells
+    the values or bins that either load has. psi is the population stability index, each share with half a row added;
+    chi2 the two-sample chi-square, null if either side has no value. A load named twice in `baselines` takes its
+    greatest baseline; one without rows has no row here, and one whose baseline has no rows has nulls. A baseline's
+    rows are read once for each load that names it. The quantiles, a row for each baseline, are written to the shared
+    folder once.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    split = [_split(F.col(f"`{name}`"), kinds[name]) for name in columns]
+    narrow = df.select(F.col(f"`{load}`").alias("load"), *[c.alias(f"{kind}{i}") for i, pair in enumerate(split) for kind, c in zip(("num", "txt"), pair)])
+    named = baselines.groupBy("load").agg(F.max("baseline").alias("baseline")).where("load is not null and baseline is not null")
+
+    numeric = [i for i, name in enumerate(columns) if not _is_text(kinds[name])]
+    bases = named.select(F.col("baseline").alias("load")).distinct()
+    nums = F.array(*[F.struct(F.lit(i).alias("column_no"), F.col(f"num{i}").alias("num")) for i in numeric]).cast("array<struct<column_no: int, num: double>>")
+    ends = _bounds(narrow.join(bases, "load", "left_semi").select("load", F.inline(nums))).select("load", F.struct("column_no", "bound").alias("b"))
+    bounds = written(ends.groupBy(F.col("load").alias("baseline")).agg(F.map_from_entries(F.collect_list("b")).alias("bounds")), "quantiles")
+    in_order = F.array(*[F.try_element_at("bounds", F.lit(i)) for i in numeric]).alias("bounds")
+
+    side = lambda name, x, y: F.struct(F.col(name).alias("load"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    sides = named.join(bounds, "baseline", "left").select(F.col("load").alias("target"), "baseline", in_order, F.inline(F.array(side("load", 1, 0), side("baseline", 0, 1))))
+
+    def bin(v: Column, b: Column) -> Column:
+        above = F.size(F.filter(b["upto"], lambda e: e < v)) + F.size(F.filter(b["shared"], lambda e: e <= v))
+        return F.when(v.isNotNull(), F.coalesce(above + F.when(v >= b["least"], 1).otherwise(0), F.lit(0)))
+
+    placed = narrow.join(sides, "load").withColumn("bins", F.zip_with(F.array(*[F.col(f"num{i}") for i in numeric]), "bounds", bin) if numeric else F.array().cast("array<int>"))
+    cells = [F.struct(F.lit(i).alias("column_no"), (F.get("bins", F.lit(numeric.index(i))) if i in numeric else F.lit(None).cast("int")).alias("bin"), F.col(f"txt{i}").alias("txt")) for i in range(len(columns))]
+    long = placed.select("target", "baseline", "x", "y", F.inline(F.array(*cells)))
+    counts = long.groupBy("target", "baseline", "column_no", "bin", "txt").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+    there = F.col("bin").isNotNull() | F.col("txt").isNotNull()
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    p, q = x + 0.5, y + 0.5
+    over = lambda c: F.sum(F.when(there, c))
+    sums = counts.groupBy("target", "baseline", "column_no").agg(
+        F.sum("x").alias("rows"), F.sum("y").alias("base_rows"), F.coalesce(over(F.col("x")), F.lit(0)).alias("n"), F.coalesce(over(F.col("y")), F.lit(0)).alias("m"), F.count(F.when(there, 1)).alias("w"),
+        over(p * F.log(p / q)).alias("p_log"), over(q * F.log(p / q)).alias("q_log"), over(x * x / (x + y)).alias("xx"), over(x * y / (x + y)).alias("xy"), over(y * y / (x + y)).alias("yy"),
+    )
+    # Both distances, multiplied out, are sums over the values; the totals come in afterwards.
+    half = F.col("w") / 2
+    psi = F.col("p_log") / (F.col("n") + half) - F.col("q_log") / (F.col("m") + half)
+    chi2 = F.try_divide("m", "n") * F.col("xx") + F.try_divide("n", "m") * F.col("yy") - 2 * F.col("xy")
+    known = lambda c: F.when(F.col("base_rows") > 0, c)
+    return sums.where("rows > 0").select(
+        F.col("target").alias("load"),
+        "baseline",
+        F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column_no") + 1).alias("column_name"),
+        F.col("n").alias("n_values"),
+        known(F.col("m")).alias("base_values"),
+        known(F.col("w")).alias("n_cells"),
+        known(F.when(F.col("w") > 0, psi)).alias("psi"),
+        known(F.when(F.col("w") > 0, chi2)).alias("chi2"),
+    )
+
+
 def issues(profiles: DataFrame, limits: Mapping[str, Mapping[str, Column]]) -> DataFrame:
     """(load, column_name, issue) where a limit's condition holds. limits: issue -> column -> condition on a row of
     `compared`; a condition that is null doesn't hold."""

@@ -48,6 +48,14 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_distances(spark: SparkSession, d: str) -> DataFrame:
+    """How far every column of every load is from its baseline: texts by their values, numbers and times by the baseline's quantiles."""
+    columns = ("bar_id", "provider", "symbol", "ts", *PRICES, "volume", "src_ref", "ingested_at")
+    named = table(spark, d, "loads").select(F.col("load_no").alias("load"), F.col("baseline_load").alias("baseline"))
+    found = profile.distances(table(spark, d, "bars"), "load_no", columns, named)
+    return found.withColumns({"psi": F.round("psi", 6), "chi2": F.round("chi2", 6)}).withColumnsRenamed({"load": "load_no", "baseline": "baseline_load"})
+
+
 P1_FOUND_SQL = r"""
 with s as (
   select load_no, count(*) as n, count(open) as c_open, count(high) as c_high, count(low) as c_low, count(close) as c_close,
@@ -264,7 +272,7 @@ union all select k, 'datetime' from j where a.datetime is distinct from b.dateti
     )
 )
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_rows, p3_found, p4_found, p4_grid, p5_found, p6_found, p6_table, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_distances, p2_found, p2_rows, p3_found, p4_found, p4_grid, p5_found, p6_found, p6_table, p7_found)}
 SQL = {
     "p1_found": P1_FOUND_SQL,
     "p1_profile": P1_PROFILE_SQL,

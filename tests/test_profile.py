@@ -72,3 +72,52 @@ def test_stability_index_and_chi_square_by_hand(spark):
     q = [(a + 0.5) / (100 + 2) for a in y]
     assert math.isclose(r.psi, sum((a - b) * math.log(a / b) for a, b in zip(p, q)))
     assert math.isclose(r.chi2, sum((a * math.sqrt(100 / 40) - b * math.sqrt(40 / 100)) ** 2 / (a + b) for a, b in zip(x, y)))
+
+
+def distances_by_hand(rows, base):
+    """(psi, chi2, cells) of two lists of values, by value for texts and by the baseline's deciles for numbers."""
+    import math
+
+    rows, base = ([v for v in side if v is not None and v == v] for side in (rows, base))
+    if not all(isinstance(v, str) for v in rows + base):
+        q = [sorted(base)[i * (len(base) - 1) // 10] for i in range(11)]
+        heavy = [a for a, b in zip(q, q[1:]) if a == b]
+        cell = lambda v: (v >= q[0], *(v > e for e in q[1:]), *(v >= e for e in heavy))
+        rows, base = [cell(v) for v in rows], [cell(v) for v in base]
+    cells = sorted(set(rows) | set(base))
+    x, y = [rows.count(c) for c in cells], [base.count(c) for c in cells]
+    n, m, w = sum(x), sum(y), len(cells)
+    p, q = [(a + 0.5) / (n + w / 2) for a in x], [(b + 0.5) / (m + w / 2) for b in y]
+    return sum((a - b) * math.log(a / b) for a, b in zip(p, q)), sum((a * math.sqrt(m / n) - b * math.sqrt(n / m)) ** 2 / (a + b) for a, b in zip(x, y)), w
+
+
+def test_distances_equal_brute_force(spark):
+    import math
+    import random
+    from datetime import datetime, timedelta
+
+    r = random.Random(3)
+    at = datetime(2024, 1, 1)
+    make = lambda load, n, low, high, names, hours: [(load, r.choice([round(r.uniform(low, high), 3), 1.25, -2.0, 1e-9]), r.choice(names), at + timedelta(seconds=r.randrange(hours * 3600)), None) for _ in range(n)]
+    loads = {0: make(0, 80, 1.0, 1.1, ["AAA", "BBB"], 5), 1: make(1, 60, 1.0, 1.1, ["AAA", "BBB"], 5), 2: make(2, 50, 1.8, 1.99, ["CCC", "DDD"], 9), 3: make(3, 5, 1, 2, ["AAA"], 1)}
+    loads[2] += [(2, float("nan"), None, None, None), (2, None, None, None, None)]
+    df = spark.createDataFrame([v for rows in loads.values() for v in rows], "lot long, num double, txt string, q timestamp, baseline string")
+    base = spark.createDataFrame([(0, None), (1, 0), (2, 0), (2, None), (3, 9), (7, 0)], "load long, baseline long")
+    got = {(v.load, v.column_name): v for v in profile.distances(df, "lot", ["num", "txt", "q", "baseline"], base).collect()}
+    assert {k for k, _ in got} == {1, 2, 3} and len(got) == 12
+    for load in (1, 2):
+        for place, name in ((1, "num"), (2, "txt"), (3, "q")):
+            take = lambda rows: [v[place].timestamp() if name == "q" and v[place] else v[place] for v in rows]  # noqa: B023, E731
+            psi, chi2, cells = distances_by_hand(take(loads[load]), take(loads[0]))
+            v = got[load, name]
+            assert math.isclose(v.psi, psi, abs_tol=1e-9) and math.isclose(v.chi2, chi2, abs_tol=1e-9) and v.n_cells == cells
+    assert got[2, "baseline"].psi is None and got[2, "baseline"].n_values == 0 and got[2, "num"].n_values == 50
+    assert got[3, "num"].psi is None and got[3, "num"].base_values is None and got[3, "num"].n_values == 5
+
+
+def test_distances_see_what_fixed_bins_hide(spark):
+    rows = [(0, 1.05, "EURUSD")] * 40 + [(1, 1.95, "GBPUSD")] * 40
+    df, base = spark.createDataFrame(rows, "lot long, v double, s string"), spark.createDataFrame([(1, 0)], "load long, baseline long")
+    fixed = profile.compared(profile.profile(df, "lot", ["v", "s"]), base).where("load = 1").collect()
+    assert [r.psi for r in fixed] == [0, 0]
+    assert all(r.psi > 5 and r.chi2 == 80 for r in profile.distances(df, "lot", ["v", "s"], base).collect())
