@@ -3,8 +3,9 @@
 Words of documents and passages become one string each, blank before each word. If a stretch of L characters occurs in
 both with at most e edits, the two share L + 1 - q - q*e of their q-grams, on diagonals that differ by at most e (the
 q-gram lemma). So shared q-grams are counted in overlapping bands of diagonals; bands with fewer than the bound for the
-shortest stretch of min_words words of the item are dropped, losing nothing, and what is left is aligned within its band
-and compared word by word.
+shortest stretch of min_words words of the item are dropped, losing nothing, and in what is left every stretch of
+min_words words is aligned within its band. Longer stretches need no alignment: one of k times min_words words with at
+most k * e edits holds min_words words with at most e.
 
 The items are a query set, stated and held out; they are run against all documents in blocks of bounded size, each block
 one index that is sent to the executors. Documents are read where they lie: nothing of the corpus is shuffled or
@@ -44,7 +45,8 @@ def _grams(cp: np.ndarray) -> np.ndarray:
 @dataclass
 class Index:
     """The q-grams of a block of items. hashes are sorted; item and place run along them. shortest: the length of each
-    item's shortest stretch of min_words words; least: the grams that it shares after as many edits as are looked for."""
+    item's shortest stretch of min_words words; least: the grams that it shares after as many edits as are looked for;
+    stretches: where each item's stretches of min_words words begin and stop, with the blanks around them."""
 
     ids: list[str]
     words: list[np.ndarray]
@@ -54,20 +56,19 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     known: np.ndarray
-    windows: list[list[str]]
+    stretches: list[tuple[np.ndarray, np.ndarray]]
 
 
 def index(items: list[tuple[str, str]], min_words: int, edits: int) -> Index:
     """Items with fewer than min_words words can't leak and are left out."""
     cp, edge = spaced_words([t for _, t in items])
-    ids, words, shortest, least, windows, hashes, item, place = [], [], [], [], [], [], [], []
+    ids, words, shortest, least, stretches, hashes, item, place = [], [], [], [], [], [], [], []
     for k, (name, _) in enumerate(items):
         own = cp[edge[k] : edge[k + 1] + 1]
         own = own[1:] if own[1] == 32 else own  # one blank before the first word
         blanks = np.flatnonzero(own == 32)
         if len(blanks) - 1 < min_words:
             continue
-        text = own.tobytes().decode("utf-32-le")
         ends = blanks[min_words:]
         begins = blanks[: len(blanks) - min_words]
         length = int((ends - begins).min()) + 1
@@ -80,15 +81,15 @@ def index(items: list[tuple[str, str]], min_words: int, edits: int) -> Index:
         words.append(own)
         shortest.append(max(length, Q))
         least.append(bound)
-        windows.append([text[i : j + 1] for i, j in zip(begins.tolist(), ends.tolist())])
+        stretches.append((begins, ends + 1))
     known = np.zeros(1 << _BITS, bool)
     if not ids:
         none = np.zeros(0, np.int32)
-        return Index(ids, words, none, none, np.zeros(0, np.uint64), none, none, known, windows)
+        return Index(ids, words, none, none, np.zeros(0, np.uint64), none, none, known, stretches)
     every = np.concatenate(hashes)
     order = np.argsort(every, kind="stable")
     known[every & np.uint64((1 << _BITS) - 1)] = True
-    return Index(ids, words, np.array(shortest), np.array(least), every[order], np.concatenate(item)[order], np.concatenate(place)[order], known, windows)
+    return Index(ids, words, np.array(shortest), np.array(least), every[order], np.concatenate(item)[order], np.concatenate(place)[order], known, stretches)
 
 
 def _distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -110,27 +111,54 @@ def _distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return row[-1]
 
 
-def _verified(own: np.ndarray, windows: list[str], doc: np.ndarray, place: np.ndarray, diagonal: np.ndarray, min_words: int, edits: int) -> bool | None:
-    """Whether a region of shared grams in a band is a leak: True if it holds min_words words unchanged, False if only a
-    stretch of at least min_words words aligns within the edits allowed for each min_words words, None if neither.
+def _aligned(own: np.ndarray, begins: np.ndarray, stops: np.ndarray, doc: np.ndarray, low: int, high: int, edits: int) -> int | None:
+    """The least edits, up to `edits`, between one of the stretches own[begin:stop] and any part of doc, on diagonals from
+    low to high; None if all have more.
 
-    place runs upwards. A stretch ends where no shared gram follows within what the edits can break.
+    For each stretch and diagonal, the place of the item reached with k edits follows from those reached with k - 1.
     """
-    aligned = None
+    first, last = int(begins.min()), int(stops.max())
+    diagonals = np.arange(low, high + 1)
+    spots = np.arange(first, last) + diagonals[:, None]
+    within = (spots >= 0) & (spots < len(doc))
+    differs = ~within | (doc[np.where(within, spots, 0)] != own[first:last])
+    differing = np.where(differs, np.arange(first, last), last)
+    # The next place from each one on, last included, where item and document differ.
+    after = np.full((len(diagonals), last - first + 1), last)
+    after[:, :-1] = np.minimum.accumulate(differing[:, ::-1], axis=1)[:, ::-1]
+    row = np.arange(len(diagonals))
+    reached = after[row, begins[:, None] - first]
+    for k in range(edits + 1):
+        if (reached >= stops[:, None]).any():
+            return k
+        further = reached + 1  # a character replaced
+        further[:, :-1] = np.maximum(further[:, :-1], reached[:, 1:] + 1)  # one left out of the document
+        further[:, 1:] = np.maximum(further[:, 1:], reached[:, :-1])  # one put into it
+        reached = after[row, np.minimum(further, last) - first]
+    return None
+
+
+def _verified(own: np.ndarray, stretches: tuple[np.ndarray, np.ndarray], doc: np.ndarray, place: np.ndarray, diagonal: np.ndarray, edits: int) -> bool | None:
+    """Whether a region of shared grams in a band is a leak: True if it holds a stretch of min_words words unchanged, False
+    if only one with at most `edits` edits, None if neither.
+
+    place runs upwards. A region ends where no shared gram follows within what the edits can break.
+    """
+    begins, stops = stretches
+    found = None
     breaks = np.flatnonzero(np.diff(place) > Q * (edits + 1)) + 1
-    for first, last in zip([0, *breaks.tolist()], [*(breaks - 1).tolist(), len(place) - 1]):
-        i, j = int(place[first]), int(place[last]) + Q
-        if np.count_nonzero(own[i:j] == 32) - 1 < min_words:
+    for first, last in zip([0, *breaks.tolist()], [*breaks.tolist(), len(place)]):
+        shared = np.searchsorted(place[first:last], stops - Q, "right") - np.searchsorted(place[first:last], begins, "left")
+        near = np.flatnonzero(shared >= np.maximum(1, stops - begins + 1 - Q - Q * edits))
+        if not len(near):
             continue
-        spots = place[first : last + 1] + diagonal[first : last + 1]
-        region = doc[int(spots.min()) : int(spots.max()) + Q].tobytes().decode("utf-32-le")
-        if any(w in region for w in windows):
+        on = diagonal[first:last]
+        least = _aligned(own, begins[near], stops[near], doc, int(on.min()) - edits, int(on.max()) + edits, edits)
+        if least == 0:
             return True
-        a, b = i + int(diagonal[first]), j + int(diagonal[last])
-        allowed = edits * ((np.count_nonzero(own[i:j] == 32) - 1) // min_words)
-        if aligned is None and 0 <= a < b and _distance(own[i:j], doc[a:b], allowed) <= allowed:
-            aligned = False
-    return aligned
+        if least is not None:
+            found = False
+    return found
 
 
 def find(texts: list[str | None], ix: Index, min_words: int, edits: int) -> list[tuple[int, int, bool]]:
@@ -175,7 +203,7 @@ def find(texts: list[str | None], ix: Index, min_words: int, edits: int) -> list
         t, k = divmod(int(pair[a]), len(ix.ids))
         if not found.get((t, k)):
             doc = cp[edge[t] : edge[t + 1] + 1]
-            verdict = _verified(ix.words[k], ix.windows[k], doc, place[a:b], diagonal[a:b], min_words, edits)
+            verdict = _verified(ix.words[k], ix.stretches[k], doc, place[a:b], diagonal[a:b], edits)
             if verdict is not None:
                 found[t, k] = verdict
     return [(t, k, e) for (t, k), e in sorted(found.items())]
@@ -187,7 +215,9 @@ def leaks(
     """(id, item_id, exact): documents that hold a stretch of at least min_words successive words of an item's passage
     with at most `edits` edits for each min_words words; exact: they hold min_words successive words unchanged.
 
-    Every exact leak is found; so is every other whose edits are at most what the q-gram bound of the item allows.
+    Every exact leak is found; so is every other of an item whose shortest stretch of min_words words, with the blanks
+    around it, has at least Q * (edits + 1) characters. Of items of shorter words, only those that still share a gram are.
+    A blank before or after the stretch that the document lacks is an edit.
     Words are compared by `plain`. Null and empty texts and passages, and passages with fewer than min_words words,
     match nothing. An item given twice counts once for each passage; a document once for each item. An empty table on
     either side gives no rows. Items are brought to the driver block by block, at most block_chars characters (and one

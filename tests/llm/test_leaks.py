@@ -107,3 +107,52 @@ def test_spaced_words():
     cp, edge = words.spaced_words(["One, two!", None, "", "\x00x"])
     text = cp.tobytes().decode("utf-32-le")
     assert text.split() == ["one", "two", "x"] and len(edge) == 5
+
+
+def apart(a, b):
+    """Least edits between a and any part of b, by the whole table."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_several_edits_in_one_passage(spark):
+    r = random.Random(8)
+    w = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(140)]
+    typo = lambda ws, at: [x[:2] + "x" + x[3:] if i in at else x for i, x in enumerate(ws)]
+    docs = [(1, " ".join(typo(w[:28], (4, 19)))), (2, " ".join(typo(w, range(0, 140, 12)))), (3, " ".join(typo(w, range(0, 140, 6)))), (4, " ".join(typo(w[:15], (0,)))), (5, " ".join(typo(w[:15], (14,))))]
+    assert run(spark, docs, [("e", " ".join(w))]) == {(1, "e"): False, (2, "e"): False, (4, "e"): False, (5, "e"): False}
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_edited_leaks_equal_brute_force(edits):
+    r = random.Random(edits)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(5, 9)))
+    own = [[word() for _ in range(n)] for n in (6, 7, 12, 20)]
+    items = [(f"e{i}", " ".join(w)) for i, w in enumerate(own)]
+    texts = []
+    for _ in range(60):
+        w = r.choice(own)
+        at, n = r.randrange(0, len(w) - 5), r.randrange(5, 16)
+        piece = list(" ".join(w[at : at + n]))
+        for _ in range(r.randrange(0, 5)):
+            k = r.choice([0, 1, len(piece) - 1, r.randrange(len(piece))])
+            piece[k : k + r.randrange(2)] = r.choice(["", "x", "y", " "])
+        texts.append(" ".join([word() for _ in range(r.randrange(3))]) + " " + "".join(piece) + " " + " ".join([word() for _ in range(r.randrange(3))]))
+    ix = leaks.index(items, 6 if edits == 1 else 12, edits)
+    n = 6 if edits == 1 else 12
+    # Lengths that the q-gram bound covers whole.
+    sure = {k for k, own_ in zip(ix.ids, ix.shortest) if own_ >= leaks.Q * (edits + 1)}
+    want, got = {}, {(t, ix.ids[k]): e for t, k, e in leaks.find(texts, ix, n, edits) if ix.ids[k] in sure}
+    for t, text in enumerate(texts):
+        plain = " " + " ".join(tokens(text)) + " "
+        for k, p in items:
+            ws = p.split()
+            least = min((apart(" " + " ".join(ws[i : i + n]) + " ", plain) for i in range(len(ws) - n + 1)), default=99)
+            if k in sure and least <= edits:
+                want[t, k] = least == 0
+    assert sure and any(want.values()) and not all(want.values()) and got == want
