@@ -164,7 +164,7 @@ def consolidated(records: DataFrame, aliases: DataFrame, numbers: tuple[str, ...
     the other fields to their JSON text.
 
     A value that doesn't convert is null, with its text kept in rest under the field's name. Numbers in `times` are
-    seconds since 1970. A field under several names in one record takes the first value that isn't null. A text that
+    seconds since 1970, of at most ten digits before the point. Parts of a second are kept to the microsecond. A field under several names in one record takes the first value that isn't null. A text that
     isn't a JSON object gives a row of nulls. `aliases` is collected to the driver for this, after a check that it
     has at most 10,000 rows.
     """
@@ -193,7 +193,7 @@ def consolidated(records: DataFrame, aliases: DataFrame, numbers: tuple[str, ...
                         plain = _number(value)
                     else:
                         plain = None if kind in (None, "null", "object", "array", "boolean") else str(value).strip()
-                    if plain is None and value is not None:
+                    if value is not None and (plain is None or f in times):
                         rest[f] = str(value)
                     out[f].append(plain)
                     out[f"{f}_as"].append(kind)
@@ -216,7 +216,9 @@ def consolidated(records: DataFrame, aliases: DataFrame, numbers: tuple[str, ...
     )
     table = records.select("record_id", "file_no", "record_json").mapInArrow(rows, schema)
     for f in times:
-        seconds = F.when(F.col(f"{f}_as").isin("long", "double"), F.try_to_number(F.col(f), F.lit("9999999999")))
-        parsed = F.coalesce(F.timestamp_micros((seconds * 1_000_000).cast("bigint")), F.col(f).try_cast("timestamp"))
-        table = table.withColumn(f, F.date_format(parsed, "yyyy-MM-dd HH:mm:ss"))
+        seconds = F.col(f).try_cast("decimal(20,6)")
+        seconds = F.when(F.abs(seconds) < 10_000_000_000, seconds)
+        parsed = F.when(F.col(f"{f}_as").isin("long", "double"), F.timestamp_micros((seconds * 1_000_000).cast("bigint"))).otherwise(F.col(f).try_cast("timestamp"))
+        table = table.withColumn(f, parsed.cast("string"))
+        table = table.withColumn("rest", F.when(F.col(f).isNull(), F.col("rest")).otherwise(F.map_filter("rest", lambda k, _: k != f)))
     return table
