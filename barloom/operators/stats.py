@@ -18,6 +18,7 @@ from barloom.functions import dist
 from barloom.functions.semantics import whole
 from barloom.operators.ranks import average_ranks, quantiles
 from barloom.operators.scan import by_stretch, folded, scanned
+from barloom.sources.tables import written
 
 
 @F.pandas_udf(T.DoubleType())
@@ -273,23 +274,40 @@ def autocorrelation(df: DataFrame, x: str, lags: int = 20, keys: Sequence[str] =
     return each.withColumn("q", q).select(*keys, "lag", "acf", "pacf", "q", _chi2_p("q", "lag").alias("p_value"), (F.abs("acf") > 1.96 / F.sqrt("n")).alias("outside"))
 
 
+def _bandwidth(n: int, p: Sequence[float]) -> int | None:
+    """The plug-in number of lags of Hobijn, Franses and Ooms of n rows, from their first products; None if they vanish."""
+    cover = int(n ** (2 / 9))
+    s0 = p[0] / n + sum(p[i] / (n / 2) for i in range(1, cover + 1))
+    s1 = sum(i * p[i] / (n / 2) for i in range(1, cover + 1))
+    return min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1) if s0 and p[0] else None
+
+
 def level_stationarity(df: DataFrame, x: str, keys: Sequence[str] = ("symbol",), order: str = "ts", most: int = 256) -> DataFrame:
     """(keys, n_obs, lags, statistic, p_value): KPSS around a constant, with the plug-in number of lags of Hobijn,
-    Franses and Ooms, of at most `most`."""
-    found = lag_products(df, x, most, keys, order)
+    Franses and Ooms.
+
+    The products of the first `most` lags, a row a series, are written to the shared folder once; if any series asks for
+    more lags, as many as it asks for are computed.
+    """
+    found = written(lag_products(df, x, most, keys, order), "products")
+
+    @F.pandas_udf("long")
+    def asked(n_: pd.Series, products: pd.Series) -> pd.Series:
+        return pd.Series([_bandwidth(n, p) or 0 for n, p in zip(n_, products)], dtype="int64")
+
+    needed = found.agg(F.max(asked("n", "products"))).first()[0]
+    if needed is not None and needed > most:
+        found = lag_products(df, x, needed, keys, order)
 
     @F.pandas_udf("lags long, statistic double, p_value double")
     def solve(n_: pd.Series, products: pd.Series, squares: pd.Series) -> pd.DataFrame:
         out = []
         for n, p, s in zip(n_, products, squares):
             p = np.array(p)
-            cover = int(n ** (2 / 9))
-            s0 = p[0] / n + sum(p[i] / (n / 2) for i in range(1, cover + 1))
-            s1 = sum(i * p[i] / (n / 2) for i in range(1, cover + 1))
-            if not s0 or not p[0]:
+            lags = _bandwidth(n, p)
+            if lags is None:
                 out.append((None, None, None))
                 continue
-            lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), most, n - 1)
             variance = (p[0] + 2 * sum(p[i] * (1 - i / (lags + 1)) for i in range(1, lags + 1))) / n
             eta = s / n**2 / variance
             out.append((lags, eta, dist.kpss_p(eta)))

@@ -170,3 +170,21 @@ def test_transitions_and_stability(spark):
     b = spark.createDataFrame([("s", 0.1, True), ("s", 0.2, False), ("s", -0.1, False), ("s", 0.3, True)], "symbol string, ic double, significant boolean")
     r = stats.stability(b, ("symbol",)).first()
     assert (r.n_periods, r.sign_consistency, r.pct_significant, r.is_stable) == (4, 0.75, 0.5, True)
+
+
+def test_kpss_takes_all_lags_it_asks_for(spark):
+    n, batch = 250_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "100000")
+    try:
+        k = stats.level_stationarity(spark.range(n).selectExpr("'s' as symbol", "id as ts", "sin(id / 40000.0D) as x"), "x").first()
+    finally:
+        spark.conf.set(batch, before)
+    y = np.sin(np.arange(n) / 40000)
+    e = y - y.mean()
+    p = [e[i:] @ e[: n - i] for i in range(1, 400)]
+    cover = int(n ** (2 / 9))
+    s0, s1 = (e @ e / 2 + sum(p[:cover])) / (n / 2), sum(i * v for i, v in enumerate(p[:cover], 1)) / (n / 2)
+    lags = int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3))
+    lrv = (e @ e + 2 * sum((1 - i / (lags + 1)) * p[i - 1] for i in range(1, lags + 1))) / n
+    assert k.lags == lags > 256 and math.isclose(k.statistic, (e.cumsum() @ e.cumsum()) / n**2 / lrv, rel_tol=1e-6)
