@@ -377,15 +377,23 @@ def redundant(matrix: DataFrame, threshold: float = 0.7) -> DataFrame:
     return matrix.where(F.abs("corr") > threshold)
 
 
-def greedy_selection(matrix: DataFrame, sizes: dict[str, float], threshold: float = 0.7) -> tuple[list[str], list[str]]:
-    """(kept, dropped): features by falling size of their IC, in the order given for equal ones; each is kept unless it
-    correlates above the threshold with one kept before. The matrix of a few features is brought to the driver."""
+def redundancies(matrix: DataFrame, sizes: dict[str, float], threshold: float = 0.7) -> dict[str, str | None]:
+    """Each feature, by falling size of its IC, in the order given for equal ones: None if it is kept, or that one of
+    those kept before which it correlates with most, above the threshold. The matrix of a few features is brought to
+    the driver."""
     corr = {frozenset((r.feature_a, r.feature_b)): abs(r.corr) for r in matrix.where("corr is not null").collect()}
-    kept: list[str] = []
+    out: dict[str, str | None] = {}
     for f in sorted(sizes, key=lambda f: -abs(sizes[f])):
-        if all(corr.get(frozenset((f, k)), 0.0) <= threshold for k in kept):
-            kept.append(f)
-    return kept, [f for f in sizes if f not in kept]
+        near = {k: c for k, of in out.items() if of is None and (c := corr.get(frozenset((f, k)), 0.0)) > threshold}
+        out[f] = max(near, key=lambda k: near[k]) if near else None
+    return out
+
+
+def greedy_selection(matrix: DataFrame, sizes: dict[str, float], threshold: float = 0.7) -> tuple[list[str], list[str]]:
+    """(kept, dropped): features by falling size of their IC; each is kept unless it correlates above the threshold with
+    one kept before, as `redundancies` says."""
+    found = redundancies(matrix, sizes, threshold)
+    return [f for f, of in found.items() if of is None], [f for f in sizes if found[f] is not None]
 
 
 def walk_forward(df: DataFrame, feature: str, horizon: int, period: int = 6048, keys: Sequence[str] = ("symbol",), order: str = "ts", price: str = "close", least: int = 30) -> DataFrame:

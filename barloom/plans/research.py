@@ -606,8 +606,7 @@ def feature_selection(spark, d):
     ics = stats.information(_pairs(spark, d).where("horizon = 4"), ("feature",), "value", "fwd").select("feature", "ic", "n_obs")
     sizes = {row.feature: row.ic or 0.0 for row in ics.collect()}
     matrix = stats.correlations(f, _FEATURES)
-    kept, dropped = stats.greedy_selection(matrix, sizes)
-    lost = spark.createDataFrame([(x, kept[0]) for x in dropped], "feature string, redundant_with string")
+    lost = spark.createDataFrame([(x, of) for x, of in stats.redundancies(matrix, sizes).items() if of is not None], "feature string, redundant_with string")
     adf_ = stats.dickey_fuller(stats.long(f, _FEATURES, KEY), "value", ("feature",)).select("feature", F.col("p_value").alias("adf_p"))
     blocks = stats.long(f.withColumn("f", F.col("f4")), _FEATURES, ("symbol", "ts", "close"))
     steady = stats.stability(stats.walk_forward(blocks, "value", 4, 120, ("symbol", "feature")), ("feature",)).select("feature", "sign_consistency")

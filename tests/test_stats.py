@@ -188,3 +188,10 @@ def test_kpss_takes_all_lags_it_asks_for(spark):
     lags = int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3))
     lrv = (e @ e + 2 * sum((1 - i / (lags + 1)) * p[i - 1] for i in range(1, lags + 1))) / n
     assert k.lags == lags > 256 and math.isclose(k.statistic, (e.cumsum() @ e.cumsum()) / n**2 / lrv, rel_tol=1e-6)
+
+
+def test_redundant_with_names_the_kept_one(spark):
+    m = spark.createDataFrame([("a", "b", 0.1, 1), ("a", "c", 0.2, 1), ("b", "c", -0.9, 1), ("d", "b", 0.75, 1), ("d", "a", 0.8, 1)], "feature_a string, feature_b string, corr double, n_obs int")
+    sizes = {"c": 0.05, "a": 0.3, "b": -0.2, "d": 0.01}
+    assert stats.redundancies(m, sizes) == {"a": None, "b": None, "c": "b", "d": "a"}
+    assert stats.greedy_selection(m, sizes) == (["a", "b"], ["c", "d"])
