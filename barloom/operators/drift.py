@@ -1,8 +1,8 @@
 """Fields that drift between files: one consistent table, and every change from file to file (problem 6).
 
 Each record is a JSON object. A union of tagged types is inferred for each file and name by fusing the kinds of all
-its values, first inside each batch, then over the cluster; a conflict keeps each kind as a branch beside the
-canonical value.
+its values, first inside each batch, then over the cluster; the one table keeps each kind as a branch beside the
+canonical value. `alternatives` does the same for every path inside objects and arrays.
 """
 
 from __future__ import annotations
@@ -49,6 +49,46 @@ class _Object(list):
 _read = json.JSONDecoder(object_pairs_hook=_Object, parse_float=_Fraction, parse_int=_Whole, parse_constant=_Fraction).decode
 
 
+def _json(value: object) -> str:
+    """A value as JSON text, numbers as written. Without recursion, as values may be nested deeper than Python's calls."""
+    out: list[str] = []
+    stack: list = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, tuple):  # a piece of text
+            out.append(v[0])
+        elif isinstance(v, (_Fraction, _Whole)):
+            out.append(str(v))
+        elif isinstance(v, list):
+            whole = isinstance(v, _Object)
+            parts: list = [("{" if whole else "[",)]
+            for i, e in enumerate(v):
+                parts += [(", ",)] * (i > 0) + ([(json.dumps(e[0]) + ": ",), e[1]] if whole else [e])
+            stack.extend(reversed([*parts, ("}" if whole else "]",)]))
+        else:
+            out.append(json.dumps(v))
+    return "".join(out)
+
+
+def _text(value: object) -> str | None:
+    """What rest keeps: a text as it is, all else as JSON text; null for null."""
+    return None if value is None else str(value) if isinstance(value, str) else _json(value)
+
+
+def _paths(pairs: _Object) -> Iterator[tuple[str, str, str]]:
+    """(name, path below it, kind) of every value of a record; .name for a member, [] for the elements of an array."""
+    stack = [(name.strip().lower(), "", value) for name, value in reversed(pairs)]
+    while stack:
+        name, path, value = stack.pop()
+        yield name, path, _kind(value)
+        if isinstance(value, _Object):
+            for k, v in value:
+                k = k.strip().lower()
+                stack.append((name, f"{path}.{json.dumps(k) if set(k) & set('.[]') else k}", v))
+        elif isinstance(value, list):
+            stack.extend((name, f"{path}[]", v) for v in value)
+
+
 def _pairs(text: str | None) -> _Object | None:
     if text is None:
         return None
@@ -149,6 +189,33 @@ def changes(records: DataFrame, aliases: DataFrame) -> DataFrame:
     return seen.select("field", F.explode(found).alias("c")).select("c.file_no", "field", "c.change_kind")
 
 
+def _path_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen: dict = {}
+        for file, provider, at, text in zip(*(c.to_pylist() for c in batch.columns)):
+            seen[file, provider, at, None, None, None] = None
+            seen.update(dict.fromkeys((file, provider, at, *found) for found in _paths(_pairs(text) or _Object())))
+        cols = list(zip(*seen)) or [()] * 6
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["file_no", "provider", "at", "name", "below", "kind"])
+
+
+def alternatives(records: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(file_no, path, kind): each kind of value that a path holds in a file for the first time among its provider's
+    files, by loaded_at, then file_no; nothing for a provider's first file. path: the field, then .name for members of
+    objects and [] for elements of arrays. kind: one of KINDS."""
+    narrow = records.select("file_no", "provider", F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("at"), "record_json")
+    fused = written(narrow.mapInArrow(_path_kinds, "file_no long, provider string, at long, name string, below string, kind string").distinct(), "paths")
+    order = Window.partitionBy("provider").orderBy("at", "file_no")
+    files = fused.where("name is null").groupBy("provider", "file_no").agg(F.min("at").alias("at"))
+    files = files.select(F.col("provider").alias("of_provider"), F.col("file_no").alias("of_file"), F.row_number().over(order).alias("seq"))
+    known = aliases.select(F.trim(F.lower("alias")).alias("name"), F.col("field").alias("known")).dropDuplicates(["name"])
+    path = F.concat(F.coalesce("known", "name"), "below").alias("path")
+    seen = fused.where("name is not null").join(known, "name", "left").select("provider", "file_no", path, "kind").join(files, F.expr("provider <=> of_provider and file_no <=> of_file"))
+    first = seen.groupBy("provider", "path", "kind").agg(F.min(F.struct("seq", "file_no")).alias("f"))
+    return first.where("f.seq > 1").select("f.file_no", "path", "kind")
+
+
 def _number(value: object) -> float | None:
     if isinstance(value, str):
         try:
@@ -158,10 +225,27 @@ def _number(value: object) -> float | None:
     return float(value) if isinstance(value, bool) else None
 
 
+_BRANCHES = pa.struct([("string", pa.string()), ("double", pa.float64()), ("long", pa.int64()), ("other", pa.string())])
+
+
+def _branch(value: object, kind: str | None) -> dict | None:
+    """A value in the branch of its kind; null for null."""
+    if value is None:
+        return None
+    if kind == "string":
+        return {"string": str(value)}
+    if kind == "double":
+        return {"double": float(value)}
+    if kind == "long" and len(value) < 20 and -(2**63) <= int(value) < 2**63:
+        return {"long": int(value)}
+    return {"other": _json(value)}
+
+
 def consolidated(records: DataFrame, aliases: DataFrame, numbers: tuple[str, ...], times: tuple[str, ...]) -> DataFrame:
     """One table of all records: record_id, file_no, each field of `numbers` as double, each of `times` as the text of
-    a timestamp in UTC, <field>_as with the kind it was written in (null where the key is absent), and rest, a map of
-    the other fields to their JSON text.
+    a timestamp in UTC, <field>_as with the kind it was written in (null where the key is absent), <field>_branch with the
+    value as written in the branch of its kind (string, double, long, or other: JSON text, also of whole numbers beyond
+    64 bits), and rest, a map of the other fields to their text, if they are texts, or else their JSON text.
 
     A value that doesn't convert is null, with its text kept in rest under the field's name. Numbers in `times` are
     seconds since 1970, of at most ten digits before the point. Parts of a second are kept to the microsecond. A field under several names in one record takes the first value that isn't null. A text that
@@ -177,7 +261,7 @@ def consolidated(records: DataFrame, aliases: DataFrame, numbers: tuple[str, ...
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, files, texts = (c.to_pylist() for c in batch.columns)
-            out: dict[str, list] = {f: [] for f in wanted} | {f"{f}_as": [] for f in wanted} | {"rest": []}
+            out: dict[str, list] = {f: [] for f in wanted} | {f"{f}_as": [] for f in wanted} | {f"{f}_branch": [] for f in wanted} | {"rest": []}
             for text in texts:
                 values: dict[str, object] = {}
                 for name, value in _pairs(text) or ():
@@ -194,24 +278,27 @@ def consolidated(records: DataFrame, aliases: DataFrame, numbers: tuple[str, ...
                     else:
                         plain = None if kind in (None, "null", "object", "array", "boolean") else str(value).strip()
                     if value is not None and (plain is None or f in times):
-                        rest[f] = str(value)
+                        rest[f] = _text(value)
                     out[f].append(plain)
                     out[f"{f}_as"].append(kind)
-                rest |= {k: None if v is None else str(v) for k, v in values.items() if k not in wanted}
+                    out[f"{f}_branch"].append(_branch(value, kind))
+                rest |= {k: _text(v) for k, v in values.items() if k not in wanted}
                 out["rest"].append(list(rest.items()))
             kinds = [pa.float64() if f in numbers else pa.string() for f in wanted]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(files, pa.int64())]
                 + [pa.array(out[f], k) for f, k in zip(wanted, kinds)]
                 + [pa.array(out[f"{f}_as"], pa.string()) for f in wanted]
+                + [pa.array(out[f"{f}_branch"], _BRANCHES) for f in wanted]
                 + [pa.array(out["rest"], pa.map_(pa.string(), pa.string()))],
-                ["record_id", "file_no", *wanted, *(f"{f}_as" for f in wanted), "rest"],
+                ["record_id", "file_no", *wanted, *(f"{f}_as" for f in wanted), *(f"{f}_branch" for f in wanted), "rest"],
             )
 
     schema = ", ".join(
         ["record_id long, file_no long"]
         + [f"`{f}` {'double' if f in numbers else 'string'}" for f in wanted]
         + [f"`{f}_as` string" for f in wanted]
+        + [f"`{f}_branch` struct<string: string, double: double, long: bigint, other: string>" for f in wanted]
         + ["rest map<string, string>"]
     )
     table = records.select("record_id", "file_no", "record_json").mapInArrow(rows, schema)

@@ -229,6 +229,11 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consolidated(table(spark, d, "file_records"), table(spark, d, "field_aliases"), fields, ("datetime",))
 
 
+def p6_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """Every kind of value that a path of a provider's files holds for the first time."""
+    return drift.alternatives(table(spark, d, "file_records"), table(spark, d, "field_aliases"))
+
+
 P6_FOUND_SQL = """
 with r as (select file_no, provider, loaded_at, record_json as j from file_records),
 k as (select file_no, provider, loaded_at, j, unnest(json_keys(j)) as raw from r),
@@ -272,7 +277,7 @@ union all select k, 'datetime' from j where a.datetime is distinct from b.dateti
     )
 )
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_distances, p2_found, p2_rows, p3_found, p4_found, p4_grid, p5_found, p6_found, p6_table, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_distances, p2_found, p2_rows, p3_found, p4_found, p4_grid, p5_found, p6_found, p6_table, p6_alternatives, p7_found)}
 SQL = {
     "p1_found": P1_FOUND_SQL,
     "p1_profile": P1_PROFILE_SQL,

@@ -61,5 +61,23 @@ def test_a_time_keeps_its_parts_or_its_text(spark):
     df = frame(spark, [(1, "p", T[0], '{"datetime": ' + t + "}") for t in texts])
     got = {r.record_id: (r.datetime, r.rest) for r in drift.consolidated(df, aliases(spark), ("close",), ("datetime",)).collect()}
     want = [(None, "02.01.2024 10:00"), (None, "1700000000123"), ("2023-11-14 22:13:20.5", None), ("2023-11-14 22:13:20", None), ("2024-01-02 03:04:05.000007", None), ("1969-12-31 23:59:59", None)]
-    want += [("2024-01-02 00:00:00", None), (None, ""), (None, "True"), (None, None), (None, "NaN")]
+    want += [("2024-01-02 00:00:00", None), (None, ""), (None, "true"), (None, None), (None, "NaN")]
     assert [got[i] for i in range(len(texts))] == [(t, {} if x is None else {"datetime": x}) for t, x in want]
+
+
+def test_branches_keep_values_as_written(spark):
+    values = ['"007"', "9007199254740993", "1.5", "true", "null", '{"a": [1, {"b": null}], "a": 1.50}', "123456789012345678901234567890"]
+    df = frame(spark, [(1, "p", T[0], '{"close": ' + v + ', "z": ' + v + "}") for v in values])
+    got = {r.record_id: r for r in drift.consolidated(df, aliases(spark), ("close",), ()).collect()}
+    branch = [None if got[i].close_branch is None else {k: v for k, v in got[i].close_branch.asDict().items() if v is not None} for i in range(len(values))]
+    assert branch == [{"string": "007"}, {"long": 9007199254740993}, {"double": 1.5}, {"other": "true"}, None, {"other": values[5]}, {"other": values[6]}]
+    assert [got[i].rest["z"] for i in range(len(values))] == ["007", *values[1:4], None, *values[5:]]
+    assert got[0].close == 7.0 and got[5].close is None and got[5].rest["close"] == values[5]
+
+
+def test_new_alternatives_by_path(spark):
+    deep = '{"x": ' + "[" * 300 + "]" * 300 + "}"
+    rows = [(1, "p", T[0], '{"Vol": "a", "g": {"h": 1}}'), (2, "p", T[1], '{"volume": 1, "g": {"H ": [1.5, {"k.l": null}]}}'), (3, "p", T[2], '{"vol": 2, "g": {"h": 2}, "v": []}'), (9, None, T[0], deep), (8, None, T[1], deep), (7, "p", T[3], "{")]
+    got = sorted((r.file_no, r.path, r.kind) for r in drift.alternatives(frame(spark, rows), aliases(spark)).collect())
+    assert got == [(2, "g.h", "array"), (2, "g.h[]", "double"), (2, "g.h[]", "object"), (2, 'g.h[]."k.l"', "null"), (2, "volume", "long"), (3, "v", "array")]
+    assert drift.alternatives(frame(spark, []), aliases(spark)).count() == 0
