@@ -3,6 +3,8 @@ from datetime import date, datetime, timedelta
 
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barloom.functions.dist import deflated_sharpe
@@ -20,15 +22,21 @@ def run(spark, close, signal, cost=bt.ZeroCost()):
     return bt.backtest(frame(spark, close, signal), "signal", cost).orderBy("ts").collect()
 
 
-def test_flip_costs_twice(spark):
-    rows = run(spark, [1.10 + 0.01 * i / 9 for i in range(10)], [0, 0, 1, 1, 1, -1, -1, -1, -1, -1], bt.FxCost(1.0, 0.0))
-    assert [r.trade for r in rows] == [0, 0, 0, 1, 0, 0, -2, 0, 0, 0]
-    assert math.isclose(rows[6].cost, 2e-4) and rows[3].position == 1
+@given(st.lists(st.sampled_from([None, -1.0, -0.5, 0.0, 1.0]), min_size=1, max_size=12), st.floats(0.1, 9), st.floats(0.1, 9))
+@settings(max_examples=15, deadline=None)
+def test_every_unit_of_trade_pays_the_rate(spark, wanted, spread, slippage):
+    close = [50 + (7 * i) % 11 for i in range(len(wanted))]
+    rows = run(spark, close, wanted, bt.FxCost(spread, slippage))
+    held = [0.0, *(x or 0.0 for x in wanted[:-1])]
+    for i, r in enumerate(rows):
+        moved = held[i] - held[i - 1] if i else 0.0
+        assert r.position == held[i] and r.trade == moved and math.isclose(r.cost, abs(moved) * (spread + slippage) * 1e-4)
 
 
-def test_round_trip_costs(spark):
-    rows = run(spark, [1.10, 1.11, 1.12, 1.13], [1, 1, 0, 0], bt.FxCost(1.0, 0.0))
-    assert math.isclose(sum(r.cost for r in rows), 2e-4)
+def test_turning_round_pays_for_both_ways(spark):
+    rows = run(spark, [20, 21, 23, 22, 20, 19], [-1, -1, 1, 1, 1, 1], bt.FxCost(2.5, 1.5))
+    assert [r.trade for r in rows] == [0, -1, 0, 2, 0, 0]
+    assert [round(r.cost, 12) for r in rows] == [0, 4e-4, 0, 8e-4, 0, 0]
 
 
 def test_no_signal_keeps_the_equity_and_nulls_count_as_flat(spark):
@@ -52,10 +60,10 @@ def test_columns_are_checked(spark):
 
 def test_costs(spark):
     df = spark.createDataFrame([(1.0,), (0.0,), (-2.0,), (0.0,), (1.0,)], "t double")
-    rate = bt.FxCost(0.6, 0.2)
-    assert [round(r[0], 12) for r in df.select(rate.compute(F.col("t"))).collect()] == [8e-5, 0, 16e-5, 0, 8e-5]
-    assert bt.cost_from({}) == bt.FxCost(1.0, 2.0) and bt.cost_from({"execution": {"commission_bps": 0.6, "slippage_bps": 0.2}}) == rate
-    assert math.isclose(rate.of(2, "buy"), 16e-5)
+    rate = bt.FxCost(0.4, 0.3)
+    assert [round(r[0], 12) for r in df.select(rate.compute(F.col("t"))).collect()] == [7e-5, 0, 14e-5, 0, 7e-5]
+    assert bt.cost_from({}) == bt.FxCost(1.0, 2.0) and bt.cost_from({"execution": {"commission_bps": 0.4, "slippage_bps": 0.3}}) == rate
+    assert math.isclose(rate.of(2, "buy"), 14e-5)
     for bad in (lambda: bt.FxCost(-1, 0), lambda: rate.of(-1, "buy"), lambda: rate.of(1, "hold")):
         with pytest.raises(ValueError):
             bad()
@@ -82,19 +90,19 @@ def test_metrics(spark):
 
 
 def test_triple_roll(spark):
-    cases = [(date(2024, 1, 2), 2, 2), (date(2024, 1, 4), 2, 0), (date(2024, 1, 1), 7, 2), (date(2024, 1, 1), 14, 4), (None, 5, 1), (None, 7, 2), (date(2024, 1, 3), 0, 0)]
+    starts = [date(2031, 3, 3) + timedelta(days=k) for k in range(7)]
+    cases = [(d, n, 2 * sum((d + timedelta(days=k)).weekday() == 2 for k in range(n))) for d in starts for n in (0, 1, 3, 6, 8, 20, 37)]
+    cases += [(None, n, round(2 * n / 7)) for n in range(0, 30, 4)]
     df = spark.createDataFrame(cases, "d date, n int, want int")
     assert all(r[0] == r[1] for r in df.select(bt.triple_roll_days(F.col("d"), F.col("n")).cast("int"), "want").collect())
-    for d0 in range(7):
-        for n in range(0, 40):
-            start = date(2024, 1, 1) + timedelta(days=d0)
-            want = 2 * sum((start + timedelta(days=k)).weekday() == 2 for k in range(n))
-            assert 2 * ((d0 + n + 4) // 7 - (d0 + 4) // 7) == want
 
 
 def test_swap_cost(spark):
-    df = spark.createDataFrame([(0.5, 1.0, 5, None, 3.0), (-0.35, 1.0, 1, None, -0.35), (0.5, 0.0, 5, None, 0.0), (0.5, 1.0, 0, None, 0.0), (0.5, -1.0, 1, None, None)], "r double, s double, n int, d date, want double")
-    assert all(a == b for a, b in df.select(bt.swap_cost(F.col("r"), F.col("s"), F.col("n"), F.col("d")), "want").collect())
+    # Of 9 days without a start two or three are extra: 18 / 7 is nearest to 3.
+    cases = [(0.25, 2.0, 9, None, 0.25 * 2 * 12), (-1.75, 3.0, 2, date(2031, 3, 4), -1.75 * 3 * 4), (-0.6, 0.0, 4, None, 0.0), (0.9, 2.5, 0, date(2031, 3, 4), 0.0), (0.9, -2.0, 3, None, None), (0.9, 2.0, -3, None, None)]
+    df = spark.createDataFrame(cases, "r double, s double, n int, d date, want double")
+    got = df.select(bt.swap_cost(F.col("r"), F.col("s"), F.col("n"), F.col("d")), "want").collect()
+    assert all(a == b if a is None or b is None else math.isclose(a, b) for a, b in got)
 
 
 def test_as_of(spark):
