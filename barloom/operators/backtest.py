@@ -9,6 +9,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.dist import deflated_sharpe
 from barloom.functions.semantics import KEYS, ORDER, sample_kurtosis, sample_skewness, until_now, whole
@@ -69,15 +70,29 @@ def cost_from(config: Mapping) -> FxCost:
     return FxCost(float(own.get("commission_bps", 1.0)), float(own.get("slippage_bps", 2.0)))
 
 
-def backtest(df: DataFrame, signal: str = "signal", cost: CostModel = ZeroCost(), keys: Sequence[str] = KEYS, order: str = ORDER, price: str = "close") -> DataFrame:
+def checked_input(df: DataFrame, signal: str, keys: Sequence[str], order: str, price: str, rows_needed: bool = False) -> None:
+    """Raises ValueError for missing columns (and, with rows_needed, for a table without rows: this reads one row), and
+    TypeError for an order that isn't a time, or a price or signal that isn't a number."""
+    lacking = [c for c in (signal, price, *keys, order) if c not in df.columns]
+    if lacking:
+        raise ValueError(f"columns missing: {lacking}")
+    if not isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        raise TypeError(f"{order} must be a timestamp or a date, not {df.schema[order].dataType.simpleString()}")
+    for c in (signal, price):
+        if not isinstance(df.schema[c].dataType, T.NumericType):
+            raise TypeError(f"{c} must be a number, not {df.schema[c].dataType.simpleString()}")
+    if rows_needed and df.isEmpty():
+        raise ValueError("no rows to test on")
+
+
+def backtest(df: DataFrame, signal: str = "signal", cost: CostModel = ZeroCost(), keys: Sequence[str] = KEYS, order: str = ORDER, price: str = "close", rows_needed: bool = False) -> DataFrame:
     """`df` with position (the signal of the row before, 0 at first and for null), trade (its change, 0 at first),
     gross_return, cost, net_return and equity (the running product of 1 + net_return).
 
-    Rows that a slice leaves out must be filtered before: neighbours that are kept count as successive.
+    Rows that a slice leaves out must be filtered before: neighbours that are kept count as successive. The input is
+    checked as `checked_input` says; without rows_needed an empty table gives an empty one.
     """
-    lacking = [c for c in (signal, price, *keys, order) if c not in df.columns]
-    if lacking:
-        raise ValueError(f"columns missing: {lacking}")
+    checked_input(df, signal, keys, order, price, rows_needed)
     w = whole(keys, order)
     one = df.withColumns({
         "position": F.coalesce(F.lag(signal).over(w), F.lit(0.0)),

@@ -21,6 +21,8 @@ from barloom.sources.tables import written
 
 #: The parts of a baseline whose ends, values of its own, bound the bins of a number.
 TENTHS = 10
+#: Whole numbers up to here, in size, are doubles of their own.
+EXACT = 1 << 53
 
 
 def _is_text(kind: T.DataType) -> bool:
@@ -37,19 +39,30 @@ def _split(c: Column, kind: T.DataType) -> tuple[Column, Column]:
     return F.lit(None).cast("double"), c.cast("string")
 
 
+def _told(c: Column, kind: T.DataType) -> Column:
+    """The text that tells a value apart: a text itself; of numbers, decimals and whole ones beyond EXACT, else null."""
+    none = F.lit(None).cast("string")
+    if isinstance(kind, T.DecimalType):
+        return c.cast("string")
+    if isinstance(kind, T.LongType):
+        return F.when((c > EXACT) | (c < -EXACT), c.cast("string"))
+    return _split(c, kind)[1] if _is_text(kind) else none
+
+
 def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
     """(load, column_no, num, txt, n): how often each value of each column occurs in each load; column_no is the place in
     `columns`, as names would be most of what is shuffled.
 
-    Numbers and booleans go to num; all else to txt as a string, timestamps as microseconds in num. NaN counts as
-    null. A null is a row with num and txt null. An empty table gives no row; columns of `df` that aren't named are
+    Numbers and booleans go to num; all else to txt as a string, timestamps as microseconds in num. Decimals, and whole
+    numbers that no double can hold, have their digits in txt too, so that different ones are counted apart. NaN counts
+    as null. A null is a row with num and txt null. An empty table gives no row; columns of `df` that aren't named are
     not read, whatever their names.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     cells = []
     for place, name in enumerate(columns):
-        num, txt = _split(F.col(f"`{name}`"), kinds[name])
-        cells.append(F.struct(F.lit(place).alias("column_no"), num.alias("num"), txt.alias("txt")))
+        num, _ = _split(F.col(f"`{name}`"), kinds[name])
+        cells.append(F.struct(F.lit(place).alias("column_no"), num.alias("num"), _told(F.col(f"`{name}`"), kinds[name]).alias("txt")))
     long = df.select(F.col(f"`{load}`").alias("load"), F.explode(F.array(*cells)).alias("cell"))
     return long.groupBy("load", "cell.column_no", "cell.num", "cell.txt").agg(F.count(F.lit(1)).alias("n"))
 
@@ -70,12 +83,15 @@ def profile(df: DataFrame, load: str, columns: Sequence[str], patterns: Mapping[
     """One row for each load and column, over all rows of the load as delivered (repeats count).
 
     Columns: load, column_name, n_rows, n_nulls, n_zeros, n_negative, n_distinct (values that aren't null), min_num,
-    max_num, mean_num, mean_positive (null without values above 0), min_txt, max_txt, n_unmatched (values that aren't
-    null and don't match the column's pattern; 0 without a pattern), bins (map from bin to rows, nulls left out).
+    max_num, mean_num, mean_positive (null without values above 0), min_txt, max_txt (of columns that aren't numbers or
+    times), n_unmatched (values that aren't null and don't match the column's pattern; 0 without a pattern), bins (map
+    from bin to rows, nulls left out). n_distinct is exact for whole numbers and decimals of any size; min_num, max_num
+    and the means are doubles.
     Rows whose load is null form one load. An empty table gives an empty profile.
     """
     n, num, txt = F.col("n"), F.col("num"), F.col("txt")
     there = num.isNotNull() | txt.isNotNull()
+    word = F.when(num.isNull(), txt)  # a number's digits are no text
     unmatched: Column = F.lit(False)
     for name, pattern in (patterns or {}).items():
         value = F.coalesce(txt, num.cast("string"))
@@ -95,8 +111,8 @@ def profile(df: DataFrame, load: str, columns: Sequence[str], patterns: Mapping[
             F.max(num).alias("max_num"),
             F.sum(num * n).alias("sum_num"),
             F.sum(F.when(num > 0, num * n)).alias("sum_positive"),
-            F.min(txt).alias("min_txt"),
-            F.max(txt).alias("max_txt"),
+            F.min(word).alias("min_txt"),
+            F.max(word).alias("max_txt"),
             counted(unmatched).alias("n_unmatched"),
         )
     )

@@ -56,6 +56,14 @@ def test_equity_is_the_product(spark):
 def test_columns_are_checked(spark):
     with pytest.raises(ValueError):
         bt.backtest(frame(spark, [1], [1]), "other")
+    with pytest.raises(TypeError):
+        bt.backtest(frame(spark, [1], [1]).withColumn("ts", F.lit(7)))
+    with pytest.raises(TypeError):
+        bt.backtest(frame(spark, [1], [1]).withColumn("signal", F.lit("long")))
+    none = frame(spark, [1], [1]).where("false")
+    with pytest.raises(ValueError):
+        bt.backtest(none, rows_needed=True)
+    assert bt.backtest(none).count() == 0
 
 
 def test_costs(spark):

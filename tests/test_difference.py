@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.operators.difference import differences
 
@@ -62,3 +63,12 @@ def test_equals_brute_force(spark, seed):
             if (p is None) != (q is None) or (p is not None and (abs(p - q) > 1e-6 if name in "vw" else p != q)):
                 want.append((k, name))
     assert run(spark, a, [(k, v, None if w is None else float(w), *rest) for k, v, w, *rest in b]) == sorted(want)
+
+
+@pytest.mark.parametrize("kinds", [("long", "long"), ("long", "decimal(30,2)"), ("decimal(20,0)", "decimal(38,18)"), ("int", "long")])
+def test_whole_numbers_are_compared_exactly(spark, kinds):
+    big = 7 if "int" in kinds else 1 << 60
+    a = spark.createDataFrame([(1, str(big)), (2, str(big)), (3, None), (4, str(-big)), (5, "5")], "k long, v string").withColumn("v", F.col("v").cast(kinds[0]))
+    b = spark.createDataFrame([(1, str(big)), (2, str(big + 1)), (3, "1"), (4, str(big)), (5, "5")], "k long, v string").withColumn("v", F.col("v").cast(kinds[1]))
+    assert sorted(tuple(r) for r in differences(a, b, "k", ["v"]).collect()) == [(2, "v"), (3, "v"), (4, "v")]
+    assert sorted(tuple(r) for r in differences(a, b, "k", ["v"], tolerance=1.0).collect()) == [(3, "v"), (4, "v")]

@@ -121,3 +121,12 @@ def test_distances_see_what_fixed_bins_hide(spark):
     fixed = profile.compared(profile.profile(df, "lot", ["v", "s"]), base).where("load = 1").collect()
     assert [r.psi for r in fixed] == [0, 0]
     assert all(r.psi > 5 and r.chi2 == 80 for r in profile.distances(df, "lot", ["v", "s"], base).collect())
+
+
+def test_large_whole_numbers_and_decimals_stay_apart(spark):
+    from decimal import Decimal
+
+    rows = [(1, (1 << 60) + i % 100, Decimal(1 << 60) + Decimal(i % 50) / 100, -(1 << 63)) for i in range(200)]
+    got = {r.column_name: r for r in profile.profile(spark.createDataFrame(rows, "lot long, id long, sum decimal(30,2), least long"), "lot", ["id", "sum", "least"]).collect()}
+    assert (got["id"].n_distinct, got["sum"].n_distinct, got["least"].n_distinct) == (100, 50, 1)
+    assert got["id"].min_txt is None and got["sum"].max_txt is None and got["id"].n_nulls == 0
