@@ -16,13 +16,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.words import spaced_words
+from barloom.sources.tables import written
 
 #: Characters of a gram. Long ones are rare outside the items; 24 leave a bound above 1 for one edit in 15 short words.
 Q = 24
@@ -30,6 +33,8 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 #: Grams hashed at once; bounds the memory of very long texts.
 SLICE = 1 << 20
+#: A gram of more items than this doesn't by itself set a document against them.
+HOT = 16
 
 
 def _grams(cp: np.ndarray) -> np.ndarray:
@@ -44,28 +49,39 @@ def _grams(cp: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The q-grams of a block of items. hashes are sorted; item and place run along them. shortest: the length of each
-    item's shortest stretch of min_words words; least: the grams that it shares after as many edits as are looked for;
-    stretches: where each item's stretches of min_words words begin and stop, with the blanks around them."""
+    """The q-grams of a block of items. grams are sorted and different; those of gram g are the places first[g] up to
+    first[g + 1] of item and place, which run by item. shortest: the length of each item's shortest stretch of min_words
+    words; least: the grams that it shares after as many edits as are looked for; stretches: where each item's stretches
+    of min_words words begin and stop, with the blanks around them.
+
+    hot: grams of more than HOT items. A document isn't held against all of them for such a gram alone: parts is an index
+    of its own of the stretches that hot grams could fill, each text once, and of_part names the items that have each."""
 
     ids: list[str]
     words: list[np.ndarray]
     shortest: np.ndarray
     least: np.ndarray
-    hashes: np.ndarray
+    stretches: list[tuple[np.ndarray, np.ndarray]]
+    grams: np.ndarray
+    first: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    hot: np.ndarray
     known: np.ndarray
-    stretches: list[tuple[np.ndarray, np.ndarray]]
+    parts: Index | None = None
+    of_part: list[list[int]] | None = None
 
 
 def index(items: list[tuple[str, str]], min_words: int, edits: int) -> Index:
     """Items with fewer than min_words words can't leak and are left out."""
     cp, edge = spaced_words([t for _, t in items])
-    ids, words, shortest, least, stretches, hashes, item, place = [], [], [], [], [], [], [], []
-    for k, (name, _) in enumerate(items):
-        own = cp[edge[k] : edge[k + 1] + 1]
-        own = own[1:] if own[1] == 32 else own  # one blank before the first word
+    own = [cp[edge[k] : edge[k + 1] + 1] for k in range(len(items))]
+    return _index([(name, w[1:] if w[1] == 32 else w) for (name, _), w in zip(items, own)], min_words, edits, HOT)  # one blank before the first word
+
+
+def _index(items: list[tuple[str, np.ndarray]], min_words: int, edits: int, most: int | None) -> Index:
+    ids, words, shortest, least, stretches, hashes = [], [], [], [], [], []
+    for name, own in items:
         blanks = np.flatnonzero(own == 32)
         if len(blanks) - 1 < min_words:
             continue
@@ -73,42 +89,41 @@ def index(items: list[tuple[str, str]], min_words: int, edits: int) -> Index:
         begins = blanks[: len(blanks) - min_words]
         length = int((ends - begins).min()) + 1
         bound = min((b for e in range(edits + 1) if (b := length + 1 - Q - Q * e) >= 1), default=1)
-        grams = _grams(own)
-        hashes.append(grams)
-        item.append(np.full(len(grams), len(ids), np.int32))
-        place.append(np.arange(len(grams), dtype=np.int32))
+        hashes.append(_grams(own))
         ids.append(name)
         words.append(own)
         shortest.append(max(length, Q))
         least.append(bound)
         stretches.append((begins, ends + 1))
-    known = np.zeros(1 << _BITS, bool)
-    if not ids:
-        none = np.zeros(0, np.int32)
-        return Index(ids, words, none, none, np.zeros(0, np.uint64), none, none, known, stretches)
-    every = np.concatenate(hashes)
+    sizes = [len(h) for h in hashes]
+    every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    item = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+    place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if sizes else np.zeros(0, np.int32)
     order = np.argsort(every, kind="stable")
+    grams, first, which = np.unique(every, return_index=True, return_inverse=True) if ids else (every, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    known = np.zeros(1 << _BITS, bool)
     known[every & np.uint64((1 << _BITS) - 1)] = True
-    return Index(ids, words, np.array(shortest), np.array(least), every[order], np.concatenate(item)[order], np.concatenate(place)[order], known, stretches)
-
-
-def _distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Least edits between a and b, or band + 1 if there are more: an alignment within `band` of the diagonal."""
-    if abs(len(a) - len(b)) > band:
-        return band + 1
-    if len(a) == len(b) and np.array_equal(a, b):
-        return 0
-    far, row = band + 1, list(range(len(b) + 1))
-    x, y = a.tolist(), b.tolist()
-    for i in range(1, len(x) + 1):
-        low, high = max(1, i - band), min(len(y), i + band)
-        new = [far] * (len(y) + 1)
-        if low == 1:
-            new[0] = i
-        for j in range(low, high + 1):
-            new[j] = min(row[j - 1] + (x[i - 1] != y[j - 1]), row[j] + 1, new[j - 1] + 1, far)
-        row = new
-    return row[-1]
+    sorted_item = item[order]
+    first = np.concatenate((np.searchsorted(every[order], grams, "left"), [len(every)]))
+    hot = np.zeros(len(grams), bool)
+    if most is not None and len(grams):
+        new = np.concatenate(([True], sorted_item[1:] != sorted_item[:-1]))
+        new[first[:-1]] = True
+        hot = np.add.reduceat(new, first[:-1], dtype=np.int64) > most
+    out = Index(ids, words, np.array(shortest, np.int64), np.array(least, np.int64), stretches, grams, first, sorted_item, place[order], hot, known)
+    if hot.any():
+        parts: dict[bytes, list[int]] = {}
+        for k, (own, (begins, stops), is_hot) in enumerate(zip(words, stretches, np.split(hot[which], np.cumsum(sizes)[:-1]))):
+            upto = np.concatenate(([0], np.cumsum(is_hot)))
+            count = upto[np.clip(stops - Q + 1, 0, len(is_hot))] - upto[np.minimum(begins, len(is_hot))]
+            full = np.flatnonzero(count >= np.maximum(1, stops - begins + 1 - Q - Q * edits))
+            for run in np.split(full, np.flatnonzero(np.diff(full) > 1) + 1) if len(full) else ():
+                of = parts.setdefault(own[begins[run[0]] : stops[run[-1]]].tobytes(), [])
+                if not of or of[-1] != k:
+                    of.append(k)
+        out.parts = _index([(str(i), np.frombuffer(text, np.uint32)) for i, text in enumerate(parts)], min_words, edits, None)
+        out.of_part = [of for of in parts.values()]
+    return out
 
 
 def _aligned(own: np.ndarray, begins: np.ndarray, stops: np.ndarray, doc: np.ndarray, low: int, high: int, edits: int) -> int | None:
@@ -166,23 +181,57 @@ def find(texts: list[str | None], ix: Index, min_words: int, edits: int) -> list
     if not ix.ids:
         return []
     cp, edge = spaced_words(texts)
+    found = _found(cp, edge, ix, edits)
+    if ix.parts is not None and ix.parts.ids:
+        for (t, p), exact in _found(cp, edge, ix.parts, edits).items():
+            for k in ix.of_part[int(ix.parts.ids[p])]:
+                found[t, k] = exact or found.get((t, k), False)
+    return [(t, k, e) for (t, k), e in sorted(found.items())]
+
+
+def _shared(cp: np.ndarray, edge: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(spot, place in item and place) of each shared gram with each place of each item that it counts for: a hot gram
+    only for the items that share a gram with the text that isn't hot."""
     parts = []
     for s in range(0, len(cp) - Q + 1, SLICE):
         grams = _grams(cp[s : s + SLICE + Q - 1])
         own = np.flatnonzero(ix.known[grams & np.uint64((1 << _BITS) - 1)])
-        low = np.searchsorted(ix.hashes, grams[own], "left")
-        count = np.searchsorted(ix.hashes, grams[own], "right") - low
-        parts.append(np.stack((own + s, low, count))[:, count > 0])
-    spots, low, count = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int64)
+        at = np.minimum(np.searchsorted(ix.grams, grams[own]), len(ix.grams) - 1)
+        same = ix.grams[at] == grams[own]
+        parts.append(np.stack((own[same] + s, at[same])))
+    spots, gram = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
+
+    def fanned(spots: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fan = np.repeat(np.arange(len(spots)), count)
+        return spots[fan], low[fan] + np.arange(len(fan)) - np.repeat(np.cumsum(count) - count, count)
+
+    hot = ix.hot[gram]
+    cold = gram[~hot]
+    spot, at = fanned(spots[~hot], ix.first[cold], ix.first[cold + 1] - ix.first[cold])
+    if not hot.any() or not len(spot):
+        return spot, at
+    pairs = np.unique((np.searchsorted(edge, spot, "right") - 1) * len(ix.ids) + ix.item[at])
+    text, item = pairs // len(ix.ids), pairs % len(ix.ids)
+    hot_spot, hot_gram = spots[hot], gram[hot]
+    begin, stop = (np.searchsorted(hot_spot, edge[text + i], "left") for i in (0, 1))
+    which, near = fanned(np.arange(len(pairs)), begin, stop - begin)
+    # Places run by item within a gram.
+    code = np.repeat(np.arange(len(ix.grams)), np.diff(ix.first)) * len(ix.ids) + ix.item
+    wanted = hot_gram[near] * len(ix.ids) + item[which]
+    low = np.searchsorted(code, wanted, "left")
+    more, more_at = fanned(hot_spot[near], low, np.searchsorted(code, wanted, "right") - low)
+    return np.concatenate((spot, more)), np.concatenate((at, more_at))
+
+
+def _found(cp: np.ndarray, edge: np.ndarray, ix: Index, edits: int) -> dict[tuple[int, int], bool]:
+    """(place of the text, place of the item) -> whether it is exact."""
+    spots, at = _shared(cp, edge, ix)
     if not len(spots):
-        return []
-    # Each shared gram with each place of each item that has it.
+        return {}
     text = np.searchsorted(edge, spots, "right") - 1
-    fan = np.repeat(np.arange(len(spots)), count)
-    at = low[fan] + np.arange(len(fan)) - np.repeat(np.cumsum(count) - count, count)
-    pair = text[fan] * len(ix.ids) + ix.item[at]
+    pair = text * len(ix.ids) + ix.item[at]
     place = ix.place[at].astype(np.int64)
-    diagonal = (spots - edge[text])[fan] - place
+    diagonal = spots - edge[text] - place
     # Bands overlap by the edits, so that a stretch with that many lies in one of them.
     width = 4 * (edits + 1)
     band = diagonal // width
@@ -206,7 +255,7 @@ def find(texts: list[str | None], ix: Index, min_words: int, edits: int) -> list
             verdict = _verified(ix.words[k], ix.stretches[k], doc, place[a:b], diagonal[a:b], edits)
             if verdict is not None:
                 found[t, k] = verdict
-    return [(t, k, e) for (t, k), e in sorted(found.items())]
+    return found
 
 
 def leaks(
@@ -220,27 +269,42 @@ def leaks(
     A blank before or after the stretch that the document lacks is an edit.
     Words are compared by `plain`. Null and empty texts and passages, and passages with fewer than min_words words,
     match nothing. An item given twice counts once for each passage; a document once for each item. An empty table on
-    either side gives no rows. Items are brought to the driver block by block, at most block_chars characters (and one
-    passage) at a time.
+    either side gives no rows. Items are brought to the driver block by block, at most block_chars characters (or one
+    passage) at a time and the next block; each block is one reading of the documents. The rows of several blocks are
+    written to the shared folder, block by block.
     """
     docs = documents.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     source = items.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{passage}`").cast("string")).where(F.col(f"`{passage}`").isNotNull())
-    blocks: list[list[tuple[str, str]]] = [[]]
-    size = 0
-    for name, words in source.toLocalIterator():
-        if size + len(words) > block_chars and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((name, words))
-        size += len(words)
-    found = [_run(docs, index(b, min_words, edits), min_words, edits) for b in blocks]
-    out = found[0]
-    for other in found[1:]:
-        out = out.unionByName(other)
+    blocks = _blocks(source.toLocalIterator(), block_chars)
+    block, after = next(blocks), next(blocks, None)
+    out, sent = _run(docs, index(block, min_words, edits), min_words, edits)
+    if after is not None:
+        # One block is on the driver and the executors at a time: its rows are written before the next is read.
+        parts = []
+        while True:
+            parts.append(written(out, "leaks"))
+            sent.destroy()
+            if after is None:
+                break
+            out, sent = _run(docs, index(after, min_words, edits), min_words, edits)
+            after = next(blocks, None)
+        out = reduce(DataFrame.unionByName, parts)
     return out.groupBy("id", "item_id").agg(F.max("exact").alias("exact")).select(F.col("id").alias(id), F.col("item_id").alias(item_id), "exact")
 
 
-def _run(docs: DataFrame, ix: Index, min_words: int, edits: int, rows_at_once: int = 256) -> DataFrame:
+def _blocks(rows: Iterator[tuple[str, str]], block_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """Rows in blocks of at most block_chars characters, or of one row; one empty block if there are none."""
+    block, size = [], 0
+    for name, words in rows:
+        if size + len(words) > block_chars and block:
+            yield block
+            block, size = [], 0
+        block.append((name, words))
+        size += len(words)
+    yield block
+
+
+def _run(docs: DataFrame, ix: Index, min_words: int, edits: int, rows_at_once: int = 256) -> tuple[DataFrame, Broadcast]:
     sent = docs.sparkSession.sparkContext.broadcast(ix)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,4 +319,4 @@ def _run(docs: DataFrame, ix: Index, min_words: int, edits: int, rows_at_once: i
                     ["id", "item_id", "exact"],
                 )
 
-    return docs.mapInArrow(rows, "id long, item_id string, exact boolean")
+    return docs.mapInArrow(rows, "id long, item_id string, exact boolean"), sent

@@ -67,7 +67,19 @@ c as (select doc_id, count(distinct_words.word) / count(*)::double as common fro
   left join (select distinct word from common_words) distinct_words on distinct_words.word = regexp_replace(lower(w.w), '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g') group by 1)
 select doc_id from s join c using (doc_id) where common < 0.2 or common > 0.8 or symbols > 0.3 or ends < 0.08 or mean_word > 15
 """
+# Compatibility forms as far as the tables hold them: full-width letters and digits (by rule), ligatures, the numero sign.
+_WIDE = [c for c in range(0xFF10, 0xFF5B) if chr(c).isalnum()]
+_PLAIN = f"translate(text, '{''.join(map(chr, _WIDE))}', '{''.join(chr(c - 0xFEE0) for c in _WIDE)}')"
+for _from, _to in (("\u00ad", ""), ("\u200b", ""), ("\ufeff", ""), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("№", "No"), ("ß", "ss"), ("ς", "σ")):
+    _PLAIN = f"replace({_PLAIN}, '{_from}', '{_to}')"
+P9_FOUND_SQL = rf"""
+with d as (select doc_id, regexp_extract_all(lower(nfc_normalize({_PLAIN})), '[\p{{L}}\p{{N}}]+') as w from documents),
+i as (select item_id, regexp_extract_all(lower(nfc_normalize({_PLAIN.replace('text', 'passage')})), '[\p{{L}}\p{{N}}]+') as w from eval_items),
+dw as (select doc_id, unnest(list_transform(range(1, len(w) - 13), lambda k: array_to_string(w[k:k + 14], ' '))) as s from d where len(w) >= 15),
+iw as (select item_id, unnest(list_transform(range(1, len(w) - 13), lambda k: array_to_string(w[k:k + 14], ' '))) as s from i where len(w) >= 15)
+select distinct doc_id, item_id from dw join iw using (s)
+"""
 P8_ROUND_TRIP_SQL = "select doc_id, true as same from documents"
 
 QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_found, p9_leaks, p10_found, p10_statistics)}
-SQL = {"p8_round_trip": P8_ROUND_TRIP_SQL, "p10_found": P10_FOUND_SQL}
+SQL = {"p8_round_trip": P8_ROUND_TRIP_SQL, "p9_found": P9_FOUND_SQL, "p10_found": P10_FOUND_SQL}

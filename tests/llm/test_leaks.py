@@ -86,23 +86,6 @@ def test_blocks_long_texts_and_empty_tables(spark):
     assert run(spark, [], items) == {} and run(spark, docs, []) == {}
 
 
-def test_banded_distance():
-    def full(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
-            row = new
-        return row[-1]
-
-    r = random.Random(0)
-    for _ in range(300):
-        a, b = (np.array([r.randrange(3) for _ in range(r.randrange(0, 12))], np.uint32) for _ in range(2))
-        for band in (1, 3, 20):
-            assert leaks._distance(a, b, band) == min(full(a.tolist(), b.tolist()), band + 1)
-
-
 def test_spaced_words():
     cp, edge = words.spaced_words(["One, two!", None, "", "\x00x"])
     text = cp.tobytes().decode("utf-32-le")
@@ -156,3 +139,40 @@ def test_edited_leaks_equal_brute_force(edits):
             if k in sure and least <= edits:
                 want[t, k] = least == 0
     assert sure and any(want.values()) and not all(want.values()) and got == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_items_with_common_openings_equal_those_without_the_limit(monkeypatch, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randrange(3, 9)))
+    opening, closing = [word() for _ in range(r.choice([10, 18]))], [word() for _ in range(22)]
+    own = [(opening if r.random() < 0.8 else []) + [word() for _ in range(r.randrange(0, 30))] + (closing[r.randrange(6) :] if r.random() < 0.5 else []) for _ in range(40)]
+    items = [(f"e{i}", " ".join(w)) for i, w in enumerate(own)]
+    texts = []
+    for _ in range(80):
+        w = r.choice([opening, closing, *own[:12]])
+        at = r.randrange(0, max(1, len(w) - 12))
+        piece = list(" ".join(w[at : at + r.randrange(9, 26)]))
+        for _ in range(r.randrange(0, 3)):
+            k = r.randrange(len(piece))
+            piece[k : k + r.randrange(2)] = r.choice(["", "x", "y", " "])
+        texts.append(" ".join(word() for _ in range(r.randrange(4))) + " " + "".join(piece))
+    monkeypatch.setattr(leaks, "HOT", 3)
+    ix = leaks.index(items, 15, 1)
+    monkeypatch.setattr(leaks, "HOT", 10_000)
+    free = leaks.index(items, 15, 1)
+    assert ix.hot.any() and not free.hot.any()
+    got = leaks.find(texts, ix, 15, 1)
+    assert got == leaks.find(texts, free, 15, 1) and got
+    assert {(t, ix.ids[k]) for t, k, e in got if e} == brute(enumerate(texts), items)
+
+
+def test_a_common_opening_costs_no_row_for_each_item():
+    """Documents with the opening of 1,000 items, but no leak, are held against none of them."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    opening = [word() for _ in range(10)]
+    ix = leaks.index([(f"e{i}", " ".join(opening + [word() for _ in range(40)])) for i in range(1000)], 15, 1)
+    cp, edge = words.spaced_words([" ".join([*opening, *(word() for _ in range(30))]) for _ in range(256)])
+    full = 256 * 1000 * (10 * 6 + 1 + 1 - leaks.Q)  # each document, item and gram of the opening
+    assert len(leaks._shared(cp, edge, ix)[0]) < full / 100 and leaks._found(cp, edge, ix, 1) == {}
