@@ -52,21 +52,29 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """The statistics and kind of every document."""
-    return _judged(spark, d).drop("cleared")
+    """The statistics of every document."""
+    found = textquality.statistics(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "common_words")).withColumnRenamed("id", "doc_id")
+    return found.withColumns({c: F.round(c, 9) for c in LIMITS})
+
+
+def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The kind of every document by the mixture."""
+    return _judged(spark, d).select("doc_id", "kind")
 
 
 _BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-P10_FOUND_SQL = rf"""
+_STATISTICS_SQL = rf"""
 with d as (select doc_id, text, list_filter(regexp_split_to_array(text, '{_BLANK}+'), lambda w: w <> '') as ws, regexp_replace(text, '{_BLANK}+', '', 'g') as solid,
-  list_filter(list_transform(regexp_split_to_array(text, '[\n\f]'), lambda l: regexp_replace(l, '{_BLANK}+$', '')), lambda l: l <> '') as lines from documents where text is not null),
-s as (select doc_id, len(ws) as n, length(solid) / len(ws)::double as mean_word, length(regexp_replace(solid, '[\p{{L}}\p{{N}}]', '', 'g')) / length(solid)::double as symbols,
-  len(list_filter(lines, lambda l: contains('.!?:;…"”»)', right(l, 1)))) / len(lines)::double as ends from d where len(ws) >= 10),
-w as (select doc_id, unnest(ws) as w from d where len(ws) >= 10),
-c as (select doc_id, count(distinct_words.word) / count(*)::double as common from w
+  list_filter(list_transform(regexp_split_to_array(text, '[\n\f]'), lambda l: regexp_replace(l, '{_BLANK}+$', '')), lambda l: l <> '') as lines from documents),
+s as (select doc_id, length(text) as n_chars, coalesce(len(ws), 0) as n_words, case when len(ws) > 0 then len(lines) else 0 end as n_lines, case when len(ws) > 0 then length(solid) / len(ws)::double end as mean_word_length,
+  case when len(ws) > 0 then length(regexp_replace(solid, '[\p{{L}}\p{{N}}]', '', 'g')) / length(solid)::double end as symbol_ratio,
+  case when len(ws) > 0 then len(list_filter(lines, lambda l: contains('.!?:;…"”»)', right(l, 1)))) / len(lines)::double end as line_end_share from d),
+w as (select doc_id, unnest(ws) as w from d),
+c as (select doc_id, count(distinct_words.word) / count(*)::double as common_share from w
   left join (select distinct word from common_words) distinct_words on distinct_words.word = regexp_replace(lower(w.w), '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g') group by 1)
-select doc_id from s join c using (doc_id) where common < 0.2 or common > 0.8 or symbols > 0.3 or ends < 0.08 or mean_word > 15
 """
+P10_FOUND_SQL = _STATISTICS_SQL + "select doc_id from s join c using (doc_id) where n_words >= 10 and (common_share < 0.2 or common_share > 0.8 or symbol_ratio > 0.3 or line_end_share < 0.08 or mean_word_length > 15)"
+P10_STATISTICS_SQL = _STATISTICS_SQL + "select doc_id, n_chars, n_words, n_lines, " + ", ".join(f"round({c}, 9) as {c}" for c in LIMITS) + " from s left join c using (doc_id)"
 # Compatibility forms as far as the tables hold them: full-width letters and digits (by rule), ligatures, the numero sign.
 _WIDE = [c for c in range(0xFF10, 0xFF5B) if chr(c).isalnum()]
 _PLAIN = f"translate(text, '{''.join(map(chr, _WIDE))}', '{''.join(chr(c - 0xFEE0) for c in _WIDE)}')"
@@ -81,5 +89,5 @@ select distinct doc_id, item_id from dw join iw using (s)
 """
 P8_ROUND_TRIP_SQL = "select doc_id, true as same from documents"
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_found, p9_leaks, p10_found, p10_statistics)}
-SQL = {"p8_round_trip": P8_ROUND_TRIP_SQL, "p9_found": P9_FOUND_SQL, "p10_found": P10_FOUND_SQL}
+QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_found, p9_leaks, p10_found, p10_statistics, p10_kinds)}
+SQL = {"p8_round_trip": P8_ROUND_TRIP_SQL, "p9_found": P9_FOUND_SQL, "p10_found": P10_FOUND_SQL, "p10_statistics": P10_STATISTICS_SQL}

@@ -94,6 +94,26 @@ def test_judged_documents(spark):
     assert all("prose" in k for k in kinds[:4]) and "prose" not in kinds[4] | kinds[5]
 
 
+def test_kinds_of_the_test_tables(spark, sf):
+    """Held-out agreement: documents beyond the limits, none of them an example, are of another kind than prose, and nearly
+    all others are prose; each kind has documents."""
+    table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet".replace("sf0.001", "sf0.01"))
+    rows = [r for r in q.judged(table("documents"), "doc_id", "text", table("common_words"), LIMITS).collect() if r.n_words >= 10]
+    bad = [r.kind for r in rows if any(not lo <= r[c] <= hi for c, (lo, hi) in LIMITS.items())]
+    good = [r.kind for r in rows if all(lo <= r[c] <= hi for c, (lo, hi) in LIMITS.items())]
+    assert sum(k != "prose" for k in bad) / len(bad) >= 0.95 and sum(k == "prose" for k in good) / len(good) >= 0.95
+    assert {r.kind for r in rows} == {"prose", "list", "table", "junk"}
+
+
+def test_densities_equal_those_of_the_formula():
+    r = np.random.default_rng(3)
+    a = r.normal(size=(4, 5, 5))
+    model = q.Mixture(np.zeros(5), np.ones(5), np.array([0.1, 0.2, 0.3, 0.4]), r.normal(size=(4, 5)), a @ a.transpose(0, 2, 1) + np.eye(5), ("prose",) * 4, 0, 0.0)
+    x = r.normal(size=(50, 5)) * 4
+    logs = np.log(model.weights) - 0.5 * (model.distances(x) + np.linalg.slogdet(model.covariances)[1] + 5 * np.log(2 * np.pi))
+    assert np.allclose(q._squares(x) @ model.coefficients(), logs)
+
+
 def test_no_documents_and_no_words(spark):
     assert q.judged(frame(spark, []), "doc_id", "text", common(spark), LIMITS).count() == 0
     rows = q.judged(frame(spark, [None, ""]), "doc_id", "text", common(spark), LIMITS).collect()
@@ -102,15 +122,17 @@ def test_no_documents_and_no_words(spark):
 
 def test_mixture_rises_and_radius_keeps_within_the_limits(spark):
     measured = q.statistics(frame(spark, corpus()), "doc_id", "text", common(spark)).cache()
-    likelihoods = [q.fit(measured, frozenset(COMMON), most_steps=n, tolerance=0).log_likelihood for n in (1, 2, 4)]
+    likelihoods = [q.fit(measured, frozenset(COMMON), most_steps=n, tolerance=0).objective for n in (1, 2, 4)]
     assert likelihoods == sorted(likelihoods)
     model = q.fit(measured, frozenset(COMMON))
     assert model.weights.sum() == pytest.approx(1)
     radius = q.cleared_radius(model, LIMITS)
+    assert (radius > 0).any()
     r = np.random.default_rng(0)
     for k, label in enumerate(model.labels):
         if label != "prose":
             assert radius[k] == 0
+        if radius[k] == 0:  # also where the mean breaks a limit
             continue
         direction = r.normal(size=(2000, 5))
         z = direction / np.linalg.norm(direction, axis=1)[:, None] * np.sqrt(radius[k])
