@@ -31,14 +31,32 @@ def test_ids_equal_the_public_tokenizer(spark):
         assert got[i] == whole.encode(t or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("chunk, overlap", [(40, 30), (64, 20), (25, 12)])
+@pytest.mark.parametrize("chunk, overlap", [(40, 30), (64, 20), (25, 12), (11, 10), (30, 9)])
 def test_stitched_chunks_equal_the_whole(spark, chunk, overlap):
-    texts = [*some_texts(chunk), "a" * 500, " " * 300 + "x", "a b" * 200, None, ""]
+    texts = [*some_texts(chunk, 150), "a\n\n'b" * 60, "a" * 500, " " * 300 + "x", "a b" * 200, None, ""]
     got = {r.doc_id: r.ids for r in tokens.encoded(frame(spark, texts), "doc_id", "text", PATH, chunk, overlap).collect()}
     want = {r.doc_id: r.ids for r in tokens.encoded(frame(spark, texts), "doc_id", "text", PATH).collect()}
     assert got == want
 
 
+def test_only_chunks_around_a_long_run_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "written", lambda df, name: sizes.append(df.cache()) or sizes[-1])
+    sizes = []
+    texts = ["word and " * 60 + "=" * 130 + " more words" * 60, "x y " * 100 + "z"]
+    got = {r.doc_id: r.ids for r in tokens.encoded(frame(spark, texts), "doc_id", "text", PATH, 50, 20).collect()}
+    assert got == {i: tokens.encode(PATH, t) for i, t in enumerate(texts)}
+    first, last = (sorted(r.size for r in df.where("id = 0").collect()) for df in (sizes[0], sizes[-1]))
+    assert set(first) == {50} and len(sizes) > 1 and last[0] == 50 and max(last) <= 250 and len(last) > len(first) - 6
+    assert sum(last) == sum(first)
+
+
+@pytest.mark.parametrize("more", [0, 1, 2, 19, 20, 21, 29, 30])
+def test_texts_a_little_longer_than_chunks(spark, more):
+    texts = [("ab cd " * 40)[: 50 * k + more] for k in (1, 2, 3)]
+    got = {r.doc_id: r.ids for r in tokens.encoded(frame(spark, texts), "doc_id", "text", PATH, 50, 20).collect()}
+    assert got == {i: tokens.encode(PATH, t) for i, t in enumerate(texts)}
+
+
 def test_repeated_rows_have_a_row_each(spark):
     long, other = "one two three " * 20, "four five " * 30
     rows = [(1, long), (1, long), (1, other), (None, long), (2, "x"), (2, "x")]
