@@ -58,9 +58,10 @@ def scanned(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], step
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(rows, schema)
 
 
-def stretched(df: DataFrame, keys: Sequence[str], order: str, rows: int, reach: int) -> DataFrame:
+def stretched(df: DataFrame, keys: Sequence[str], order: str, rows: int, reach: int, carried: str | None = None) -> DataFrame:
     """`df` with _stretch and _own: each series cut into stretches of `rows` rows, each stretch preceded by the `reach`
-    rows before it, marked by _own = false. What looks back at most `reach` rows can run by (keys, _stretch).
+    rows before it, marked by _own = false. What looks back at most `reach` rows can run by (keys, _stretch). carried: a
+    column whose last value that isn't null before all these rows comes along as _seed.
 
     Rows are numbered by counts of coarse blocks of the order, so no task numbers a whole series: a block is a stretch
     of the order's own values, of which each series has at most a few thousand.
@@ -81,20 +82,38 @@ def stretched(df: DataFrame, keys: Sequence[str], order: str, rows: int, reach:
     more = F.when(F.col("_left") <= reach, F.sequence(F.col("_stretch") + 1, F.col("_stretch") + 1 + later)).otherwise(F.array().cast("array<bigint>"))
     copies = F.concat(F.array("_stretch"), more)
     out = numbered.withColumn("_s", F.explode(copies)).withColumn("_own", F.col("_s") == F.col("_stretch"))
-    return out.select(*df.columns, F.col("_s").alias("_stretch"), "_own")
+    if carried is None:
+        return out.select(*df.columns, F.col("_s").alias("_stretch"), "_own")
+    # Of each stretch, the rows that come before the next one's first: one row a stretch, so a window over them is small.
+    part = F.when(F.col("_left") > reach, F.col("_stretch")).otherwise(F.col("_stretch") + 1 + later).alias("_p")
+    last = numbered.where(F.col(carried).isNotNull()).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], part).agg(F.max_by(carried, order).alias("_last"))
+    parts = numbered.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_stretch").alias("_p")).agg(F.lit(None).cast("double").alias("_last")).unionByName(last)
+    parts = parts.groupBy(*[f"_k_{k}" for k in keys], "_p").agg(F.max("_last").alias("_last"))
+    seed = F.last("_last", ignorenulls=True).over(Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    seeds = parts.withColumn("_seed", seed).drop("_last")
+    out = out.drop(*[f"_k_{k}" for k in keys])
+    return out.join(seeds, same & (F.col("_s") == F.col("_p")), "left").select(*df.columns, F.col("_s").alias("_stretch"), "_own", "_seed")
 
 
 def folded(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], step: Callable[[dict[str, np.ndarray], dict], np.ndarray], width: int) -> DataFrame:
     """(keys, sums): for each series the sum over its blocks of the array of `width` numbers that `step` makes of each.
 
-    step is called as in `scanned`. One row a block leaves the workers; nulls of the keys form groups of their own.
+    step is called as in `scanned`. One row a series leaves the workers; nulls of the keys form groups of their own.
     """
     order = [order] if isinstance(order, str) else list(order)
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
-    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("_sums", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("sums", T.ArrayType(T.DoubleType()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, {}
+        now, state, total, own = None, {}, np.zeros(width), None
+        done: list[tuple[list[pa.Array], np.ndarray]] = []
+
+        def flushed() -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(done) + 1) * width, pa.int32()), pa.array(np.concatenate([v for _, v in done]), pa.float64()))
+            named = [pa.concat_arrays(list(c)) for c in zip(*(k for k, _ in done))]
+            done.clear()
+            return pa.RecordBatch.from_arrays([*named, lists], [*keys, "sums"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -106,20 +125,22 @@ def folded(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], step:
                 new[1:] |= codes[1:] != codes[:-1]
             starts = np.flatnonzero(new).tolist()
             floats = {c: batch.column(names.index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in numeric}
-            sums = []
             for a, b in zip(starts, [*starts[1:], batch.num_rows]):
                 key = tuple(batch.column(names.index(k))[a].as_py() for k in keys)
-                if key != now:
-                    now, state = key, {}
-                sums.append(step({c: v[a:b] for c, v in floats.items()}, state))
-            flat = pa.array(np.concatenate(sums), pa.float64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(k)).take(pa.array(starts)) for k in keys), lists], [*keys, "_sums"])
-
-    parts = df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(rows, schema)
-    each = parts.select(*keys, F.posexplode("_sums").alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
-    ordered = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_l"))  # `width` numbers a series
-    return ordered.select(*keys, F.transform("_l", lambda s: s["_v"]).alias("sums"))
+                if own is None or key != now:
+                    if own is not None:
+                        done.append((own, total))
+                    now, state, total = key, {}, np.zeros(width)
+                    own = [batch.column(names.index(k)).slice(a, 1) for k in keys]
+                total = total + step({c: v[a:b] for c, v in floats.items()}, state)
+            if done:
+                yield flushed()
+        if own is not None:
+            done.append((own, total))
+            yield flushed()
+
+    # All rows of a series are in one partition and follow each other, so each series gives one row.
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(rows, schema)
 
 
 def by_stretch(df: DataFrame, keys: Sequence[str], order: str, rows: int, reach: int, make: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:

@@ -94,29 +94,35 @@ def monotonicity(means: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _slid(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Rank correlations of all windows of n: ranks are kept as the window slides, one comparison of the window with the
-    value that leaves and one with the value that comes."""
+    """Rank correlations of all windows of n. The differences of both ranks are kept as the window slides: one comparison
+    of each side with the value that leaves it and one with the value that comes."""
     out = np.empty(len(a) - n + 1)
-    rings, ranks_ = [], []
-    for v in (a, b):
-        first = v[:n].copy()
-        rank = np.empty(n, np.int64)
-        rank[first.argsort(kind="stable")] = np.arange(n)
-        rings.append(first)
-        ranks_.append(rank)
-    scale = 6 / (n * (n * n - 1.0))
-    for i in range(len(out)):
-        if i:
-            at = (i - 1) % n
-            for v, ring, rank in zip((a, b), rings, ranks_):
-                new = v[i + n - 1]
-                rank -= ring >= ring[at]  # the value that leaves came first, so equal ones ranked above it
-                ring[at] = new
-                rank += ring > new
-                rank[at] = np.count_nonzero(ring <= new) - 1
-        gap = ranks_[0] - ranks_[1]
-        out[i] = 1 - scale * float(gap @ gap)
-    return out
+    rings = [v[:n].copy() for v in (a, b)]
+    ranks_ = np.empty((2, n))
+    for rank, ring in zip(ranks_, rings):
+        rank[ring.argsort(kind="stable")] = np.arange(n)
+    gap = ranks_[0] - ranks_[1]
+    out[0] = gap @ gap
+    ra, rb = rings
+    left_a, left_b, come_a, come_b = (np.empty(n, bool) for _ in range(4))
+    minus_a, minus_b, plus_a, plus_b = (m.view(np.int8) for m in (left_a, left_b, come_a, come_b))
+    step = np.empty(n, np.int8)
+    at = 0
+    for i, (x, y) in enumerate(zip(a[n:].tolist(), b[n:].tolist()), 1):
+        # The value that leaves came first, so equal ones ranked above it; the one that comes ranks above its equals.
+        np.greater_equal(ra, ra[at], out=left_a)
+        np.greater_equal(rb, rb[at], out=left_b)
+        ra[at], rb[at] = x, y
+        np.greater(ra, x, out=come_a)
+        np.greater(rb, y, out=come_b)
+        np.subtract(plus_a, minus_a, out=step)
+        step -= plus_b
+        step += minus_b
+        gap += step
+        gap[at] = np.count_nonzero(come_b) - np.count_nonzero(come_a)
+        out[i] = gap @ gap
+        at = at + 1 if at + 1 < n else 0
+    return 1 - out * (6 / (n * (n * n - 1.0)))
 
 
 def rolling_information(df: DataFrame, x: str, y: str, n: int, out: str = "rolling_ic", keys: Sequence[str] = ("symbol",), order: str = "ts", stretch_rows: int | None = None) -> DataFrame:
@@ -147,51 +153,69 @@ def rolling_summary(rolled: DataFrame, by: Sequence[str], c: str = "rolling_ic")
     )
 
 
+def _all_lags(n: int) -> int:
+    """The lags to be tried on n rows when none are given."""
+    return min(math.ceil(12 * (n / 100) ** 0.25), max(0, n // 2 - 3))
+
+
 def dickey_fuller(df: DataFrame, x: str, keys: Sequence[str] = ("symbol",), order: str = "ts", max_lags: int | None = 24, least: int = 30) -> DataFrame:
     """(keys, n_obs, lags, statistic, p_value, critical_1, critical_5, is_stationary) of the augmented unit-root test
     with a constant; null values are left out, neighbours of theirs are successive.
 
     The lag is that of least AIC over the rows all lags share; the regression is then over all rows it has. max_lags
-    None takes 12 * (n / 100)^(1/4), rounded up, of at most 64. All regressions come from one matrix of products that
-    the executors sum, kept apart by how many lags a row has, so nothing but 64-odd numbers squared leaves a series.
+    None takes 12 * (n / 100)^(1/4) of each series, rounded up; the longest series is counted for this first. All
+    regressions come from one matrix of products that the executors sum, and the first rows, which have fewer lags; so
+    nothing but the number of lags squared leaves a series.
     """
-    most = 64 if max_lags is None else max_lags
+    rows_ = df.where(F.col(x).isNotNull()).select(*keys, order, F.col(x).cast("double").alias("_y"))
+    if max_lags is None:
+        longest = rows_.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        most = _all_lags(longest)
+    else:
+        most = max_lags
     m = most + 3
 
     def step(block: dict[str, np.ndarray], state: dict) -> np.ndarray:
         y = block["_y"]
         if "base" not in state:
             state["base"] = y[0]
-        kept = state.get("kept", np.zeros(0))
-        seen = state.get("seen", 0)
+        kept, seen = state.get("kept", np.zeros(0)), state.get("seen", 0)
+        out = np.zeros(1 + most + 1 + m * m)
+        out[0] = len(y)
+        head = (y - state["base"])[: max(0, most + 1 - seen)]
+        out[1 + seen : 1 + seen + len(head)] = head
         levels = np.concatenate((kept, y - state["base"]))
         change = np.diff(levels)
-        total = np.zeros((most + 1, m, m))
-        first = max(len(kept), 1)
+        first = max(len(kept), 1, most + 1 - (seen - len(kept)))  # the first row with all lags
         rows = np.arange(first, len(levels))
         if len(rows):
-            table = np.zeros((len(rows), m))
+            table = np.empty((len(rows), m))
             table[:, 0], table[:, 1], table[:, 2] = 1, levels[rows - 1], change[rows - 1]
-            have = np.minimum(seen - len(kept) + rows - 1, most)  # lags of the change that a row has
             for k in range(1, most + 1):
-                ok = have >= k
-                table[ok, 2 + k] = change[rows[ok] - 1 - k]
-            for a in np.unique(have):
-                part = table[have == a]
-                total[a] += part.T @ part
+                table[:, 2 + k] = change[rows - 1 - k]
+            out[2 + most :] = (table.T @ table).ravel()
         state["kept"], state["seen"] = levels[-(most + 2) :], seen + len(y)
-        return total.ravel()
+        return out
 
-    sums = folded(df.where(F.col(x).isNotNull()).select(*keys, order, F.col(x).cast("double").alias("_y")), keys, order, step, (most + 1) * m * m)
+    sums = folded(rows_, keys, order, step, 2 + most + m * m)
 
     @F.pandas_udf("n_obs long, lags long, statistic double, p_value double, critical_1 double, critical_5 double")
     def solve(all_: pd.Series) -> pd.DataFrame:
         out = []
         for sums in all_:
-            total = np.array(sums).reshape(most + 1, m, m)
-            above = total[::-1].cumsum(0)[::-1]  # rows that have at least so many lags
-            n = int(round(above[0][0, 0])) + 1
-            top = min(most, max(0, n // 2 - 3)) if max_lags is not None else min(most, math.ceil(12 * (n / 100) ** 0.25), max(0, n // 2 - 3))
+            sums = np.asarray(sums)
+            n = int(round(sums[0]))
+            head = np.diff(sums[1 : 1 + min(n, most + 1)])
+            above = np.zeros((most + 1, m, m))  # of rows that have at least so many lags
+            above[most] = sums[2 + most :].reshape(m, m)
+            for a in reversed(range(most)):
+                above[a] = above[a + 1]
+                if a < len(head):
+                    row = np.zeros(m)
+                    row[:3] = 1, sums[1 + a], head[a]
+                    row[3 : 3 + a] = head[:a][::-1]
+                    above[a] += np.outer(row, row)
+            top = min(most, max(0, n // 2 - 3)) if max_lags is not None else _all_lags(n)
             if n < max(least, 4):
                 out.append((n, None, None, None, None, None))
                 continue

@@ -62,7 +62,9 @@ def causal_trends(df: DataFrame, price: str, lambdas: dict[str, float], window:
         kept = state.get("kept", np.zeros(0))
         x = np.concatenate((kept, values))
         seen = np.maximum.accumulate(np.where(~np.isnan(x), np.arange(len(x)), -1))
-        x = np.where(seen >= 0, x[np.maximum(seen, 0)], np.nan)
+        if "kept" not in state:
+            state["seed"] = block["_seed"][0] if "_seed" in block and len(values) else np.nan
+        x = np.where(seen >= 0, x[np.maximum(seen, 0)], state["seed"])
         out = {name: np.full(len(values), np.nan) for name in weights}
         if len(x) >= window:
             view = np.lib.stride_tricks.sliding_window_view(x, window)
@@ -79,13 +81,9 @@ def causal_trends(df: DataFrame, price: str, lambdas: dict[str, float], window:
 
     if stretch_rows is None:
         return scanned(df, keys, order, step, {n: "double" for n in lambdas})
-    # Fill prices before cutting, so that a stretch needs only the rows its windows reach.
-    from barloom.functions.semantics import until_now
-
-    full = df.withColumn("_raw", F.col(price)).withColumn(price, F.last(price, ignorenulls=True).over(until_now(keys, order)))
-    cut = stretched(full, keys, order, stretch_rows, window - 1)
+    cut = stretched(df, keys, order, stretch_rows, window - 1, price)
     done = scanned(cut, (*keys, "_stretch"), order, step, {n: "double" for n in lambdas})
-    return done.where("_own").withColumn(price, F.col("_raw")).drop("_stretch", "_own", "_raw")
+    return done.where("_own").drop("_stretch", "_own", "_seed")
 
 
 def two_sided_trend(df: DataFrame, price: str, lam: float = 14400.0, keys: Sequence[str] = ("symbol",), order: str = "ts") -> DataFrame:

@@ -15,7 +15,7 @@ from barloom.operators.scan import by_stretch
 from barloom.operators.series import Series
 from barloom.operators.trend import causal_trends, endpoint_weights, two_sided_trend
 from barloom.sources import bars as src
-from barloom.sources.tables import table
+from barloom.sources.tables import table, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -395,8 +395,11 @@ i as (select feature, horizon, corr(rx, ry) as ic, count(*) as n_obs from k grou
 
 def _pairs(spark, d) -> DataFrame:
     """(symbol, feature, value, horizon, fwd)."""
-    f = _features(spark, d)
-    one = f.unpivot(["symbol", "ts", "f1", "f4", "f24"], list(_FEATURES), "feature", "value")
+    return _paired(_features(spark, d))
+
+
+def _paired(features: DataFrame) -> DataFrame:
+    one = features.unpivot(["symbol", "ts", "f1", "f4", "f24"], list(_FEATURES), "feature", "value")
     two = one.unpivot(["symbol", "ts", "feature", "value"], ["f1", "f4", "f24"], "h", "fwd")
     return two.withColumn("horizon", F.substring("h", 2, 9).cast("int"))
 
@@ -588,26 +591,32 @@ def rolling_ic(spark, d):
     return stats.rolling_summary(rolled, ("symbol",))
 
 
+def _stationary(features: DataFrame) -> DataFrame:
+    """(feature, p_value, is_stationary): a feature is as stationary as its least stationary series."""
+    each = stats.dickey_fuller(stats.long(features, _FEATURES, KEY), "value", ("symbol", "feature"))
+    return each.groupBy("feature").agg(F.max("p_value").alias("p_value"), F.min("is_stationary").alias("is_stationary"))
+
+
 @query()
 def univariate(spark, d):
-    pairs = _pairs(spark, d)
-    ics = stats.information(pairs, ("feature", "horizon"), "value", "fwd")
-    peaks = stats.decay_peak(ics, ("feature",))
-    at_peak = pairs.join(peaks.select("feature", F.col("peak_horizon").alias("horizon")), ["feature", "horizon"])
+    features = written(_features(spark, d), "features")
+    pairs = _paired(features)
+    peaks = written(stats.decay_peak(stats.information(pairs, ("feature", "horizon"), "value", "fwd"), ("feature",)), "peaks")
+    at_peak = written(pairs.join(peaks.select("feature", F.col("peak_horizon").alias("horizon")), ["feature", "horizon"]), "pairs")
     rolled = stats.rolling_summary(stats.rolling_information(at_peak, "value", "fwd", 200, keys=("feature", "symbol")), ("feature",))
-    adf_ = stats.dickey_fuller(stats.long(_features(spark, d), _FEATURES, KEY), "value", ("feature",), order="ts")
+    adf_ = _stationary(features)
     mono = stats.monotonicity(stats.quantile_returns(at_peak, ("feature",), "value", "fwd"), ("feature",))
     return stats.univariate_summary(adf_, peaks, rolled, stats.hit_rate(at_peak, ("feature",), "value", "fwd"), mono)
 
 
 @query()
 def feature_selection(spark, d):
-    f = _features(spark, d)
-    ics = stats.information(_pairs(spark, d).where("horizon = 4"), ("feature",), "value", "fwd").select("feature", "ic", "n_obs")
+    f = written(_features(spark, d), "features")
+    ics = written(stats.information(_paired(f).where("horizon = 4"), ("feature",), "value", "fwd").select("feature", "ic", "n_obs"), "ics")
     sizes = {row.feature: row.ic or 0.0 for row in ics.collect()}
     matrix = stats.correlations(f, _FEATURES)
     lost = spark.createDataFrame([(x, of) for x, of in stats.redundancies(matrix, sizes).items() if of is not None], "feature string, redundant_with string")
-    adf_ = stats.dickey_fuller(stats.long(f, _FEATURES, KEY), "value", ("feature",)).select("feature", F.col("p_value").alias("adf_p"))
+    adf_ = _stationary(f).select("feature", F.col("p_value").alias("adf_p"))
     blocks = stats.long(f.withColumn("f", F.col("f4")), _FEATURES, ("symbol", "ts", "close"))
     steady = stats.stability(stats.walk_forward(blocks, "value", 4, 120, ("symbol", "feature")), ("feature",)).select("feature", "sign_consistency")
     return stats.selection(ics.join(adf_, "feature", "left").join(steady, "feature", "left").join(lost, "feature", "left"))

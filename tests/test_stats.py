@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.functions import dist
 from barloom.operators import ranks, stats
@@ -195,3 +196,29 @@ def test_redundant_with_names_the_kept_one(spark):
     sizes = {"c": 0.05, "a": 0.3, "b": -0.2, "d": 0.01}
     assert stats.redundancies(m, sizes) == {"a": None, "b": None, "c": "b", "d": "a"}
     assert stats.greedy_selection(m, sizes) == (["a", "b"], ["c", "d"])
+
+
+def test_no_lags_given_means_all_that_the_longest_series_calls_for(spark):
+    from barloom.operators.stats import _all_lags
+
+    assert _all_lags(90_000) == 66 and _all_lags(1_000_000) == 120 and _all_lags(20) == 7
+    r = np.random.default_rng(7)
+    rows = [(s, datetime(2024, 1, 1) + timedelta(hours=i), float(v)) for s, n in (("a", 150), ("b", 60)) for i, v in enumerate(r.normal(size=n).cumsum())]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, x double")
+    key = lambda d: {row.symbol: (row.n_obs, row.lags, round(row.statistic, 8)) for row in d.collect()}
+    open_ = key(stats.dickey_fuller(df, "x", max_lags=None))
+    assert open_ == {s: key(stats.dickey_fuller(df.where(f"symbol = '{s}'"), "x", max_lags=_all_lags(n)))[s] for s, n in (("a", 150), ("b", 60))}
+
+
+def test_ranks_of_hot_and_few_values(spark):
+    """Ties of a third of the rows and values that share a bin; the placement works on values, not on rows."""
+    from barloom.operators.ranks import average_ranks
+
+    r = np.random.default_rng(5)
+    x = [float(v) for v in r.choice([-1.0, 1.0, 0.0, -0.0, 1e-300, 100.00001, 100.00002, -5e300], 400)] + [None, 7.0, 7.0000000001]
+    df = spark.createDataFrame([("g" if i % 3 else None, i, v) for i, v in enumerate(x)], "g string, i int, x double")
+    out = average_ranks(df, ["g"], {"r": "x"})
+    for g in ("g", None):
+        own = pd.Series({i: v for i, v in enumerate(x) if ("g" if i % 3 else None) == g}, dtype=float)
+        got = {row.i: row.r for row in out.where(F.col("g").eqNullSafe(F.lit(g))).collect()}
+        assert all((got[i] is None) if w != w else got[i] == w for i, w in own.rank().items())

@@ -55,7 +55,8 @@ def test_windows_with_leading_nulls_have_no_trend(spark):
 @pytest.mark.parametrize("rows", [1, 7, 30, 1000])
 def test_stretches_equal_the_whole(spark, rows):
     prices = (100 + np.random.default_rng(3).normal(0, 1, 90).cumsum()).tolist()
-    prices[40] = None
+    prices[40] = prices[0] = None
+    prices[50:77] = [None] * 27  # longer than a window and several stretches
     df = frame(spark, prices).union(frame(spark, prices[:20], "t")).union(frame(spark, [], "u"))
     lambdas = {"a": 1e3, "b": 1e5}
     key = lambda d: {(r.symbol, r.ts): (r.close, r.a and round(r.a, 9), r.b and round(r.b, 9)) for r in d.collect()}
