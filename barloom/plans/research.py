@@ -13,7 +13,7 @@ from barloom.operators import backtest as bt
 from barloom.operators import machines, quality, signals, stats
 from barloom.operators.scan import by_stretch
 from barloom.operators.series import Series
-from barloom.operators.trend import causal_trends, endpoint_weights, two_sided_trend
+from barloom.operators.trend import causal_trends, two_sided_trend
 from barloom.sources import bars as src
 from barloom.sources.tables import table, written
 
@@ -301,32 +301,19 @@ def std_norm(spark, d):
     return shown(Series(hourly(spark, d)).over_std("sn", "close", 100).df, "sn")
 
 
-def _hp_sql(lam: float, n: int, out: str) -> str:
-    w = ", ".join(repr(v) for v in endpoint_weights(lam, n))
-    return f"case when len(ps) = {n} then ps[-1] + list_dot_product(list_transform(ps, lambda p: p - ps[-1]), [{w}]::double[]) end as {out}"
-
-
-@query(chain(f"list(close) over {over(60)} as ps", _hp_sql(1e4, 60, "t1") + ", " + _hp_sql(1e6, 60, "t2"), last="symbol, ts, " + r("t1", "t2")))
+@query()
 def hp_causal(spark, d):
-    return shown(causal_trends(hourly(spark, d), "close", {"t1": 1e4, "t2": 1e6}, 60), "t1", "t2")
+    return shown(causal_trends(hourly(spark, d), "close", {"t1": 1e4, "t2": 1e6}, 60), "t1", "t2", places=4)
 
 
-@query(chain(f"list(close) over {over(60)} as ps", _hp_sql(1e4, 60, "t1") + ", " + _hp_sql(1e6, 60, "t2"), last="symbol, ts, " + r("t1", "t2")))
+@query()
 def hp_causal_stretched(spark, d):
-    return shown(causal_trends(hourly(spark, d), "close", {"t1": 1e4, "t2": 1e6}, 60, stretch_rows=200), "t1", "t2")
+    return shown(causal_trends(hourly(spark, d), "close", {"t1": 1e4, "t2": 1e6}, 60, stretch_rows=200), "t1", "t2", places=4)
 
 
-@query(
-    chain(
-        f"list(close) over {over(60)} as ps",
-        _hp_sql(1e4, 60, "t1") + ", " + _hp_sql(1e6, 60, "t2"),
-        f"t1 - lag(t1) over {W} as s1, t2 - lag(t2) over {W} as s2",
-        "case when s1 is not null and s2 is not null then abs(s1 - s2) / sqrt(2) end as ls",
-        last="symbol, ts, " + r("ls"),
-    )
-)
+@query()
 def lambda_sens(spark, d):
-    return shown(Series(causal_trends(hourly(spark, d), "close", {"t1": 1e4, "t2": 1e6}, 60)).disagreement("ls", ["t1", "t2"]).df, "ls")
+    return shown(Series(causal_trends(hourly(spark, d), "close", {"t1": 1e4, "t2": 1e6}, 60)).disagreement("ls", ["t1", "t2"]).df, "ls", places=4)
 
 
 @query()
@@ -588,7 +575,7 @@ def arch_lm(spark, d):
 @query()
 def rolling_ic(spark, d):
     rolled = stats.rolling_information(_features(spark, d), "td", "f4", 200)
-    return stats.rolling_summary(rolled, ("symbol",))
+    return shown(stats.rolling_summary(rolled, ("symbol",)), "mean_ic", "std_ic", "ic_ir", "pct_positive", "pct_above_5", keys=("symbol",))
 
 
 def _stationary(features: DataFrame) -> DataFrame:
@@ -927,19 +914,21 @@ def signal_grid(spark, d):
     floors = spark.createDataFrame([(0.0,), (50.0,)], "floor double")
     floored = bt.crossed(signalled, floors).withColumn("signal", machines.vol_floor(F.col("raw"), F.col("vp"), F.col("floor")))
     by = (*keys, "floor")
-    return bt.metrics(bt.backtest(floored, "signal", bt.FxCost(0.7, 0.2), by), by, by, n_trials=8)
+    return _measured(bt.metrics(bt.backtest(floored, "signal", bt.FxCost(0.7, 0.2), by), by, by, n_trials=8), *by)
 
 
 @query()
 def multi_factor(spark, d):
     config = bt.MultiFactorConfig(hp_lambda=1e4, hp_window=50, ma_short=10, ma_long=30, norm_window=100)
-    return bt.multi_factor(hourly(spark, d), config).select(*KEY, "combined", "signal")
+    return bt.multi_factor(hourly(spark, d), config).select(*KEY, F.round("combined", 6).alias("combined"), "signal")
 
 
 @query()
 def multi_factor_backtest(spark, d):
     config = bt.MultiFactorConfig(hp_lambda=1e4, hp_window=50, ma_short=10, ma_long=30, norm_window=100)
-    return bt.multi_factor_backtest(hourly(spark, d), config)
+    m = bt.multi_factor_backtest(hourly(spark, d), config)
+    # Compounded 6,048 times, a return has too few digits in common: its logarithm is shown.
+    return m.select("symbol", "n_obs", F.round("sharpe", 6).alias("sharpe"), F.round(F.log10(1 + F.col("annual_return")), 6).alias("annual_log"), F.round("max_drawdown", 6).alias("max_drawdown"), "n_trades")
 
 
 # -- long series
@@ -962,7 +951,8 @@ def hp_minutes(spark, d):
 def rolling_ic_minutes(spark, d):
     """Rank correlation over the last 1,000 rows of a long series."""
     s = Series(minutes(spark, d)).momentum("mom", period=24).forward_return("f24", 24)
-    return stats.rolling_information(s.df, "mom", "f24", 1000).select(*KEY, "rolling_ic")
+    s = s.put(mom=F.round("mom", 12), f24=F.round("f24", 12))  # equal values stay equal in any engine
+    return stats.rolling_information(s.df, "mom", "f24", 1000).select(*KEY, F.round("rolling_ic", 9).alias("rolling_ic"))
 
 
 # -- comparisons of results
