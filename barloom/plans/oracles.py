@@ -127,7 +127,7 @@ a6 as (select symbol, ts, close, ({" + ".join(f"coalesce(n{i}, 0) * 0.25" for i
 mf as (select *, case when combined > 0.3 then 1.0 when combined < -0.3 then -1.0 else 0 end::double as signal from a6)"""
 SQL["multi_factor"] = _MF + " select symbol, ts, round(combined, 6) as combined, signal from mf"
 SQL["multi_factor_backtest"] = f"""{_MF}, {tested('mf', ('symbol',))} select symbol, count(net_return) as n_obs, round(avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt(6048), 6) as sharpe,
-  round(log10(nullif(pow(1 + avg(net_return), 6048), 0)), 6) as annual_log, round(min(equity / peak - 1), 6) as max_drawdown, count(*) filter (where trade <> 0) as n_trades from pk group by 1"""
+  round(log10(nullif(1 + (pow(1 + avg(net_return), 6048) - 1), 0)), 6) as annual_log, round(min(equity / peak - 1), 6) as max_drawdown, count(*) filter (where trade <> 0) as n_trades from pk group by 1"""
 
 
 # -- rolling rank correlation: ordinal ranks of each window
@@ -154,3 +154,148 @@ g as (select user_id as key, ts, case when ts - lag(ts) over (partition by user_
 s as (select *, sum(fresh) over (partition by key order by ts rows between unbounded preceding and current row) as run from g),
 x as (select key, min(ts) as start, max(ts) + interval 1 day as "end", count(*) as n from s group by key, run)
 select key, start, "end", n from x, m where "end" <= mark"""
+
+# -- tail probabilities by Simpson's rule
+
+
+def _simpson(f: str, upto: str, n: int = 4000) -> str:
+    """The integral of f, a function of u, from 0 to `upto`."""
+    weight = f"(case when i = 0 or i = {n} then 1 when i % 2 = 1 then 4 else 2 end)"
+    return f"({upto}) / {3 * n} * list_sum(list_transform(range(0, {n + 1}), lambda i: {weight} * ({f.replace('{u}', f'(({upto}) * i / {n}.0::double)')})))"
+
+
+def normal_cdf(z: str) -> str:
+    return f"(0.5 + {_simpson('exp(-0.5 * {u} * {u})', f'greatest(least({z}, 9), -9)::double')} / sqrt(2 * pi()))"
+
+
+def _ratio(f: str, upto: str, all_: str, n: int) -> str:
+    return f"{_simpson(f, upto, n)} / ({_simpson(f, all_, n)})"
+
+
+def spearman_p(rho: str, n: str) -> str:
+    """Two-sided, by Student's t: with t = sqrt(dof) tan(u) the density is cos(u) to the dof - 1."""
+    return f"case when abs({rho}) >= 1 then 0 else greatest(1 - {_ratio(f'pow(cos({{u}}), {n} - 3)', f'atan(abs({rho}) / sqrt((1 + {rho}) * (1 - {rho})))', 'pi() / 2', 20000)}, 0) end"
+
+
+def chi2_p(x: str, dof: str) -> str:
+    """With x the square of u the density is u to the dof - 1 times exp(-u^2 / 2)."""
+    return f"greatest(1 - {_ratio(f'pow({{u}}, {dof} - 1) * exp(-0.5 * {{u}} * {{u}})', f'least(sqrt({x}), 40)', '40::double', 8000)}, 0)"
+
+
+def f_p(x: str, d1: str, d2: str) -> str:
+    return f"{_ratio(f'pow(sin({{u}}), {d2} - 1) * pow(cos({{u}}), {d1} - 1)', f'asin(sqrt({d2} / ({d2} + {d1} * {x})))', 'pi() / 2', 20000)}"
+
+
+SQL["ic_significance"] = f"""{research._LONG_SQL}, p as (select *, {spearman_p('ic', 'n_obs')} as p from i)
+select feature, horizon, n_obs, round(ic, 5) as ic, round(p, 4) as p_value, p < 0.05 as significant, case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else '' end as stars from p"""
+
+# Normal quantiles that the best of 72 trials is expected at.
+_BEST = (1 - 0.5772156649) * NormalDist().inv_cdf(1 - 1 / 72) + 0.5772156649 * NormalDist().inv_cdf(1 - 1 / (72 * 2.718281828459045))
+SQL["metrics_deflated"] = f"""{research._BT_SQL}, m as (select symbol, count(net_return) as n_obs, round(avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt(6048), 4) as sharpe, skewness(net_return) filter (where net_return <> 0) as skew,
+  kurtosis(net_return) filter (where net_return <> 0) as kurtosis, avg((net_return > 0)::int) as pct_positive, count(*) filter (where trade <> 0) as trade_bars from q group by 1),
+v as (select *, (1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) / (n_obs - 1) as v from m)
+select symbol, n_obs, sharpe, round(skew, 4) as skew, round(kurtosis, 4) as kurtosis, round(pct_positive, 6) as pct_positive, trade_bars,
+  round({normal_cdf(f'((sharpe - {_BEST!r}) / sqrt(case when v <= 0 then 1.0 / (n_obs - 1) else v end))')}, 4) as dsr from v"""
+
+# -- regressions by sweeping a matrix of products
+
+
+def swept(source: str, m: int, pivots: str, name: str, keys: str) -> str:
+    """CTEs that sweep the m x m list g of `source` (keys, g, and what `pivots` needs) by the pivots, numbered from 1 by
+    the step: `name` has keys, step and the list after each."""
+    at = lambda i, j: f"g[({i}) * {m} + ({j}) + 1]"
+    cell = f"""case when i = p and j = p then 1 / {at('p', 'p')} when i = p then {at('p', 'j')} / {at('p', 'p')} when j = p then -{at('i', 'p')} / {at('p', 'p')}
+      else {at('i', 'j')} - {at('i', 'p')} * {at('p', 'j')} / {at('p', 'p')} end"""
+    cell = cell.replace("case when i = p", "case when (x // M) = p", 1)
+    for a, b in (("i = p", "(x // M) = p"), ("j = p", "(x % M) = p"), ("(i) *", "(x // M) *"), ("(j) +", "(x % M) +")):
+        cell = cell.replace(a, b)
+    return f"""{name}({keys}, step, last, g) as (select {keys}, 0, last, g from {source}
+  union all select {keys}, step + 1, last, list_transform(range(0, {m * m}), lambda x: {cell.replace('M', str(m))}) from (select *, {pivots} as p from {name} where step < last))"""
+
+
+def _products(source: str, keys: str, m: int) -> str:
+    """keys and the matrix of summed products of the list v."""
+    return f"""select {keys}, list(s order by i) as g from (select {keys}, i, sum(v[i // {m} + 1] * v[i % {m} + 1]) as s from {source}, range(0, {m * m}) t(i) group by {keys}, i) group by {keys}"""
+
+
+_LONGS = lambda *fs: " union all ".join(f"select symbol, ts, '{x}' as feature, {x} as y from f" for x in fs)
+_TAU = "({0} + {1} * tau + {2} * tau * tau + {3} * tau * tau * tau)"
+_ADF_P = normal_cdf(f"(case when tau <= -1.61 then {_TAU.format(2.1659, 1.4412, 0.038269, 0)} else {_TAU.format(1.7339, 0.93202, -0.12745, -0.010368)} end)")
+_ADF_P = f"case when tau > 2.74 then 1 when tau < -18.83 then 0 else {_ADF_P} end"
+
+
+def adf(*features: str) -> str:
+    """CTEs; `ad` has the test of each symbol and feature by at most 24 lags (of series of 54 rows at least)."""
+    k = "symbol, feature"
+    return f"""ad_l as materialized (select {k}, y, row_number() over (partition by {k} order by ts) as k, count(*) over (partition by {k}) as n from ({_LONGS(*features)}) where y is not null),
+ad_d as (select *, y - lag(y) over (partition by {k} order by k) as dy, lag(y) over (partition by {k} order by k) as y1 from ad_l),
+ad_w as materialized (select *, list_reverse(list(dy) over (partition by {k} order by k rows between 24 preceding and current row)) as w from ad_d),
+ad_v as (select {k}, list_concat([1.0, y1, dy], w[2:25]) as v from ad_w where k >= 26),
+ad_g as (select *, 26 as last from ({_products('ad_v', k, 27)})),
+{swept('ad_g', 27, 'case when step < 2 then step else step + 1 end', 'ad_s', k)},
+ad_r as (select {k}, count(*) as rows from ad_v group by all),
+ad_b as (select {k}, arg_min(step - 2, rows * (ln(2 * pi()) + ln(g[2 * 27 + 3] / rows) + 1) + 2 * step) as lags from ad_s join ad_r using ({k}) where step >= 2 group by all),
+ad_v2 as (select {k}, lags, list_concat([1.0, y1, dy], list_transform(range(1, 25), lambda j: case when j <= lags then w[j + 1] else 0 end)) as v from ad_w join ad_b using ({k}) where k >= lags + 2),
+ad_g2 as (select *, lags + 2 as last from ({_products('ad_v2', 'symbol, feature, lags', 27)})),
+{swept('ad_g2', 27, 'case when step < 2 then step else step + 1 end', 'ad_s2', 'symbol, feature, lags')},
+ad_t as (select {k}, lags, g[27 + 3] / sqrt(g[2 * 27 + 3] / (rows - lags - 2) * g[27 + 2]) as tau, rows from ad_s2 join (select {k}, count(*) as rows from ad_v2 group by all) using ({k}) where step = last),
+ad as (select {k}, n as n_obs, lags, tau, rows, {_ADF_P} as p from ad_t join (select distinct {k}, n from ad_l) using ({k}))"""
+
+
+SQL["adf"] = f"""{FEATURES}, {adf('mom', 'td', 'rv', 'close', 'lr')}
+select symbol, feature, n_obs, lags, round(tau, 4) as statistic, round(p, 6) as p_value, round(-3.43035 - 6.5393 / rows - 16.786 / rows ** 2 - 79.433 / rows ** 3, 6) as critical_1,
+  round(-2.86154 - 2.8903 / rows - 4.234 / rows ** 2 - 40.040 / rows ** 3, 6) as critical_5, p < 0.05 as is_stationary from ad"""
+
+_KPSS = f"""kp_l as (select symbol, feature, ts, y - avg(y) over (partition by symbol, feature) as e, count(*) over (partition by symbol, feature) as n from ({_LONGS('close', 'lr')}) where y is not null),
+kp_e as (select symbol, feature, any_value(n) as n, list(e order by ts) as e from kp_l group by all),
+kp_c as (select *, floor(pow(n, 2.0 / 9))::int as cover, list_transform(range(0, least(n, 400)), lambda h: list_sum(list_transform(range(1, (n - h + 1)::bigint), lambda i: e[i] * e[i + h]))) as p from kp_e),
+kp_b as (select *, list_sum(list_transform(range(1, cover + 1), lambda i: i * p[i + 1] / (n / 2))) as s1, p[1] / n + list_sum(list_transform(range(1, cover + 1), lambda i: p[i + 1] / (n / 2))) as s0 from kp_c),
+kp_g as (select *, least(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3))::int, n - 1) as lags from kp_b),
+kp_s as (select symbol, feature, sum(c * c) as s from (select symbol, feature, sum(e) over (partition by symbol, feature order by ts rows between unbounded preceding and current row) as c from kp_l) group by all),
+kp as (select symbol, feature, n, lags, s / n ** 2 / ((p[1] + 2 * coalesce(list_sum(list_transform(range(1, lags + 1), lambda i: p[i + 1] * (1 - i / (lags + 1.0)))), 0)) / n) as eta from kp_g join kp_s using (symbol, feature)),
+kp_p as (select *, case when eta <= 0.347 then 0.10 when eta <= 0.463 then 0.10 - 0.05 * (eta - 0.347) / 0.116 when eta <= 0.574 then 0.05 - 0.025 * (eta - 0.463) / 0.111
+  when eta <= 0.739 then 0.025 - 0.015 * (eta - 0.574) / 0.165 else 0.01 end as p from kp)"""
+SQL["kpss"] = f"""{FEATURES}, {adf('close', 'lr')}, {_KPSS}
+select symbol, feature, kp_p.n as n_obs, kp_p.lags, round(eta, 6) as statistic, round(kp_p.p, 6) as p_value, round(ad.p, 6) as adf_p,
+  case when ad.p < 0.05 and kp_p.p >= 0.05 then 'stationary' when ad.p >= 0.05 and kp_p.p < 0.05 then 'non-stationary' when ad.p < 0.05 then 'difference-stationary' else 'trend-stationary' end as verdict
+from kp_p join ad using (symbol, feature)"""
+
+SQL["arch_lm"] = f"""{FEATURES}, a as (select symbol, lr * lr * 1e4 as s, row_number() over {W} as k, list(lr * lr * 1e4) over (partition by symbol order by ts rows between 10 preceding and current row) as w from f where lr is not null),
+v as (select symbol, list_concat([1.0], list_reverse(w)) as v from a where k > 10),
+g as (select *, 11 as last from ({_products('v', 'symbol', 12)})), {swept('g', 12, 'case when step = 0 then 0 else step + 1 end', 's', 'symbol')},
+b as (select symbol, g[1 * 12 + 2] as total from s where step = 1), n as (select symbol, count(*) as n from v group by 1),
+x as (select symbol, n, 1 - g[1 * 12 + 2] / total as r2 from s join b using (symbol) join n using (symbol) where step = 11),
+y as (select *, n * r2 as lm, (r2 / 10) / ((1 - r2) / (n - 11)) as f from x)
+select symbol, n as n_obs, round(lm, 4) as lm, round({chi2_p('lm', '10')}, 6) as lm_p, round(f, 4) as f, round({f_p('f', '10', '(n - 11)')}, 6) as f_p from y"""
+
+SQL["acf_tests"] = f"""{FEATURES}, x as (select symbol, list(e order by ts) as e, any_value(n) as n from (select symbol, ts, lr - avg(lr) over (partition by symbol) as e, count(*) over (partition by symbol) as n from f where lr is not null) group by 1),
+p as (select symbol, n, list_transform(range(0, 21), lambda h: list_sum(list_transform(range(1, (n - h + 1)::bigint), lambda i: e[i] * e[i + h]))) as p from x),
+rr as (select symbol, n, list_transform(p, lambda v: v / p[1]) as r from p),
+lv(symbol, n, r, k, phi, v, a) as (select symbol, n, r, 0, []::double[], 1::double, 0::double from rr
+  union all select symbol, n, r, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - a * phi[k + 1 - j]), a), v * (1 - a * a), a
+  from (select symbol, n, r, k, phi, v, (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])), 0)) / v as a from lv where k < 20)),
+q as (select symbol, k as lag, r[k + 1] as acf, a as pacf, n, n * (n + 2) * list_sum(list_transform(range(1, k + 1), lambda j: r[j + 1] * r[j + 1] / (n - j))) as q from lv where k > 0)
+select symbol, lag, round(acf, 6) as acf, round(pacf, 6) as pacf, round(q, 4) as q, round({chi2_p('q', 'lag')}, 6) as p_value, abs(acf) > 1.96 / sqrt(n) as outside from q"""
+
+SQL["lambda_calibration"] = f"""{HOURLY}, {weights('w1', 1e4, 60)}, {weights('w2', 1e5, 60)}, {weights('w3', 1e6, 60)}, a as (select *, list(close) over {over(60)} as ps from h),
+t as (select *, {filtered('w1', 60, 't1')}, {filtered('w2', 60, 't2')}, {filtered('w3', 60, 't3')} from a),
+s as (select symbol, ts, 't1' as trend_a, 't2' as trend_b, t1 - lag(t1) over {W} as x, t2 - lag(t2) over {W} as y, t1 - t2 as gap, t2 - close as off from t
+  union all select symbol, ts, 't2', 't3', t2 - lag(t2) over {W}, t3 - lag(t3) over {W}, t2 - t3, t3 - close from t),
+k as (select symbol, trend_a, rank() over (partition by symbol, trend_a order by x) as rx, rank() over (partition by symbol, trend_a order by y) as ry from s where x is not null and y is not null),
+c as (select symbol, trend_a, corr(rx, ry) as c from k group by all)
+select symbol, trend_a, trend_b, round(any_value(c), 4) as slope_corr, round(stddev_samp(gap), 4) as std_gap, round(arg_max(off, ts), 4) as last_gap from s join c using (symbol, trend_a) group by all"""
+
+_PEAK = """pk0 as (select feature, arg_max(horizon, abs(ic)) as peak_horizon, arg_max(ic, abs(ic)) as peak_ic from i group by 1),
+atp as (select l.feature, l.x, l.y from l join pk0 on pk0.feature = l.feature and pk0.peak_horizon = l.horizon)"""
+_STEADY = "sf as (select feature, max(p) as adf_p, bool_and(p < 0.05) as is_stationary from ad group by 1)"
+_BY = lambda x: f"select symbol, ts, '{x}' as feature, {x} as x, f1, f4, f24 from f"
+SQL["univariate"] = f"""{research._LONG_SQL}, {_PEAK}, {adf('mom', 'td', 'rv')}, {_STEADY},
+fl as (select symbol, ts, u.feature, symbol || '/' || u.feature as sf, x, case peak_horizon when 1 then f1 when 4 then f4 else f24 end as y from ({" union all ".join(map(_BY, ("mom", "td", "rv")))}) u join pk0 on pk0.feature = u.feature),
+{rolling_rank('fl', 'x', 'y', 200, 'sf')}, ro2 as (select feature, avg(rolling_ic) as mean_ic, stddev_samp(rolling_ic) as std_ic from rc group by 1),
+ht as (select feature, count(*) filter (where sign(x) = sign(y)) / count(*)::double as hit_rate from atp where x <> 0 and y <> 0 group by 1),
+qt as (select feature, quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) as e from atp group by 1 having count(*) >= 150),
+mt as (select atp.feature, len(list_filter(list_distinct(e), lambda v: v < x)) as bin, avg(y) as m from atp join qt on qt.feature = atp.feature group by 1, 2),
+mo as (select feature, corr(bin, rk) as rho, count(*) as n from (select *, rank() over (partition by feature order by m) as rk from mt) group by 1)
+select pk0.feature, round(adf_p, 6) as adf_p, is_stationary, peak_horizon, round(peak_ic, 6) as peak_ic, round(mean_ic, 6) as mean_ic, round(std_ic, 6) as std_ic, round(mean_ic / std_ic, 6) as ic_ir, round(hit_rate, 6) as hit_rate, round(rho, 6) as rho,
+  abs(rho) > 0.8 and ({spearman_p('rho', 'n')}) < 0.05 as is_monotonic, case when not is_stationary then 'non-stationary' when abs(peak_ic) < 0.05 then 'weak IC' else '' end as reject_reason, is_stationary and abs(peak_ic) >= 0.05 as passed
+from pk0 join sf on sf.feature = pk0.feature join ro2 on ro2.feature = pk0.feature join ht on ht.feature = pk0.feature join mo on mo.feature = pk0.feature"""

@@ -398,7 +398,8 @@ def ic_horizons(spark, d):
 
 @query()
 def ic_significance(spark, d):
-    return stats.information(_pairs(spark, d), ("feature", "horizon"), "value", "fwd")
+    i = stats.information(_pairs(spark, d), ("feature", "horizon"), "value", "fwd")
+    return shown(i.withColumns({"ic": F.round("ic", 5), "p_value": F.round("p_value", 4)}), "n_obs", "ic", "p_value", "significant", "stars", keys=("feature", "horizon"))
 
 
 @query(_LONG_SQL + " select feature, arg_max(horizon, abs(ic)) as peak_horizon, round(arg_max(ic, abs(ic)), 6) as peak_ic from i group by 1")
@@ -552,24 +553,27 @@ def acf_ljung(spark, d):
 
 @query()
 def acf_tests(spark, d):
-    return stats.autocorrelation(_features(spark, d), "lr", 20)
+    a = stats.autocorrelation(_features(spark, d), "lr", 20).withColumn("q", F.round("q", 4))
+    return shown(a, "acf", "pacf", "q", "p_value", "outside", keys=("symbol", "lag"))
 
 
 @query()
 def adf(spark, d):
-    return stats.dickey_fuller(stats.long(_features(spark, d), (*_FEATURES, "close", "lr"), KEY), "value", ("symbol", "feature"))
+    a = stats.dickey_fuller(stats.long(_features(spark, d), (*_FEATURES, "close", "lr"), KEY), "value", ("symbol", "feature")).withColumn("statistic", F.round("statistic", 4))
+    return shown(a, "n_obs", "lags", "statistic", "p_value", "critical_1", "critical_5", "is_stationary", keys=("symbol", "feature"))
 
 
 @query()
 def kpss(spark, d):
     long = stats.long(_features(spark, d), ("close", "lr"), KEY)
     both = stats.level_stationarity(long, "value", ("symbol", "feature")).join(stats.dickey_fuller(long, "value", ("symbol", "feature")).select("symbol", "feature", F.col("p_value").alias("adf_p")), ["symbol", "feature"])
-    return both.withColumn("verdict", stats.verdict(F.col("adf_p"), F.col("p_value")))
+    return shown(both.withColumn("verdict", stats.verdict(F.col("adf_p"), F.col("p_value"))), "n_obs", "lags", "statistic", "p_value", "adf_p", "verdict", keys=("symbol", "feature"))
 
 
 @query()
 def arch_lm(spark, d):
-    return stats.arch_lm(_features(spark, d), "lr")
+    a = stats.arch_lm(_features(spark, d), "lr").withColumns({"lm": F.round("lm", 4), "f": F.round("f", 4)})
+    return shown(a, "n_obs", "lm", "lm_p", "f", "f_p", keys=("symbol",))
 
 
 @query()
@@ -593,7 +597,8 @@ def univariate(spark, d):
     rolled = stats.rolling_summary(stats.rolling_information(at_peak, "value", "fwd", 200, keys=("feature", "symbol")), ("feature",))
     adf_ = _stationary(features)
     mono = stats.monotonicity(stats.quantile_returns(at_peak, ("feature",), "value", "fwd"), ("feature",))
-    return stats.univariate_summary(adf_, peaks, rolled, stats.hit_rate(at_peak, ("feature",), "value", "fwd"), mono)
+    found = stats.univariate_summary(adf_, peaks, rolled, stats.hit_rate(at_peak, ("feature",), "value", "fwd"), mono)
+    return shown(found, *[c for c in found.columns if c != "feature"], keys=("feature",))
 
 
 @query()
@@ -612,7 +617,7 @@ def feature_selection(spark, d):
 @query()
 def lambda_calibration(spark, d):
     t = causal_trends(hourly(spark, d), "close", {"t1": 1e4, "t2": 1e5, "t3": 1e6}, 60)
-    return stats.lambda_calibration(t, ("t1", "t2", "t3"))
+    return shown(stats.lambda_calibration(t, ("t1", "t2", "t3")), "slope_corr", "std_gap", "last_gap", keys=("symbol", "trend_a", "trend_b"), places=4)
 
 
 @query(f"with {D} select symbol, count(close) as n, round(avg(close), 6) as mean, round(stddev_samp(close), 6) as std, round(min(close), 6) as least, round(quantile_cont(close, 0.25), 6) as q25, round(median(close), 6) as q50, round(quantile_cont(close, 0.75), 6) as q75, round(max(close), 6) as most from h group by 1")
@@ -721,7 +726,8 @@ def metrics(spark, d):
 
 @query()
 def metrics_deflated(spark, d):
-    return bt.metrics(_run(spark, d), ("symbol",), n_trials=72)
+    m = bt.metrics(_run(spark, d), ("symbol",), n_trials=72)
+    return m.select("symbol", "n_obs", "sharpe", F.round("skew", 4).alias("skew"), F.round("kurtosis", 4).alias("kurtosis"), F.round("pct_positive", 6).alias("pct_positive"), "trade_bars", "dsr")
 
 
 def _grid_run(spark, d, keys=("symbol", "t1", "t2")) -> DataFrame:
