@@ -299,3 +299,34 @@ mo as (select feature, corr(bin, rk) as rho, count(*) as n from (select *, rank(
 select pk0.feature, round(adf_p, 6) as adf_p, is_stationary, peak_horizon, round(peak_ic, 6) as peak_ic, round(mean_ic, 6) as mean_ic, round(std_ic, 6) as std_ic, round(mean_ic / std_ic, 6) as ic_ir, round(hit_rate, 6) as hit_rate, round(rho, 6) as rho,
   abs(rho) > 0.8 and ({spearman_p('rho', 'n')}) < 0.05 as is_monotonic, case when not is_stationary then 'non-stationary' when abs(peak_ic) < 0.05 then 'weak IC' else '' end as reject_reason, is_stationary and abs(peak_ic) >= 0.05 as passed
 from pk0 join sf on sf.feature = pk0.feature join ro2 on ro2.feature = pk0.feature join ht on ht.feature = pk0.feature join mo on mo.feature = pk0.feature"""
+
+# -- written times: a pattern for each form; the zone of the session doesn't matter
+
+_CLOCK = r"(?:(?:\s*T\s*|\s+)(?:(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([ap]\.?m\.?))?|(\d{2})(\d{2})(\d{2}))(?:\s*([A-Za-z]{1,5}))?(?:\s*([+-])(\d{2})(?::?(\d{2}))?)?)?"
+_PARTS = "'h', 'mi', 's', 'f', 'half', 'h2', 'mi2', 's2', 'abbr', 'sign', 'oh', 'om'"
+_FORMS = (
+    (r"(\d{4})([-/.])(\d{1,2})([-/.])(\d{1,2})", "'a', 'sep', 'b', 'sep2', 'c'", "g.sep = g.sep2", "g.a", "g.b", "g.c"),
+    (r"(\d{4})(\d{2})(\d{2})", "'a', 'b', 'c'", "true", "g.a", "g.b", "g.c"),
+    (r"(\d{1,2})([-/.])(\d{1,2})([-/.])(\d{4}|\d{2})", "'a', 'sep', 'b', 'sep2', 'c'", "g.sep = g.sep2", "case when len(g.c) = 2 then '20' else '' end || g.c", "case day_order when 'dmy' then g.b else g.a end", "case day_order when 'dmy' then g.a else g.b end"),
+    (r"(\d{1,2})[- ]([A-Za-z]{3,9})[- ](\d{4}|\d{2})", "'a', 'b', 'c'", "true", "case when len(g.c) = 2 then '20' else '' end || g.c", "MONTH", "g.a"),
+    (r"([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})", "'b', 'a', 'c'", "true", "g.c", "MONTH", "g.a"),
+)
+_MONTH = "((strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(g.b[1:3])) + 2) // 3)::varchar"
+# The abbreviations of the zones in the table, in minutes.
+_ABBREVIATIONS = """zn(zone, name, minutes) as (values ('America/New_York', 'EST', -300), ('America/New_York', 'EDT', -240), ('America/Chicago', 'CST', -360), ('America/Chicago', 'CDT', -300), ('Europe/London', 'GMT', 0),
+  ('Europe/London', 'BST', 60), ('Europe/Berlin', 'CET', 60), ('Europe/Berlin', 'CEST', 120), ('Europe/Athens', 'EET', 120), ('Europe/Athens', 'EEST', 180), ('Asia/Tokyo', 'JST', 540), ('Asia/Kolkata', 'IST', 330),
+  ('Australia/Sydney', 'AEST', 600), ('Australia/Sydney', 'AEDT', 660))"""
+_FORM = lambda p, names, test, y, m, d: (
+    rf"select stamp_id, zone, g, {y} as y, {m} as mo, {d} as d from (select *, regexp_extract(t, '(?i)^{p}{_CLOCK}$', [{names}, {_PARTS}]) as g from x where regexp_matches(t, '(?i)^{p}{_CLOCK}$')) where {test}".replace("MONTH", _MONTH)
+)
+SQL["p3_found"] = rf"""with {_ABBREVIATIONS},
+x as (select stamp_id, coalesce(tz, 'UTC') as zone, day_order, trim(coalesce(datetime, trim(date, e' \t') || ' ' || trim(time, e' \t'), date), e' \t\r\n') as t from stamps),
+f as ({" union all ".join(_FORM(*f) for f in _FORMS)}),
+n as (select stamp_id, zone, try_cast(printf('%04d-%02d-%02d', y::int, mo::int, d::int) as date) as day, coalesce(nullif(g.h, ''), nullif(g.h2, ''), '0')::int as h, coalesce(nullif(g.mi, ''), nullif(g.mi2, ''), '0')::int as mi,
+  coalesce(nullif(g.s, ''), nullif(g.s2, ''), '0')::int as s, rpad(g.f[1:6], 6, '0')::int as us, lower(g.half[1:1]) as half, upper(g.abbr) as abbr, g.sign as sign, coalesce(nullif(g.oh, ''), '0')::int as oh, coalesce(nullif(g.om, ''), '0')::int as om from f),
+k as (select stamp_id, n.zone, day + to_seconds((case when half = '' then h when half = 'p' then h % 12 + 12 else h % 12 end) * 3600 + mi * 60 + s) as local, us, case when sign <> '' then case when sign = '+' then 1 else -1 end * (oh * 60 + om) when abbr in ('Z', 'UTC') then 0
+    when abbr <> '' then coalesce(zn.minutes, case when abbr = 'GMT' then 0 end) end as minutes, abbr, sign from n left join zn on zn.zone = n.zone and zn.name = abbr
+  where day is not null and mi < 60 and s < 60 and (half = '' and h < 24 or half <> '' and h between 1 and 12) and oh < 24 and om < 60 and (sign = '' or abbr in ('', 'UTC', 'GMT', 'Z'))),
+u as (select stamp_id, us, case when minutes is not null then epoch_us(local) - minutes::bigint * 60000000 when abbr = '' then epoch_us(list_min(list_filter(list_transform([-60, -30, 0, 30, 60], lambda m: timezone(k.zone, local) + to_minutes(m::bigint)), lambda z: timezone(k.zone, z) = local))) end as begun from k)
+select stamp_id, begun + us as utc_us from u where begun is not null
+union all select stamp_id, t::bigint * case len(t) when 10 then 1000000 when 13 then 1000 else 1 end from x where regexp_full_match(t, '[0-9]+') and len(t) in (10, 13, 16)"""
