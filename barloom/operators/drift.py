@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from barloom.sources.tables import written
 
+#: Digits before the point up to which a number is a time in a unit, and that unit in microseconds.
+EPOCH_UNITS = ((11, 1_000_000), (14, 1_000), (17, 1))
 KINDS = ("string", "double", "long", "boolean", "object", "array", "null")
 
 
@@ -121,6 +123,12 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _fields(aliases: DataFrame) -> DataFrame:
+    """(name, known): the field of each alias; of an alias named twice the greatest."""
+    named = aliases.select(F.trim(F.lower("alias")).alias("name"), F.col("field").alias("known")).where("name is not null")
+    return named.groupBy("name").agg(F.max("known").alias("known"))
+
+
 def tagged_types(records: DataFrame) -> DataFrame:
     """(file_no, provider, at, name, kind, n): the kinds of value each name of each file holds, fused over its records.
 
@@ -155,7 +163,7 @@ def changes(records: DataFrame, aliases: DataFrame) -> DataFrame:
             F.lead("file_no").over(order).alias("next_file"),
         )
     )
-    known = aliases.select(F.trim(F.lower("alias")).alias("name"), F.col("field").alias("known")).dropDuplicates(["name"])
+    known = _fields(aliases)
     has = lambda *kinds: F.max(F.col("kind").isin(*kinds))
     fields = (
         fused.where("name is not null")
@@ -209,7 +217,7 @@ def alternatives(records: DataFrame, aliases: DataFrame) -> DataFrame:
     order = Window.partitionBy("provider").orderBy("at", "file_no")
     files = fused.where("name is null").groupBy("provider", "file_no").agg(F.min("at").alias("at"))
     files = files.select(F.col("provider").alias("of_provider"), F.col("file_no").alias("of_file"), F.row_number().over(order).alias("seq"))
-    known = aliases.select(F.trim(F.lower("alias")).alias("name"), F.col("field").alias("known")).dropDuplicates(["name"])
+    known = _fields(aliases)
     path = F.concat(F.coalesce("known", "name"), "below").alias("path")
     seen = fused.where("name is not null").join(known, "name", "left").select("provider", "file_no", path, "kind").join(files, F.expr("provider <=> of_provider and file_no <=> of_file"))
     first = seen.groupBy("provider", "path", "kind").agg(F.min(F.struct("seq", "file_no")).alias("f"))
@@ -219,7 +227,7 @@ def alternatives(records: DataFrame, aliases: DataFrame) -> DataFrame:
 def _number(value: object) -> float | None:
     if isinstance(value, str):
         try:
-            return float(value)
+            return None if "_" in value else float(value)
         except ValueError:
             return None
     return float(value) if isinstance(value, bool) else None
@@ -247,9 +255,10 @@ def consolidated(records: DataFrame, aliases: DataFrame, numbers: tuple[str, ...
     value as written in the branch of its kind (string, double, long, or other: JSON text, also of whole numbers beyond
     64 bits), and rest, a map of the other fields to their text, if they are texts, or else their JSON text.
 
-    A value that doesn't convert is null, with its text kept in rest under the field's name. Numbers in `times` are
-    seconds since 1970, of at most ten digits before the point. Parts of a second are kept to the microsecond. A field under several names in one record takes the first value that isn't null. A text that
-    isn't a JSON object gives a row of nulls. `aliases` is collected to the driver for this, after a check that it
+    A value that doesn't convert is null, with its text kept in rest under the field's name. Numbers in `times` are times
+    since 1970, in seconds, milliseconds or microseconds by their digits before the point (EPOCH_UNITS). Parts of a second
+    are kept to the microsecond. A field under several names in one record takes the first value that isn't null. A text
+    that isn't a JSON object gives a row of nulls. `aliases` is collected to the driver for this, after a check that it
     has at most 10,000 rows.
     """
     pairs = aliases.select(F.trim(F.lower("alias")), "field").limit(10_001).collect()
@@ -303,9 +312,11 @@ def consolidated(records: DataFrame, aliases: DataFrame, numbers: tuple[str, ...
     )
     table = records.select("record_id", "file_no", "record_json").mapInArrow(rows, schema)
     for f in times:
-        seconds = F.col(f).try_cast("decimal(20,6)")
-        seconds = F.when(F.abs(seconds) < 10_000_000_000, seconds)
-        parsed = F.when(F.col(f"{f}_as").isin("long", "double"), F.timestamp_micros((seconds * 1_000_000).cast("bigint"))).otherwise(F.col(f).try_cast("timestamp"))
+        size = F.col(f).try_cast("decimal(25,6)")
+        micros = F.lit(None)
+        for digits, unit in reversed(EPOCH_UNITS):
+            micros = F.when(F.abs(size) < 10**digits, (size * unit).cast("bigint")).otherwise(micros)
+        parsed = F.when(F.col(f"{f}_as").isin("long", "double"), F.timestamp_micros(micros)).otherwise(F.col(f).try_cast("timestamp"))
         table = table.withColumn(f, parsed.cast("string"))
         table = table.withColumn("rest", F.when(F.col(f).isNull(), F.col("rest")).otherwise(F.map_filter("rest", lambda k, _: k != f)))
     return table

@@ -330,3 +330,77 @@ k as (select stamp_id, n.zone, day + to_seconds((case when half = '' then h when
 u as (select stamp_id, us, case when minutes is not null then epoch_us(local) - minutes::bigint * 60000000 when abbr = '' then epoch_us(list_min(list_filter(list_transform([-60, -30, 0, 30, 60], lambda m: timezone(k.zone, local) + to_minutes(m::bigint)), lambda z: timezone(k.zone, z) = local))) end as begun from k)
 select stamp_id, begun + us as utc_us from u where begun is not null
 union all select stamp_id, t::bigint * case len(t) when 10 then 1000000 when 13 then 1000 else 1 end from x where regexp_full_match(t, '[0-9]+') and len(t) in (10, 13, 16)"""
+
+# -- drifting files
+
+_NUMBERS = ("open", "high", "low", "close", "volume", "dividends", "stock_splits")
+_KIND = "case when t = 'VARCHAR' then 'string' when t in ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') then case when regexp_matches(raw, '[.eE]') then 'double' else 'long' end else lower(t) end"
+_VALUES = f"""r as (select record_id, file_no, provider, loaded_at, record_json as j from file_records),
+k as (select *, unnest(json_keys(j)) as key, generate_subscripts(json_keys(j), 1) as pos from r),
+v as (select *, trim(lower(key)) as name, json_type(j, '$."' || key || '"') as t, json_extract_string(j, '$."' || key || '"') as txt, json_extract(j, '$."' || key || '"')::varchar as raw from k),
+n as (select v.*, {_KIND} as kind, coalesce(a.field, v.name) as field from v left join (select trim(lower(alias)) as alias, max(field) as field from field_aliases group by 1) a on a.alias = v.name),
+o as (select record_id, file_no, field, arg_min(kind, (kind = 'null', pos)) as kind, arg_min(txt, (kind = 'null', pos)) as txt from n group by all)"""
+_TIME = """case kind when 'string' then coalesce(case when regexp_matches(trim(txt), '(Z|[+-][0-9]{2}:?[0-9]{2})$') then timezone('UTC', try_cast(txt as timestamptz)) end, try_cast(txt as timestamp))
+  when 'long' then make_timestamp((txt::hugeint * case when len(txt) <= 11 then 1000000 when len(txt) <= 14 then 1000 else 1 end)::bigint) end"""
+SQL["p6_table"] = f"""with {_VALUES}, w as (select r.record_id, r.file_no, {", ".join(f"any_value(try_cast(trim(txt) as double)) filter (where field = '{f}') as {f}" for f in _NUMBERS)}, any_value({_TIME}) filter (where field = 'datetime') as datetime,
+  {", ".join(f"any_value(kind) filter (where field = '{f}') as {f}_as" for f in (*_NUMBERS, "datetime"))},
+  {", ".join(f"any_value(case when kind = '{k}' then {v} end) filter (where field = '{f}') as {f}_{k}" for f in (*_NUMBERS, "datetime") for k, v in (("string", "txt"), ("double", "txt::double"), ("long", "txt::bigint")))},
+  {", ".join(f"any_value(case when kind in ('boolean', 'object', 'array') then txt end) filter (where field = '{f}') as {f}_other" for f in (*_NUMBERS, "datetime"))},
+  coalesce(string_agg(field || '=' || coalesce(txt, 'null'), ';' order by field || '=' || coalesce(txt, 'null')) filter (where field not in {(*_NUMBERS, "datetime")!r} or (txt is not null and case when field = 'datetime' then {_TIME} is null else try_cast(trim(txt) as double) is null end)), '') as rest
+  from r left join o on o.record_id = r.record_id group by r.record_id, r.file_no)
+select * from w"""
+SQL["p6_alternatives"] = f"""with {_VALUES}, f as (select provider, file_no, row_number() over (partition by provider order by min(loaded_at), file_no) as seq from file_records group by 1, 2),
+s as (select n.provider, field as path, kind, min(seq) as seq, arg_min(n.file_no, seq) as file_no from n join f on f.provider is not distinct from n.provider and f.file_no = n.file_no group by all)
+select file_no, path, kind from s where seq > 1"""
+
+# -- distances of loads
+
+_CELLS = " union all ".join(
+    [f"select load_no, {i} as no, '{c}' as column_name, {v}::double as num, null::varchar as txt from bars" for i, (c, v) in enumerate((("bar_id", "bar_id"), ("ts", "epoch_us(ts)"), *((p, p) for p in ("open", "high", "low", "close", "volume")), ("ingested_at", "epoch_us(ingested_at)")))]
+    + [f"select load_no, {i + 20}, '{c}', null, {c} from bars" for i, c in enumerate(("provider", "symbol", "src_ref"))]
+)
+SQL["p1_distances"] = f"""with u as materialized ({_CELLS}),
+l as (select load_no, max(baseline_load) as base from loads where load_no is not null group by 1 having max(baseline_load) is not null),
+s as (select u.load_no as base, column_name, list(num order by num) as v from u where num is not null and u.load_no in (select base from l) group by all),
+q as (select base, column_name, list_transform(range(0, 11), lambda i: v[((len(v) - 1) * i // 10) + 1]) as q from s),
+b as (select base, column_name, q[1] as least, list_distinct(list_filter(q, lambda e, i: i > 1 and e = q[i - 1])) as shared, q[2:11] as upto from q),
+c as (select l.load_no, l.base, u.column_name, num, txt, 1 as x, 0 as y from u join l on l.load_no = u.load_no union all select l.load_no, l.base, u.column_name, num, txt, 0, 1 from u join l on l.base = u.load_no),
+d as (select c.load_no, c.base, c.column_name, x, y, txt, case when num is not null then coalesce(len(list_filter(upto, lambda e: e < num)) + len(list_filter(shared, lambda e: e <= num)) + (num >= least)::int, 0) end as bin
+  from c left join b on b.base = c.base and b.column_name = c.column_name),
+g as (select load_no, base, column_name, bin, txt, sum(x)::double as x, sum(y)::double as y from d group by all),
+t as (select load_no, base, column_name, sum(x) as rows, sum(y) as base_rows, coalesce(sum(x) filter (where bin is not null or txt is not null), 0) as n, coalesce(sum(y) filter (where bin is not null or txt is not null), 0) as m, count(*) filter (where bin is not null or txt is not null) as w from g group by all),
+h as (select load_no, column_name, sum(((x + 0.5) / (n + w / 2) - (y + 0.5) / (m + w / 2)) * ln(((x + 0.5) / (n + w / 2)) / ((y + 0.5) / (m + w / 2)))) as psi,
+  sum((x * sqrt(m / nullif(n, 0)) - y * sqrt(n / nullif(m, 0))) ** 2 / (x + y)) as chi2 from g join t using (load_no, base, column_name) where bin is not null or txt is not null group by all)
+select t.load_no, base as baseline_load, t.column_name, n::bigint as n_values, case when base_rows > 0 then m::bigint end as base_values, case when base_rows > 0 then w end as n_cells, case when base_rows > 0 then round(psi, 6) end as psi, case when base_rows > 0 then round(chi2, 6) end as chi2
+from t left join h on h.load_no = t.load_no and h.column_name = t.column_name where rows > 0"""
+
+# -- named checks and the selection of features
+
+_GAPS = research._SLOTS
+SQL["quality_checks"] = f"""{_GAPS}, q as (select *, close / nullif(lag(close) over {W}, 0) - 1 as ret, lag(ts) over {W} > ts as back from h), z as (select symbol, avg(ret) as m, stddev_samp(ret) as s from q group by 1),
+o as (select q.symbol, 0 as timezone, count(*) - count(distinct ts) as duplicates, count(*) filter (where back) as monotonic,
+  count(*) filter (where high < open or high < close or high < low) + count(*) filter (where low > open or low > close or low > high) as ohlc_integrity, count(*) filter (where abs(ret - m) > 10 * s) as extreme_spikes from q join z using (symbol) group by 1),
+g as (select symbol, count(*) as missing_bars from (select symbol, ts from x anti join h using (symbol, ts)) where isodow(ts) <= 5 group by 1),
+a as (select o.*, coalesce(missing_bars, 0) as missing_bars from o left join g using (symbol)),
+p as (unpivot a on timezone, duplicates, monotonic, ohlc_integrity, missing_bars, extreme_spikes into name check_name value n_details)
+select symbol, check_name, n_details = 0 or check_name = 'extreme_spikes' as is_valid, n_details::bigint as n_details from p"""
+
+_F4 = " union all ".join(f"select symbol, ts, '{x}' as feature, {x} as x, f4 as y, close from f" for x in ("mom", "td", "rv"))
+_NUL = "case when {} then '{}' end"
+SQL["feature_selection"] = f"""{research._MATRIX_SQL}, u as ({_F4}), l as (select * from u where x is not null and y is not null),
+k as (select *, rank() over (partition by feature order by x) + (count(*) over (partition by feature, x) - 1) / 2.0 as rx, rank() over (partition by feature order by y) + (count(*) over (partition by feature, y) - 1) / 2.0 as ry from l),
+i as (select feature, corr(rx, ry) as ic, count(*) as n_obs from k group by 1),
+o as (select feature, row_number() over (order by abs(ic) desc, case feature when 'mom' then 1 when 'td' then 2 else 3 end) as k from i),
+mm as (select feature_a as a, feature_b as b, abs(corr) as c from m union all select feature_b, feature_a, abs(corr) from m),
+gr(k, kept, feature, of) as (select 1::bigint, [feature], feature, null::varchar from o where k = 1
+  union all select k, case when of is null then list_append(kept, feature) else kept end, feature, of from (
+    select o.k, gr.kept, o.feature, (select arg_max(mm.b, mm.c) from mm where mm.a = o.feature and list_contains(gr.kept, mm.b) and mm.c > 0.7) as of from gr join o on o.k = gr.k + 1)),
+{adf('mom', 'td', 'rv')}, {_STEADY},
+wb as (select symbol, feature, (row_number() over (partition by symbol, feature order by ts) - 1) // 120 as block, x, y from u where close is not null),
+wk as (select *, rank() over (partition by symbol, feature, block order by x) + (count(*) over (partition by symbol, feature, block, x) - 1) / 2.0 as rx, rank() over (partition by symbol, feature, block order by y) + (count(*) over (partition by symbol, feature, block, y) - 1) / 2.0 as ry from wb where x is not null and y is not null),
+wi as (select symbol, feature, block, corr(rx, ry) as ic from wk group by 1, 2, 3 having count(*) >= 30),
+wm as (select feature, avg(ic) as m from wi group by 1), ws as (select wi.feature, avg(case when m = 0 then 0.5 else (sign(ic) = sign(m))::int end) as sign_consistency from wi join wm on wm.feature = wi.feature group by 1),
+ft as (select i.feature, ic, n_obs, adf_p, sign_consistency, of as redundant_with, case when n_obs >= 3 and abs(ic) < 1 then ic * sqrt(n_obs - 2) / sqrt(1 - ic * ic) end as t_stat from i join sf using (feature) join ws using (feature) join gr using (feature)),
+fp as (select *, abs(ic) > 0.03 as passes_ic, abs(t_stat) > 2 as passes_t_stat, adf_p < 0.05 as passes_stationarity, sign_consistency >= 0.7 as passes_stability, redundant_with is null as passes_redundancy from ft),
+fr as (select *, concat_ws('; ', {_NUL.format('not passes_ic', 'weak IC')}, {_NUL.format('not passes_t_stat', 'weak t')}, {_NUL.format('not passes_stationarity', 'non-stationary')}, {_NUL.format('not passes_stability', 'unstable sign')}, 'redundant with ' || redundant_with) as reject_reasons from fp)
+select feature, round(ic, 5) as ic, n_obs, round(adf_p, 6) as adf_p, round(sign_consistency, 6) as sign_consistency, redundant_with, round(t_stat, 3) as t_stat, passes_ic, passes_t_stat, passes_stationarity, passes_stability, passes_redundancy, reject_reasons, reject_reasons = '' as passed from fr"""

@@ -11,6 +11,7 @@ from barloom.operators import difference, drift, gridfill, instants, profile, re
 from barloom.sources.tables import table, written
 
 PRICES = ("open", "high", "low", "close")
+COLUMNS = ("bar_id", "provider", "symbol", "ts", *PRICES, "volume", "src_ref", "ingested_at")
 SRC_REF = r"^[A-Z]{2}[0-9]{6}-[0-9]{4}\z"
 
 
@@ -35,14 +36,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
         "distinct": {"volume": few, "src_ref": few},
         "shift": {"volume": (mean > base * 4) | (mean * 4 < base)},
     }
-    return profile.issues(_profiled(spark, d, (*PRICES, "volume", "src_ref")), limits).withColumnRenamed("load", "load_no")
+    return profile.issues(_profiled(spark, d, COLUMNS), limits).withColumnRenamed("load", "load_no")
 
 
 def p1_profile(spark: SparkSession, d: str) -> DataFrame:
     """The whole profile of every column of every load, beside its baseline's distribution."""
-    columns = ("bar_id", "provider", "symbol", "ts", *PRICES, "volume", "src_ref", "ingested_at")
     r = lambda c: F.round(c, 6).alias(c)
-    return _profiled(spark, d, columns).select(
+    return _profiled(spark, d, COLUMNS).select(
         F.col("load").alias("load_no"), "column_name", "n_rows", "n_nulls", "n_zeros", "n_negative", "n_distinct", r("min_num"), r("max_num"),
         F.round(F.when(F.col("column_name").isin(*PRICES, "volume"), F.col("mean_num")), 6).alias("mean_num"), "min_txt", "max_txt", "n_unmatched", r("psi"), r("chi2"),
     )
@@ -50,9 +50,8 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_distances(spark: SparkSession, d: str) -> DataFrame:
     """How far every column of every load is from its baseline: texts by their values, numbers and times by the baseline's quantiles."""
-    columns = ("bar_id", "provider", "symbol", "ts", *PRICES, "volume", "src_ref", "ingested_at")
     named = table(spark, d, "loads").select(F.col("load_no").alias("load"), F.col("baseline_load").alias("baseline"))
-    found = profile.distances(table(spark, d, "bars"), "load_no", columns, named)
+    found = profile.distances(table(spark, d, "bars"), "load_no", COLUMNS, named)
     return found.withColumns({"psi": F.round("psi", 6), "chi2": F.round("chi2", 6)}).withColumnsRenamed({"load": "load_no", "baseline": "baseline_load"})
 
 
@@ -223,10 +222,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "file_records"), table(spark, d, "field_aliases"))
 
 
+P6_NUMBERS = ("open", "high", "low", "close", "volume", "dividends", "stock_splits")
+
+
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
-    """All records as one table, with the kind each value was written in."""
-    fields = ("open", "high", "low", "close", "volume", "dividends", "stock_splits")
-    return drift.consolidated(table(spark, d, "file_records"), table(spark, d, "field_aliases"), fields, ("datetime",))
+    """All records as one table, with the kind each value was written in and the value in the branch of its kind."""
+    found = drift.consolidated(table(spark, d, "file_records"), table(spark, d, "field_aliases"), P6_NUMBERS, ("datetime",))
+    branches = [F.col(f"{f}_branch.{k}").alias(f"{f}_{k}") for f in (*P6_NUMBERS, "datetime") for k in ("string", "double", "long", "other")]
+    rest = F.array_join(F.array_sort(F.transform(F.map_entries("rest"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))), ";")
+    return found.select("record_id", "file_no", *P6_NUMBERS, F.col("datetime").cast("timestamp_ntz").alias("datetime"), *[f"{f}_as" for f in (*P6_NUMBERS, "datetime")], *branches, rest.alias("rest"))
 
 
 def p6_alternatives(spark: SparkSession, d: str) -> DataFrame:

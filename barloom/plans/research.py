@@ -611,7 +611,8 @@ def feature_selection(spark, d):
     adf_ = _stationary(f).select("feature", F.col("p_value").alias("adf_p"))
     blocks = stats.long(f.withColumn("f", F.col("f4")), _FEATURES, ("symbol", "ts", "close"))
     steady = stats.stability(stats.walk_forward(blocks, "value", 4, 120, ("symbol", "feature")), ("feature",)).select("feature", "sign_consistency")
-    return stats.selection(ics.join(adf_, "feature", "left").join(steady, "feature", "left").join(lost, "feature", "left"))
+    found = stats.selection(ics.join(adf_, "feature", "left").join(steady, "feature", "left").join(lost, "feature", "left"))
+    return shown(found.withColumns({"ic": F.round("ic", 5), "t_stat": F.round("t_stat", 3)}), *[c for c in found.columns if c != "feature"], keys=("feature",))
 
 
 @query()
