@@ -158,6 +158,18 @@ def crossed(df: DataFrame, grid: DataFrame, most_rows: int = 100_000) -> DataFra
     return df.join(F.broadcast(grid), F.lit(True))
 
 
+def high_count(results: DataFrame, order: Sequence[str], least: int = 500, nearest: int = 10) -> DataFrame:
+    """The combinations of a grid's results (at most as many as `crossed` allows) with at least `least` trades; if there is
+    none, the `nearest` ones with most trades, of equal ones the first by `order`. enough says which; place counts from 1, by falling
+    Sharpe ratio or number of trades."""
+    every = Window.partitionBy(F.lit(1))
+    enough = F.col("n_trades") >= least
+    ranked = results.withColumn("enough", F.max(enough).over(every))
+    first = F.when(F.col("enough"), F.col("sharpe")).otherwise(F.col("n_trades").cast("double"))
+    kept = ranked.where(enough | ~F.col("enough")).withColumn("place", F.row_number().over(every.orderBy(first.desc_nulls_last(), *order)))
+    return kept.where(F.col("enough") | (F.col("place") <= nearest))
+
+
 def as_of(df: DataFrame, rates: DataFrame, values: Sequence[str], keys: Sequence[str] = ("symbol",), order: str = ORDER, date: str = "date") -> DataFrame:
     """`df` with the values of its keys' latest rate at or before its time, or of the first rate if there is none.
 

@@ -53,12 +53,21 @@ def information(df: DataFrame, by: Sequence[str], x: str, y: str, least: int = 3
     return out.withColumns({"significant": F.coalesce(F.col("p_value") < 0.05, F.lit(False)), "stars": stars})
 
 
-def decay_peak(ics: DataFrame, by: Sequence[str], horizon: str = "horizon") -> DataFrame:
-    """(by, peak_horizon, peak_ic): the horizon with the greatest |ic|, null as 0, the least horizon of equal ones."""
+def decay_peak(ics: DataFrame, by: Sequence[str], horizon: str = "horizon", prefer_significant: bool = False) -> DataFrame:
+    """(by, peak_horizon, peak_ic): the horizon with the greatest |ic|, null as 0, the least horizon of equal ones; with
+    prefer_significant among the significant ones, if there are any."""
     size = F.coalesce(F.abs("ic"), F.lit(0.0))
+    if prefer_significant:
+        size = F.struct(F.coalesce("significant", F.lit(False)), size)
     return ics.groupBy(*by).agg(F.max_by(horizon, F.struct(size, -F.col(horizon))).alias("peak_horizon"), F.max_by("ic", F.struct(size, -F.col(horizon))).alias("peak_ic"))
 
 
+def gate(ics: DataFrame, by: Sequence[str], least: float = 0.02, horizon: str = "horizon") -> DataFrame:
+    """(by, passed, peak_horizon, peak_ic): passed if at any horizon the ic is significant and above `least` in size."""
+    strong = F.coalesce((F.abs("ic") > least) & F.col("significant"), F.lit(False))
+    return ics.groupBy(*by).agg(F.max(strong).alias("passed")).join(decay_peak(ics, by, horizon), list(by))
+
+
 def t_statistic(ic: Column, n: Column) -> Column:
     """ic * sqrt(n - 2) / sqrt(1 - ic^2); null below 3 rows or for |ic| of 1."""
     return F.when((n >= 3) & (F.abs(ic) < 1), ic * F.sqrt(n - 2) / F.sqrt(1 - ic * ic))

@@ -404,3 +404,31 @@ ft as (select i.feature, ic, n_obs, adf_p, sign_consistency, of as redundant_wit
 fp as (select *, abs(ic) > 0.03 as passes_ic, abs(t_stat) > 2 as passes_t_stat, adf_p < 0.05 as passes_stationarity, sign_consistency >= 0.7 as passes_stability, redundant_with is null as passes_redundancy from ft),
 fr as (select *, concat_ws('; ', {_NUL.format('not passes_ic', 'weak IC')}, {_NUL.format('not passes_t_stat', 'weak t')}, {_NUL.format('not passes_stationarity', 'non-stationary')}, {_NUL.format('not passes_stability', 'unstable sign')}, 'redundant with ' || redundant_with) as reject_reasons from fp)
 select feature, round(ic, 5) as ic, n_obs, round(adf_p, 6) as adf_p, round(sign_consistency, 6) as sign_consistency, redundant_with, round(t_stat, 3) as t_stat, passes_ic, passes_t_stat, passes_stationarity, passes_stability, passes_redundancy, reject_reasons, reject_reasons = '' as passed from fr"""
+
+# -- the pipeline
+
+_GAINED = f"{research._LONG_SQL}, p as (select *, {spearman_p('ic', 'n_obs')} as p from i)"
+SQL["ic_gate"] = f"{_GAINED} select feature, bool_or(abs(ic) > 0.02 and p < 0.05) as passed, arg_max(horizon, abs(ic)) as peak_horizon, round(arg_max(ic, abs(ic)), 5) as peak_ic from p group by 1"
+SQL["ic_peak_significant"] = f"{_GAINED} select feature, arg_max(horizon, (p < 0.05, abs(ic))) as peak_horizon, round(arg_max(ic, (p < 0.05, abs(ic))), 5) as peak_ic from p group by 1"
+
+_LABELS = {"1M": "hp_1m", "10M": "hp_10m", "100M": "hp_100m", "1B": "hp_1b", "3_9B": "hp_3_9b", "100B": "hp_100b"}
+_MEAN = lambda n: f"(case when count(trend) over (partition by lam order by ts rows between {n - 1} preceding and current row) >= {n} then avg(trend) over (partition by lam order by ts rows between {n - 1} preceding and current row) end) as m{n}"
+SQL["trend_grid_72"] = f"""with {MINUTES}, t as ({_GRID_SQL.replace("select symbol, ts, ", "select symbol, ts, close, ", 1).replace("(select symbol, ts, list", "(select symbol, ts, close, list").replace(", 6) as", ", 12) as")}),
+u as ({" union all ".join(f"select ts, close, '{label}' as lam, {c} as trend from t" for label, c in _LABELS.items())}),
+m as (select *, {", ".join(map(_MEAN, (24, 48, 72, 120, 168, 240, 480)))} from u),
+g as (select lam, t1, t2, ts, close, case t1 when 24 then m24 when 48 then m48 else m72 end - case t2 when 120 then m120 when 168 then m168 when 240 then m240 else m480 end as sp from m, (values (24), (48), (72)) a(t1), (values (120), (168), (240), (480)) b(t2)),
+b as (select *, case when sp > 0 then 1.0::double when sp is not null then -1.0::double end as signal from g), {tested('b', ('lam', 't1', 't2'))}
+select lam, t1, t2, {research._METRICS.replace("round(min(equity / peak - 1), 4) as max_drawdown,", "")} from pk group by all having count(signal) >= 100"""
+
+# As above, of 8 trials.
+_BEST_8 = (1 - 0.5772156649) * NormalDist().inv_cdf(1 - 1 / 8) + 0.5772156649 * NormalDist().inv_cdf(1 - 1 / (8 * 2.718281828459045))
+_SLICE = (*_KEYS, "part")
+SQL["crossing_oos"] = f"""{FEATURES}, {_VP}, {machine('gr', 'td', 'sigma', 'hold', 100, None, ('symbol', 'sigma', 'hold'))},
+fl as (select gr.*, floor, case when coalesce(vp < floor, true) then 0 else sig end::double as signal, case when ts <= timestamp '2024-01-20 23:59:59' then 'is' else 'oos' end as part from gr join mc using (symbol, sigma, hold, ts), (values (0.0::double), (50.0)) t(floor)), {tested('fl', _SLICE)},
+i as (select {", ".join(_KEYS)}, count(*) as n_obs, round(avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt(6048), 4) as sharpe, floor(sum(abs(trade)) / 2) as n_trades, count(*) filter (where net_return <> 0) as k,
+  skewness(net_return) filter (where net_return <> 0) as g, kurtosis(net_return) filter (where net_return <> 0) as q from pk where part = 'is' group by all),
+v as (select *, (1 - case when k > 2 then g else 0 end * sharpe + (case when k > 3 then q else 0 end - 1) / 4 * sharpe * sharpe) / (n_obs - 1) as v from i),
+s as (select *, round({normal_cdf(f'((sharpe - {_BEST_8!r}) / sqrt(case when v <= 0 then 1.0 / (n_obs - 1) else v end))')}, 4) as dsr from v),
+best as (select {", ".join(_KEYS)} from s qualify row_number() over (partition by symbol order by n_trades >= 10 desc, dsr desc nulls last, sharpe desc nulls last, sigma, hold, floor) = 1),
+x as (select pk.*, name, position * ret - abs(trade) * bps / 10000 as net from pk join best using ({", ".join(_KEYS)}), (values ('low', 0.9::double), ('mid', 1.5), ('high', 2.0)) c(name, bps) where part = 'oos')
+select {", ".join(_KEYS)}, name, count(*) as n_obs, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(6048), 4) as sharpe from x group by all"""

@@ -6,6 +6,9 @@ Lookbacks are short enough for those series.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -1070,3 +1073,134 @@ def variants(spark, d):
 @query(_GRID_SQL + " select t1, t2, grouping_id(t1, t2) as level, count(*) as n, round(max(sharpe), 4) as best from r group by cube (t1, t2)")
 def grid_cube(spark, d):
     return _grid(spark, d).cube("t1", "t2").agg(F.grouping_id("t1", "t2").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.max("sharpe"), 4).alias("best"))
+
+
+# -- the research pipeline as one call
+
+
+@dataclass(frozen=True)
+class Pipeline:
+    """The settings of a research run over bars: the grid has len(lambdas) * len(fast) * len(slow) combinations."""
+
+    lambdas: Mapping[str, float] = field(default_factory=lambda: {"1M": 1e6, "10M": 1e7, "100M": 1e8, "1B": 1e9, "3_9B": 3.9e9, "100B": 1e11})
+    window: int = 500
+    fast: tuple[int, ...] = (24, 48, 72)
+    slow: tuple[int, ...] = (120, 168, 240, 480)
+    horizons: tuple[int, ...] = (1, 4, 24)
+    reference: str = "3_9B"
+    cost: bt.FxCost = bt.FxCost(0.7, 0.2)
+    vol_window: int = 20
+    regime_window: int = 252
+
+
+def trend_grid(trends: DataFrame, config: Pipeline) -> DataFrame:
+    """(symbol, lam, t1, t2 and the measures) of crossovers on every trend, for combinations with 100 signals at least.
+
+    trends: KEY, close and a column for each lambda. Trends are unpivoted, each mean computed once a trend, and the
+    combinations of means crossed in by a checked broadcast.
+    """
+    rows = trends.unpivot([*KEY, "close"], list(config.lambdas), "lam", "trend")
+    s = Series(rows, ("symbol", "lam"))
+    spans = sorted({*config.fast, *config.slow})
+    for n in spans:
+        s = s.sma(f"m{n}", "trend", n)
+    pairs = trends.sparkSession.createDataFrame([(a, b) for a in config.fast for b in config.slow], "t1 int, t2 int")
+    mean = lambda c, own: F.coalesce(*[F.when(F.col(c) == n, F.col(f"m{n}")) for n in own])
+    gap = mean("t1", config.fast) - mean("t2", config.slow)
+    by = ("symbol", "lam", "t1", "t2")
+    signal = F.when(gap > 0, 1.0).when(gap.isNotNull(), -1.0)
+    run = bt.backtest(bt.crossed(s.df, pairs).select(*by, "ts", "close", signal.alias("signal")), "signal", config.cost, by)
+    n_trials = len(config.lambdas) * len(config.fast) * len(config.slow)
+    enough = run.groupBy(*by).agg(F.count("signal").alias("n_signals")).where("n_signals >= 100")
+    return bt.metrics(run, by, by, n_trials=n_trials).join(enough, list(by))
+
+
+def research(bars: DataFrame, config: Pipeline = Pipeline()) -> dict[str, DataFrame]:
+    """The five steps over bars (symbol, ts and prices): `calibration` of neighbouring trends, `stationarity`, `ic` with its
+    `gate`, the `grid`, and `regimes` (ic in each volatility regime). Trends and features are written once."""
+    trends = written(causal_trends(bars, "close", dict(config.lambdas), config.window), "trends")
+    s = Series(trends).log_return("lr").momentum("mom").atr("atr").volatility("rv", "lr", config.vol_window).vol_regime("regime", "lr", config.vol_window, config.regime_window)
+    own = f"`{config.reference}`"
+    s = s.put(level=F.col(own)).slope("slope", "level").curvature("curvature", "level").ma_spread("spread", "level", config.fast[0], config.slow[0], "atr").deviation_from_ma("deviation", "level", config.slow[0], "atr")
+    for h in config.horizons:
+        s = s.forward_return(f"f{h}", h)
+    names = ("mom", "rv", "level", "slope", "curvature", "spread", "deviation")
+    features = written(s.df.select(*KEY, "close", "regime", *names, *[f"f{h}" for h in config.horizons]), "features")
+    long = stats.long(features, names, (*KEY, "regime", *[f"f{h}" for h in config.horizons]))
+    pairs = long.unpivot([*KEY, "regime", "feature", "value"], [f"f{h}" for h in config.horizons], "h", "fwd").withColumn("horizon", F.substring("h", 2, 9).cast("int"))
+    ics = written(stats.information(pairs, ("feature", "horizon"), "value", "fwd"), "ics")
+    return {
+        "calibration": stats.lambda_calibration(trends, list(config.lambdas)),
+        "stationarity": stats.dickey_fuller(stats.long(features, names, KEY), "value", ("symbol", "feature")),
+        "ic": ics,
+        "gate": stats.gate(ics, ("feature",)),
+        "grid": trend_grid(trends, config),
+        "regimes": stats.information(pairs.where("regime is not null"), ("regime", "feature", "horizon"), "value", "fwd"),
+    }
+
+
+def report(results: Mapping[str, DataFrame], folder: str) -> None:
+    """Each result as JSON, a row a line, in a folder of its own."""
+    for name, df in results.items():
+        src.write_results(df, f"{folder}/{name}", "json")
+
+
+@query()
+def trend_grid_72(spark, d):
+    """All 72 combinations of the research grid over one-sided trends of a long series."""
+    config = Pipeline()
+    trends = written(causal_trends(minutes(spark, d), "close", dict(config.lambdas), config.window), "trends")
+    return _measured(trend_grid(trends, config), "lam", "t1", "t2").drop("max_drawdown")
+
+
+@query()
+def ic_gate(spark, d):
+    """Features with an ic above 0.02 that is significant, and where each is greatest."""
+    g = stats.gate(stats.information(_pairs(spark, d), ("feature", "horizon"), "value", "fwd"), ("feature",))
+    return shown(g, "passed", "peak_horizon", "peak_ic", keys=("feature",), places=5)
+
+
+@query()
+def ic_peak_significant(spark, d):
+    """The greatest ic of each feature among its significant horizons, or among all if it has none."""
+    p = stats.decay_peak(stats.information(_pairs(spark, d), ("feature", "horizon"), "value", "fwd"), ("feature",), prefer_significant=True)
+    return shown(p, "peak_horizon", "peak_ic", keys=("feature",), places=5)
+
+
+def _counted(spark, d, least: int) -> DataFrame:
+    g = bt.high_count(_grid(spark, d), ("symbol", "t1", "t2"), least)
+    return g.select(F.lit(least).alias("least"), "symbol", "t1", "t2", "sharpe", "n_trades", "enough", F.col("place").cast("bigint").alias("place"))
+
+
+@query(
+    " union all ".join(
+        f"select * from ({_GRID_SQL}, w as (select {least} as least, symbol, t1, t2, sharpe, n_trades, max(n_trades) over () >= {least} as enough from r), wp as (select *, row_number() over (order by case when enough then sharpe else n_trades end desc nulls last, symbol, t1, t2) as place from w where n_trades >= {least} or not enough) select * from wp where enough or place <= 10)"
+        for least in (30, 100_000)
+    )
+)
+def grid_high_count(spark, d):
+    """Combinations with many trades, by Sharpe ratio; and where none has as many as asked, the ten with most."""
+    return _counted(spark, d, 30).unionByName(_counted(spark, d, 100_000))
+
+
+@query()
+def crossing_oos(spark, d):
+    """Crossing entries over thresholds, holds and floors: of each series the best in sample by deflated, then plain Sharpe
+    ratio, of those with enough trades if there are any, tested out of sample under three cost scenarios."""
+    f = Series(_features(spark, d)).vol_percentile("vp", "lr", 20, 100).df
+    grid = spark.createDataFrame([(s, h) for s in (0.5, 1.0) for h in (12, 24)], "sigma double, hold int")
+    keys = ("symbol", "sigma", "hold")
+    signalled = machines.threshold_signals(bt.crossed(f.select(*KEY, "close", "td", "vp"), grid), "td", "raw", F.col("sigma"), F.col("hold"), lookback=100, crossing=True, keys=keys)
+    floors = spark.createDataFrame([(0.0,), (50.0,)], "floor double")
+    part = F.when(F.col("ts") <= F.lit("2024-01-20 23:59:59").cast("timestamp_ntz"), "is").otherwise("oos")
+    rows = bt.crossed(signalled, floors).withColumns({"signal": machines.vol_floor(F.col("raw"), F.col("vp"), F.col("floor")), "part": part})
+    combination = (*keys, "floor")
+    by = (*combination, "part")
+    run = written(bt.backtest(rows.select(*by, "ts", "close", "signal"), "signal", bt.FxCost(0.7, 0.2), by), "crossing")
+    inside = bt.metrics(run.where("part = 'is'"), by, by, n_trials=8)
+    w = Window.partitionBy("symbol").orderBy((F.col("n_trades") >= 10).desc(), F.col("dsr").desc_nulls_last(), F.col("sharpe").desc_nulls_last(), "sigma", "hold", "floor")
+    best = inside.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*combination)
+    outside = run.where("part = 'oos'").join(best, list(combination), "left_semi")
+    scenarios = spark.createDataFrame([("low", 0.9), ("mid", 1.5), ("high", 2.0)], "name string, bps double")
+    each = bt.crossed(outside, scenarios).withColumn("net", F.col("gross_return") - F.abs("trade") * F.col("bps") / 10_000)
+    return each.groupBy(*combination, "name").agg(F.count(F.lit(1)).alias("n_obs"), F.round(F.try_divide(F.avg("net"), F.stddev_samp("net")) * F.sqrt(F.lit(6048)), 4).alias("sharpe"))

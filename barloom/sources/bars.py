@@ -48,6 +48,12 @@ def resolved(path: str, roots: Sequence[str] = ()) -> str:
     raise FileNotFoundError(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system its scheme names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def first_of(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """Of rows with equal keys the one with the least `seq`: keep-first in file order."""
     w = Window.partitionBy(*keys).orderBy(seq)
@@ -92,13 +98,40 @@ def read_folder(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Dat
     return first_of(rows, ("symbol", "ts"), "seq").drop("seq")
 
 
+def scan_folder(spark: SparkSession, folder: str, pattern: str = "*.csv", freq: str = "h") -> DataFrame:
+    """One row for each file of a folder: file, size, n_lines, n_unread (lines without a readable time), error, and the
+    columns of `quality_report` over its bars, null where there is none.
+
+    error: `empty`, or `no line can be read` (another layout, or bytes that aren't text); a file that Spark can't read
+    at all counts as the latter. One bad file leaves the others' reports as they are. An empty folder gives no row.
+    """
+    from barloom.operators.quality import quality_report
+
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder, pattern)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    names = [(f.getPath().getName(), f.getLen()) for f in found if f.isFile()]
+    files = spark.createDataFrame(names, "file string, size long")
+    lenient = spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
+    raw = lenient.schema(", ".join(f"{n} string" for n in BROKER_COLUMNS)).csv(folder)
+    ts = F.try_to_timestamp(F.concat_ws(" ", "date", "time"), F.lit("yyyy.MM.dd HH:mm")).cast("timestamp_ntz")
+    file = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    seq = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    rows = raw.select(file.alias("file"), ts.alias("ts"), *[F.col(c).try_cast("double").alias(c) for c in BAR], seq.alias("seq"))
+    lines = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("ts").isNull()).alias("n_unread"))
+    bars_ = first_of(rows.where("ts is not null"), ("file", "ts"), "seq").drop("seq")
+    reports = quality_report(bars_, freq, keys=("file",))
+    error = F.when(F.col("size") == 0, "empty").when(F.col("n_bars").isNull(), "no line can be read")
+    joined = files.join(lines, "file", "left").join(reports, "file", "left")
+    return joined.select("file", "size", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_unread", F.lit(0)).alias("n_unread"), error.alias("error"), *[c for c in reports.columns if c != "file"])
+
+
 def load(spark: SparkSession, folder: str, symbol: str, ending: str = ".csv", with_checks: bool = False):
     """Bars of one symbol of a folder, with_checks also the table of named checks. LoadError for a symbol without a file,
     ValidationError if a bar's high or low is passed by another of its prices."""
     from barloom.operators.quality import checks, ohlc_violations
 
     path = os.path.join(folder, symbol + ending)
-    if not os.path.exists(path):
+    if not exists(spark, path):
         raise LoadError(f"no bars of {symbol} in {folder}")
     out = read_bars(spark, path, symbol)
     if out.agg(ohlc_violations().alias("n")).first()[0]:
@@ -120,7 +153,7 @@ def swap_rates(spark: SparkSession, symbol: str, folder: str | None = None) -> D
     the constants; KeyError if neither has the symbol. Case of the symbol doesn't count."""
     symbol = symbol.upper()
     path = os.path.join(folder, f"{symbol}_swaps.csv") if folder else None
-    if path and os.path.exists(path):
+    if path and exists(spark, path):
         rows = spark.read.option("header", True).schema("date date, long_bps double, short_bps double").csv(path)
         return rows.select(F.lit(symbol).alias("symbol"), "date", "long_bps", "short_bps")
     if symbol not in SWAP_DEFAULTS:
@@ -146,8 +179,7 @@ SWAP_DEFAULTS = {
 
 def through_cache(spark: SparkSession, path: str, df: DataFrame, keys: Sequence[str], make) -> DataFrame:
     """`df` left-joined with the table kept at `path`; `make(df)` writes it first where there is none."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, path):
         make(df).write.parquet(path)
     return df.join(spark.read.parquet(path), list(keys), "left")
 

@@ -49,6 +49,19 @@ def test_folder_and_loader(spark, tmp_path):
         src.resolved("nothing.csv", [str(tmp_path)])
 
 
+def test_scan_of_a_folder_reports_each_file(spark, tmp_path):
+    write(tmp_path / "X.csv", BROKER)
+    write(tmp_path / "Y.csv", "2025.01.06,00:00,100,99,101,100,1000\n")
+    write(tmp_path / "empty.csv", "")
+    write(tmp_path / "other.csv", "open,close\n1,2\n")
+    (tmp_path / "bytes.csv").write_bytes(bytes(range(128, 256)) * 50)
+    write(tmp_path / "left.txt", "no")
+    got = {r.file: r for r in src.scan_folder(spark, str(tmp_path)).collect()}
+    assert {f: r.error for f, r in got.items()} == {"X.csv": None, "Y.csv": None, "empty.csv": "empty", "other.csv": "no line can be read", "bytes.csv": "no line can be read"}
+    assert (got["X.csv"].n_lines, got["X.csv"].n_unread, got["X.csv"].n_bars) == (4, 1, 2) and got["Y.csv"].ohlc_violations == 2
+    assert got["empty.csv"].quality_score is None and src.scan_folder(spark, str(tmp_path), "*.none").count() == 0
+
+
 def test_swap_rates(spark, tmp_path):
     assert src.swap_rates(spark, "usdjpy").first()[2:] == (0.5, -1.2)
     write(tmp_path / "EURUSD_swaps.csv", "date,long_bps,short_bps\n2024-01-01,1.0,2.0\n")
