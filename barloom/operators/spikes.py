@@ -58,8 +58,9 @@ def _impossible() -> Column:
     return out
 
 
-def judged(bars: DataFrame, window: int = 11, stuck_run: int = 8, stretch_s: int = STRETCH_S) -> DataFrame:
-    """(bar_id, provider, symbol, impossible, stuck, far, change), one row for each bar of a series that counts.
+def judged(bars: DataFrame, window: int = 11, stuck_run: int = 8, stretch_s: int = STRETCH_S, spread: bool = False) -> DataFrame:
+    """(bar_id, provider, symbol, impossible, stuck, far, change), one row for each bar of a series that counts; with
+    spread also mad, the median absolute deviation of the window's closes from their median.
 
     Of bars with equal provider, symbol and ts the lowest bar_id counts (of equal ones the least by close, high, low and
     open, nulls first); then bars whose close is null or NaN, or whose
@@ -110,8 +111,24 @@ def judged(bars: DataFrame, window: int = 11, stuck_run: int = 8, stretch_s: int
     })
     run = F.coalesce(F.col("_next"), F.col("_end") + 1) - F.col("_begin")
     far = F.greatest(F.abs(F.col("top") - middle), F.abs(F.col("bottom") - middle))
-    out = seen.where("own").select("bar_id", "provider", "symbol", "impossible", (run >= stuck_run).alias("stuck"), far.alias("far"), "change")
-    return written(out, "spikes")
+    out = seen.withColumn("_middle", middle) if spread else seen
+    off = F.array_sort(F.transform("_around", lambda c: F.abs(c - F.col("_middle"))))
+    mad = [((F.element_at(off, F.floor((n + 1) / 2).cast("int")) + F.element_at(off, (F.floor(n / 2) + 1).cast("int"))) / 2).alias("mad")] if spread else []
+    out = out.where("own").select("bar_id", "provider", "symbol", "impossible", (run >= stuck_run).alias("stuck"), far.alias("far"), "change", *mad)
+    return out if spread else written(out, "spikes")  # the median change reads the rows twice more
+
+
+#: A median absolute deviation times this is the deviation of a normal variable.
+NORMAL_MAD = 1.4826
+
+
+def hampel(bars: DataFrame, window: int = 11, times: float = 3.0, stuck_run: int = 8, stretch_s: int = STRETCH_S) -> DataFrame:
+    """As `implausible`, but a spike is further from the rolling median than `times` NORMAL_MAD of the window's own median
+    absolute deviation (Hampel's filter). Where that is 0 nothing is a spike."""
+    rows = judged(bars, window, stuck_run, stretch_s, spread=True)
+    spike = (F.col("mad") > 0) & (F.col("far") > times * NORMAL_MAD * F.col("mad"))
+    kind = F.when(F.col("impossible"), "impossible").when(spike, "spike").when(F.col("stuck"), "stuck")
+    return rows.select("bar_id", kind.alias("kind")).where("kind is not null")
 
 
 def implausible(bars: DataFrame, window: int = 11, times: float = 27.0, stuck_run: int = 8, stretch_s: int = STRETCH_S) -> DataFrame:

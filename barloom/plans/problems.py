@@ -154,6 +154,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return instants.normalised(table(spark, d, "stamps"), "symbol", "stamp_id").select(F.col("id").alias("stamp_id"), "utc_us")
 
 
+def p3_path(spark: SparkSession, d: str) -> DataFrame:
+    """Every stamp read without its order of day and month, and with both instants of a time that occurs twice: where
+    several are left, the ones on the least path over the record order of the symbol."""
+    open_ = table(spark, d, "stamps").withColumn("day_order", F.lit(None).cast("string"))
+    return instants.normalised(open_, "symbol", "stamp_id", both=True).select(F.col("id").alias("stamp_id"), "utc_us", "form")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The empty slots of each listing's grid."""
     grid = gridfill.on_grid(table(spark, d, "bars"), table(spark, d, "listings"), "close", max_gap_minutes=240)
@@ -199,6 +206,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.implausible(table(spark, d, "bars"))
 
 
+def p5_hampel(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the deviation of each window as the scale, 20 times."""
+    return spikes.hampel(table(spark, d, "bars"), times=20.0)
+
+
 P5_FOUND_SQL = """
 with k as (select * from bars qualify row_number() over (partition by provider, symbol, ts order by bar_id) = 1),
 s as (
@@ -217,6 +229,22 @@ select bar_id, kind from f where kind is not null
 """
 
 
+P5_HAMPEL_SQL = """
+with k as (select * from bars qualify row_number() over (partition by provider, symbol, ts order by bar_id) = 1),
+s as (
+  select bar_id, provider, symbol, open, high, low, close, list(close) over w11 as cs,
+    row_number() over w - row_number() over (partition by provider, symbol, close order by ts) as run
+  from k where close is not null
+  window w as (partition by provider, symbol order by ts), w11 as (partition by provider, symbol order by ts rows between 5 preceding and 5 following)),
+m as (select *, list_median(cs) as m, count(*) over (partition by provider, symbol, close, run) as len from s),
+d as (select *, 20 * 1.4826::double * list_median(list_transform(cs, lambda c: abs(c - m))) as lim from m),
+f as (select bar_id, case
+  when least(open, high, low, close) <= 0 or high < open or high < close or high < low or low > open or low > close then 'impossible'
+  when lim > 0 and (abs(high - m) > lim or abs(low - m) > lim or abs(close - m) > lim) then 'spike' when len >= 8 then 'stuck' end as kind from d)
+select bar_id, kind from f where kind is not null
+"""
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Every change of a field from a provider's file to its next."""
     return drift.changes(table(spark, d, "file_records"), table(spark, d, "field_aliases"))
@@ -281,7 +309,7 @@ union all select k, 'datetime' from j where a.datetime is distinct from b.dateti
     )
 )
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_distances, p2_found, p2_rows, p3_found, p4_found, p4_grid, p5_found, p6_found, p6_table, p6_alternatives, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_distances, p2_found, p2_rows, p3_found, p3_path, p4_found, p4_grid, p5_found, p5_hampel, p6_found, p6_table, p6_alternatives, p7_found)}
 SQL = {
     "p1_found": P1_FOUND_SQL,
     "p1_profile": P1_PROFILE_SQL,
@@ -290,6 +318,7 @@ SQL = {
     "p4_found": P4_FOUND_SQL,
     "p4_grid": P4_GRID_SQL,
     "p5_found": P5_FOUND_SQL,
+    "p5_hampel": P5_HAMPEL_SQL,
     "p6_found": P6_FOUND_SQL,
     "p7_found": P7_FOUND_SQL,
 }
