@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from datetime import date, datetime, timedelta, timezone
+from datetime import date, datetime
 from functools import cache, lru_cache
 from zoneinfo import ZoneInfo
 
 # English month names, as far as they are compared.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-_EPOCH = datetime(1970, 1, 1)
+_DAY_0 = date(1970, 1, 1).toordinal()
 _CLOCK = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?(?:\s*(?P<half>[ap]\.?m\.?))?"
 _PACKED = r"(?P<h2>\d{2})(?P<mi2>\d{2})(?P<s2>\d{2})"
 _ZONE = r"(?:\s*(?P<abbr>[A-Za-z]{1,5}))?(?:\s*(?P<sign>[+-])(?P<oh>\d{2})(?::?(?P<om>\d{2}))?)?"
@@ -56,25 +56,31 @@ def _local(at: datetime, name: str | None, both: bool) -> list[int]:
     z = zone(name)
     if z is None:
         return []
-    out = []
-    for fold in (0, 1):
-        offset = at.replace(tzinfo=z, fold=fold).utcoffset()
-        try:
-            utc = at - offset
-            back = utc.replace(tzinfo=timezone.utc).astimezone(z).replace(tzinfo=None)
-        except OverflowError:
-            continue
-        if back == at:
-            out.append(int((utc - _EPOCH).total_seconds()))
-    out = sorted(set(out))
-    return out if both else out[:1]
+    own = at.replace(tzinfo=z)
+    first, second = own.utcoffset(), own.replace(fold=1).utcoffset()
+    seconds = (at.toordinal() - _DAY_0) * 86400 + at.hour * 3600 + at.minute * 60 + at.second
+    here = seconds - (first.days * 86400 + first.seconds)
+    if first == second:
+        return [here]
+    if first < second:  # the clock went forward over it
+        return []
+    return [here, seconds - (second.days * 86400 + second.seconds)] if both else [here]
+
+
+def _forms(text: str) -> range:
+    """The places in FORMS of those that a text can have, by how it begins."""
+    if text[:1].isalpha():
+        return range(4, 5)
+    if text[:4].isdigit():
+        return range(0, 1) if text[4:5] in ("-", "/", ".") else range(1, 2)
+    return range(2, 4)
 
 
 def _dates(found: re.Match, order: str | None) -> list[tuple[str, date]]:
-    g = found.groupdict()
-    if "a" in g:
-        a, b, c = int(g["a"]), int(g["b"]), int(g["c"])
-        full = len(g["c"]) == 4
+    known = found.re.groupindex
+    if "a" in known:
+        a, b, c = int(found["a"]), int(found["b"]), int(found["c"])
+        full = len(found["c"]) == 4
         if order == "dmy" or order == "mdy":
             orders = [order]
         elif order == "ymd" and not full:
@@ -85,12 +91,12 @@ def _dates(found: re.Match, order: str | None) -> list[tuple[str, date]]:
         for o in orders:
             y, m, d = {"dmy": (c, b, a), "mdy": (c, a, b), "ymd": (a, b, c)}[o]
             parts.append((o, y if full and o != "ymd" else 2000 + y, m, d))
-    elif "name" in g:
-        name = g["name"].lower()
-        month = next((i for i, m in enumerate(MONTHS, 1) if name.startswith(m)), 0)
-        parts = [("named", int(g["y"]) + (2000 if len(g["y"]) == 2 else 0), month, int(g["d"]))]
+    elif "name" in known:
+        name = found["name"][:3].lower()
+        month = MONTHS.index(name) + 1 if name in MONTHS else 0
+        parts = [("named", int(found["y"]) + (2000 if len(found["y"]) == 2 else 0), month, int(found["d"]))]
     else:
-        parts = [("year first", int(g["y"]), int(g["mo"]), int(g["d"]))]
+        parts = [("year first", int(found["y"]), int(found["mo"]), int(found["d"]))]
     out = []
     for o, y, m, d in parts:
         try:
@@ -114,33 +120,36 @@ def interpretations(text: str | None, tz: str | None, order: str | None, both: b
     if text.isascii() and text.isdigit() and len(text) in _UNITS:
         return [(f"epoch {len(text)}", int(text) * _UNITS[len(text)])]
     out = set()
-    for i, form in enumerate(FORMS):
-        found = form.fullmatch(text)
+    for i in _forms(text):
+        found = FORMS[i].fullmatch(text)
         if not found:
             continue
-        g = found.groupdict()
-        h, mi, s = g["h"] or g["h2"], g["mi"] or g["mi2"], g["s"] or g["s2"]
-        timed = h is not None
-        hour, minute, second = int(h or 0), int(mi or 0), int(s or 0)
-        if g["half"]:
+        h, mi, s, fraction, half, h2, mi2, s2, abbr, sign, oh, om = found.group("h", "mi", "s", "f", "half", "h2", "mi2", "s2", "abbr", "sign", "oh", "om")
+        timed = h is not None or h2 is not None
+        hour, minute, second = int(h or h2 or 0), int(mi or mi2 or 0), int(s or s2 or 0)
+        if half:
             if not 1 <= hour <= 12:
                 continue
-            hour = hour % 12 + (12 if g["half"][0] in "pP" else 0)
+            hour = hour % 12 + (12 if half[0] in "pP" else 0)
         if hour > 23 or minute > 59 or second > 59:
             continue
-        micro = int(g["f"][:6].ljust(6, "0")) if g["f"] else 0
-        abbr, offset = (g["abbr"] or "").upper(), None
-        if g["sign"]:
-            if abbr not in ("", "UTC", "GMT", "Z") or int(g["oh"]) > 23 or int(g["om"] or 0) > 59:
+        micro = int(fraction[:6].ljust(6, "0")) if fraction else 0
+        abbr, offset = (abbr or "").upper(), None
+        if sign:
+            if abbr not in ("", "UTC", "GMT", "Z") or int(oh) > 23 or int(om or 0) > 59:
                 continue
-            offset = (1 if g["sign"] == "+" else -1) * (int(g["oh"]) * 3600 + int(g["om"] or 0) * 60)
+            offset = (1 if sign == "+" else -1) * (int(oh) * 3600 + int(om or 0) * 60)
         elif abbr:
             offset = 0 if abbr in ("Z", "UTC") else abbreviations(tz).get(abbr, 0 if abbr == "GMT" else None)
             if offset is None:
                 continue
-        kind = f"{i} {g.get('sep') or ''} {'time' if timed else 'day'} {'half' if g['half'] else ''} {'zone' if offset is not None else ''}"
+        sep = found["sep"] if "sep" in FORMS[i].groupindex else ""
+        kind = f"{i} {sep} {'time' if timed else 'day'} {'half' if half else ''} {'zone' if offset is not None else ''}"
         for o, day in _dates(found, order):
-            at = datetime(day.year, day.month, day.day) + timedelta(hours=hour, minutes=minute, seconds=second)
-            seconds = [int((at - _EPOCH).total_seconds()) - offset] if offset is not None else _local(at, tz, both)
+            plain = offset if offset is not None else 0 if tz is None or tz == "UTC" else None
+            if plain is not None:
+                seconds = [(day.toordinal() - _DAY_0) * 86400 + hour * 3600 + minute * 60 + second - plain]
+            else:
+                seconds = _local(datetime(day.year, day.month, day.day, hour, minute, second), tz, both)
             out |= {(f"{kind} {o}", x * 1_000_000 + micro) for x in seconds}
     return sorted(out)
