@@ -1,10 +1,11 @@
 """Lines that fail to parse, each with one reason, beside the lines that load (problem 2).
 
 The lines of a batch are one byte buffer with a separator line feed after each. A mask of quotes and its running
-parity, taken from each line's start, locate the delimiters outside quotes; fields are cut at those in NumPy, and
-only then looked at as text. A line is well formed under the quoting rule exactly if its parity is even at its end
-and each of its fields, so cut, is either free of quotes or one quoted whole: any field before the first fault is
-cut the same by both readings.
+parity, taken from each line's start, locate the delimiters outside quotes; fields are cut at those in NumPy. Lines
+without a quote are then counted, checked and converted as whole columns; only those with one, and first lines, are
+looked at field by field. A line is well formed under the quoting rule exactly if its parity is even at its end and each
+of its fields, so cut, is either free of quotes or one quoted whole: any field before the first fault is cut the same by
+both readings.
 """
 
 from __future__ import annotations
@@ -77,12 +78,23 @@ def _instant(layout: Layout, values: list[str]) -> int | None:
     return None if at is None else at * 1_000_000
 
 
-def _cut(lines: pa.Array, delim: str) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """Structure of lines: is the parity odd at the end; does the line hold a quote; all fields in order as bytes; the
-    place of each line's first field among them, and one past its last."""
+@dataclass
+class _Cut:
+    """Structure of lines: the bytes; where each field begins and stops; the places of each line's first field among them
+    and one past its last; is the parity odd at the line's end; does it hold a quote."""
+
+    raw: np.ndarray
+    begins: np.ndarray
+    stops: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    odd: np.ndarray
+    quoted: np.ndarray
+
+
+def _cut(lines: pa.Array, delim: str) -> _Cut:
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines.cast(pa.binary())), b"\n")
-    buffer = joined[0].as_py() + b"\n"
-    raw = np.frombuffer(buffer, np.uint8)
+    raw = np.frombuffer(joined[0].as_py() + b"\n", np.uint8)
     lengths = pc.binary_length(lines.cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
@@ -97,41 +109,134 @@ def _cut(lines: pa.Array, delim: str) -> tuple[np.ndarray, np.ndarray, list[byte
     last = np.searchsorted(stops, ends, "right")
     first = np.concatenate(([0], last[:-1])) if len(last) else last
     begins = np.concatenate(([0], stops[:-1] + 1)) if len(stops) else stops
-    fields = [buffer[i:j] for i, j in zip(begins.tolist(), stops.tolist())]
     n_quotes = quotes[ends] - before
-    return (n_quotes & 1) == 1, n_quotes > 0, fields, first, last
-
-
-def _batch(layout: Layout, delim: str, numbers: list, lines: pa.Array) -> Iterator[tuple[str | None, int | None, list | None]]:
-    """For each line (reason, microseconds, values in the order of layout.numbers)."""
-    odd, quoted, fields, first, last = (x.tolist() if isinstance(x, np.ndarray) else x for x in _cut(lines, delim))
-    width = len(layout.fields)
-    at = [layout.fields.index(f) for f in layout.numbers]
-    may_be_empty = [f in layout.empty for f in layout.numbers]
-    for i in range(len(lines)):
-        if layout.headed and numbers[i] == 1:
-            yield "header", None, None
-            continue
-        own = [f.decode("utf-8").strip(" \t\r") for f in fields[first[i] : last[i]]]
-        if numbers[i] == 1:
-            own[0] = own[0].removeprefix("﻿").strip(" \t\r")
-        if odd[i] or (quoted[i] and any('"' in f and not _QUOTED.fullmatch(f) for f in own)):
-            yield "quoting", None, None
-            continue
-        if len(own) != width:
-            yield "column_count", None, None
-            continue
-        if quoted[i]:
-            own = [f[1:-1].replace('""', '"').strip(" \t\r") if f.startswith('"') else f for f in own]
-        instant = _instant(layout, own)
-        if instant is None:
-            yield "bad_datetime", None, None
-            continue
-        values = [own[k] for k in at]
-        if not all(_NUMBER.fullmatch(v) or (not v and e) for v, e in zip(values, may_be_empty)):
-            yield "bad_value", None, None
-            continue
-        yield None, instant, [float(v) if v else None for v in values]
+    return _Cut(raw, begins, stops, first, last, (n_quotes & 1) == 1, n_quotes > 0)
+
+
+def _one(layout: Layout, own: list[str], opening: bool, odd: bool, quoted: bool) -> tuple[str | None, int | None, list | None]:
+    """(reason, microseconds, values in the order of layout.numbers) of one line's fields; opening: it is a file's first."""
+    own = [f.strip(" \t\r") for f in own]
+    if opening:
+        own[0] = own[0].removeprefix("\ufeff").strip(" \t\r")
+    if odd or (quoted and any('"' in f and not _QUOTED.fullmatch(f) for f in own)):
+        return "quoting", None, None
+    if len(own) != len(layout.fields):
+        return "column_count", None, None
+    if quoted:
+        own = [f[1:-1].replace('""', '"').strip(" \t\r") if f.startswith('"') else f for f in own]
+    instant = _instant(layout, own)
+    if instant is None:
+        return "bad_datetime", None, None
+    values = [own[layout.fields.index(f)] for f in layout.numbers]
+    if not all(_NUMBER.fullmatch(v) or (not v and f in layout.empty) for v, f in zip(values, layout.numbers)):
+        return "bad_value", None, None
+    return None, instant, [float(v) if v else None for v in values]
+
+
+def _digits(texts: pa.Array, places: tuple[int, ...]) -> np.ndarray:
+    """The number that the digits at `places` of each text make; the texts have them all."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)[:-1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)
+    out = np.zeros(len(texts), np.int64)
+    for p in places:
+        out = out * 10 + (data[offsets + p] - 48)
+    return out
+
+
+def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(days since 1970, is it a real date)."""
+    inside = (y >= 1) & (m >= 1) & (m <= 12) & (d >= 1)
+    month = (np.where(inside, y, 1970) - 1970) * 12 + np.where(inside, m, 1) - 1
+    first = month.astype("datetime64[M]").astype("datetime64[D]").astype(np.int64)
+    after = (month + 1).astype("datetime64[M]").astype("datetime64[D]").astype(np.int64)
+    return first + d - 1, inside & (first + d - 1 < after)
+
+
+def _matches(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(texts, f"^(?:{pattern})$").to_numpy(zero_copy_only=False)
+
+
+def _instants(layout: Layout, fields: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """(microseconds since 1970 UTC, is it a real time) of the lines' times, as `_instant` of each."""
+    n = len(fields[0])
+    at, good = np.zeros(n, np.int64), np.zeros(n, bool)
+    if layout.when == "split":
+        own = np.flatnonzero(_matches(fields[0], _DAY.pattern) & _matches(fields[1], _TIME.pattern))
+        day, time = (f.take(pa.array(own)) for f in fields[:2])
+        days, real = _days(_digits(day, (0, 1, 2, 3)), _digits(day, (5, 6)), _digits(day, (8, 9)))
+        h, m, s = _digits(time, (0, 1)), _digits(time, (3, 4)), 0
+        zone = 0
+    else:
+        own = np.flatnonzero(_matches(fields[0], _DAY_TIME.pattern))
+        text = fields[0].take(pa.array(own))
+        days, real = _days(_digits(text, (0, 1, 2, 3)), _digits(text, (5, 6)), _digits(text, (8, 9)))
+        h, m, s = (_digits(text, p) for p in ((11, 12), (14, 15), (17, 18)))
+        zone = np.zeros(len(own), np.int64)
+        away = np.flatnonzero(pc.binary_length(text).to_numpy(zero_copy_only=False) > 20)
+        if len(away):
+            far = text.take(pa.array(away))
+            zh, zm = _digits(far, (20, 21)), _digits(far, (23, 24))
+            zone[away] = np.where(pc.equal(pc.binary_slice(far.cast(pa.binary()), 19, 20), b"+").to_numpy(zero_copy_only=False), 1, -1) * (zh * 3600 + zm * 60)
+            real[away] &= (zh < 24) & (zm < 60)
+    real &= (h < 24) & (m < 60) & (s < 60)
+    at[own] = (days * 86400 + h * 3600 + m * 60 + s - zone) * 1_000_000
+    good[own] = real
+    return at, good
+
+
+def _column(texts: pa.Array, may_be_empty: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(values with NaN for none, is it a number or may it be empty)."""
+    good = _matches(texts, _NUMBER.pattern)
+    plain = pc.if_else(pa.array(good), texts, pa.scalar(None, pa.string()))
+    # Arrow reads no sign + and fails on numbers out of range: those are left to Python.
+    odd = good & pc.match_substring_regex(texts, "^[+]|[eE]|.{300}").to_numpy(zero_copy_only=False)
+    value = pc.cast(pc.if_else(pa.array(odd), pa.scalar(None, pa.string()), plain), pa.float64()).to_numpy(zero_copy_only=False).copy()
+    for i in np.flatnonzero(odd).tolist():
+        value[i] = float(texts[i].as_py())
+    if may_be_empty:
+        good = good | (pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0)
+    return value, good
+
+
+#: Reasons by number; 0 is none, _HEADER no data line.
+_CODES = {None: 0} | {r: i for i, r in enumerate(REASONS, 1)}
+_HEADER = 9
+
+
+def _batch(layout: Layout, delim: str, numbers: np.ndarray, lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of the reason, microseconds, values in the order of layout.numbers, NaN for none) of each line."""
+    cut = _cut(lines, delim)
+    n, width = len(lines), len(layout.fields)
+    code, at, values = np.zeros(n, np.int8), np.zeros(n, np.int64), np.full((n, len(layout.numbers)), np.nan)
+    header = (numbers == 1) & layout.headed
+    code[header] = _HEADER
+    single = ~header & (cut.quoted | (numbers == 1))
+    buffer = cut.raw.tobytes() if single.any() else b""
+    for i in np.flatnonzero(single).tolist():
+        own = [buffer[a:b].decode("utf-8") for a, b in zip(cut.begins[cut.first[i] : cut.last[i]].tolist(), cut.stops[cut.first[i] : cut.last[i]].tolist())]
+        reason, when, found = _one(layout, own, numbers[i] == 1, bool(cut.odd[i]), bool(cut.quoted[i]))
+        code[i] = _CODES[reason]
+        if found is not None:
+            at[i], values[i] = when, [np.nan if v is None else v for v in found]
+    plain = ~header & ~single
+    code[plain & (cut.last - cut.first != width)] = _CODES["column_count"]
+    whole = np.flatnonzero(plain & (cut.last - cut.first == width))
+    if len(whole):
+        # All fields as one array: each with the mark after it, which becomes a blank and is trimmed with the others.
+        raw = cut.raw.copy()
+        raw[cut.stops] = 32
+        offsets = np.append(cut.begins, len(raw)).astype(np.int32)
+        every = pc.utf8_trim(pa.StringArray.from_buffers(len(cut.begins), pa.py_buffer(offsets), pa.py_buffer(raw)), " \t\r")
+        fields = [every.take(pa.array(cut.first[whole] + k)) for k in range(width)]
+        when, timed = _instants(layout, fields)
+        good = np.ones(len(whole), bool)
+        for j, f in enumerate(layout.numbers):
+            values[whole, j], fits = _column(fields[layout.fields.index(f)], f in layout.empty)
+            good &= fits
+        code[whole] = np.where(~timed, _CODES["bad_datetime"], np.where(~good, _CODES["bad_value"], 0))
+        at[whole] = when
+    values[code > 0] = np.nan
+    return code, at, values
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -149,35 +254,32 @@ def parsed(lines: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, names, nos, layouts, delims = (batch.column(i).to_pylist() for i in range(5))
+            nos = pc.fill_null(batch.column(2).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
             lines = pc.fill_null(batch.column(5), "")
             groups: dict[tuple[str | None, str], list[int]] = {}
-            for i, k in enumerate(zip(layouts, (d or "," for d in delims))):
+            for i, k in enumerate(zip(batch.column(3).to_pylist(), (d or "," for d in batch.column(4).to_pylist()))):
                 groups.setdefault(k, []).append(i)
-            out: dict[int, tuple] = {}
+            code = np.full(batch.num_rows, _CODES["column_count"], np.int8)
+            at = np.zeros(batch.num_rows, np.int64)
+            columns = np.full((batch.num_rows, len(numbers)), np.nan)
             for (name, delim), own in groups.items():
                 layout = LAYOUTS.get(name)
                 if layout is None or len(delim.encode()) != 1:
-                    out |= {i: ("column_count", None, None, None) for i in own}
                     continue
-                for i, (reason, at, values) in zip(own, _batch(layout, delim, [nos[i] for i in own], lines.take(pa.array(own)))):
-                    if reason != "header":
-                        out[i] = (reason, at, values, layout)
-            kept = sorted(out)
-            columns: dict[str, list] = {n: [] for n in numbers}
-            for i in kept:
-                _, _, values, layout = out[i]
-                mine = dict(zip(layout.numbers, values)) if values else {}
-                for n in numbers:
-                    columns[n].append(mine.get(n))
+                code[own], at[own], values = _batch(layout, delim, nos[own], lines.take(pa.array(own)))
+                columns[np.ix_(own, [numbers.index(f) for f in layout.numbers])] = values
+            kept = np.flatnonzero(code != _HEADER)
+            loads = code[kept] == 0
+            own_rows = batch.take(pa.array(kept))
+            reasons = pa.DictionaryArray.from_arrays(pa.array(np.maximum(code[kept] - 1, 0), pa.int8(), mask=loads), pa.array(REASONS)).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids[i] for i in kept], pa.int64()),
-                    pa.array([names[i] for i in kept], pa.string()),
-                    pa.array([layouts[i] for i in kept], pa.string()),
-                    pa.array([out[i][0] for i in kept], pa.string()),
-                    pa.array([out[i][1] for i in kept], pa.timestamp("us")),
-                    *(pa.array(columns[n], pa.float64()) for n in numbers),
+                    own_rows.column(0).cast(pa.int64()),
+                    own_rows.column(1).cast(pa.string()),
+                    own_rows.column(3).cast(pa.string()),
+                    reasons,
+                    pa.array(at[kept], pa.int64(), mask=~loads).cast(pa.timestamp("us")),
+                    *(pa.array(columns[kept, k], pa.float64(), from_pandas=True) for k in range(len(numbers))),
                 ],
                 ["line_id", "file_name", "layout", "reason", "datetime", *numbers],
             )

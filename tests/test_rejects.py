@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,18 +102,35 @@ def by_hand(line: str) -> tuple[bool, int]:
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.text(alphabet='a", \té\n', max_size=12), min_size=1, max_size=6))
 def test_structure_equals_a_reader_by_hand(lines):
-    import numpy as np
-    import pyarrow as pa
-
-    odd, quoted, fields, first, last = rejects._cut(pa.array(lines), ",")
+    cut = rejects._cut(pa.array(lines), ",")
+    fields = [cut.raw.tobytes()[a:b] for a, b in zip(cut.begins, cut.stops)]
     for i, line in enumerate(lines):
-        own = [f.decode().strip(" \t\r") for f in fields[first[i] : last[i]]]
-        bad = bool(odd[i]) or any('"' in f and not re.fullmatch(rejects._QUOTED, f) for f in own)
+        own = [f.decode().strip(" \t\r") for f in fields[cut.first[i] : cut.last[i]]]
+        bad = bool(cut.odd[i]) or any('"' in f and not re.fullmatch(rejects._QUOTED, f) for f in own)
         good, n = by_hand(line)
         assert good == (not bad), line
         if good:
             assert n == len(own)
-    assert isinstance(odd, np.ndarray)
+
+
+_ODD = st.sampled_from(["1", "+1.5", "-2e3", "1e999", "", " 7\t", "0" * 320 + "1", "1.", "é", "x", '"3"', '"a""b"', '"', "2024-02-29 23:59:59", "2023-02-29 00:00:00", "2024-13-01 00:00:00Z", "0000-01-01 00:00:00", "2024-01-01 24:00:00", "2024-01-01 10:00:00+05:30", "2024-01-01 10:00:00-24:00", "2024.02.29", "2024.2.29", "23:59", "24:00", "9999-12-31 00:00:00-01:00"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(["broker", "headed"]), st.sampled_from([",", ";"]), st.lists(st.tuples(st.lists(_ODD, min_size=1, max_size=10), st.booleans()), min_size=1, max_size=8))
+def test_columns_equal_single_lines(name, delim, rows):
+    """Whole columns and field by field give the same."""
+    layout = rejects.LAYOUTS[name]
+    base = ["2024.01.02", "03:04", "1", "2", "0.5", "1.5", "7"] if name == "broker" else ["2024-01-02 03:04:05", "1", "2", "0.5", "1.5", "7", "0", "0", "note"]
+    lines = [delim.join((base[: len(base) - len(r)] + r if fit else r)) for r, fit in rows] + [delim.join(base)]
+    code, at, values = rejects._batch(layout, delim, np.full(len(lines), 5), pa.array(lines))
+    cut = rejects._cut(pa.array(lines), delim)
+    for i in range(len(lines)):
+        own = [cut.raw.tobytes()[a:b].decode() for a, b in zip(cut.begins[cut.first[i] : cut.last[i]], cut.stops[cut.first[i] : cut.last[i]])]
+        reason, when, found = rejects._one(layout, own, False, bool(cut.odd[i]), bool(cut.quoted[i]))
+        assert code[i] == rejects._CODES[reason], lines[i]
+        if reason is None:
+            assert at[i] == when and [None if v != v else v for v in values[i].tolist()] == found
 
 
 @pytest.mark.parametrize("text, good", [("1", True), ("+1.5e-3", True), ("1e", False), ("--1", False), ("1 2", False), ("", False)])
