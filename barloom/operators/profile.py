@@ -12,6 +12,7 @@ of texts, counts by the baseline's quantile bins of numbers and timestamps.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,9 +50,9 @@ def _told(c: Column, kind: T.DataType) -> Column:
     return _split(c, kind)[1] if _is_text(kind) else none
 
 
-def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
+def value_counts(df: DataFrame, load: str, columns: Sequence[str], places: Sequence[int] | None = None) -> DataFrame:
     """(load, column_no, num, txt, n): how often each value of each column occurs in each load; column_no is the place in
-    `columns`, as names would be most of what is shuffled.
+    `columns`, as names would be most of what is shuffled. places: those of the columns to count, all by default.
 
     Numbers and booleans go to num; all else to txt as a string, timestamps as microseconds in num. Decimals, and whole
     numbers that no double can hold, have their digits in txt too, so that different ones are counted apart. NaN counts
@@ -60,7 +61,8 @@ def value_counts(df: DataFrame, load: str, columns: Sequence[str]) -> DataFrame:
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     cells = []
-    for place, name in enumerate(columns):
+    for place in range(len(columns)) if places is None else places:
+        name = columns[place]
         num, _ = _split(F.col(f"`{name}`"), kinds[name])
         cells.append(F.struct(F.lit(place).alias("column_no"), num.alias("num"), _told(F.col(f"`{name}`"), kinds[name]).alias("txt")))
     long = df.select(F.col(f"`{load}`").alias("load"), F.explode(F.array(*cells)).alias("cell"))
@@ -91,16 +93,15 @@ def profile(df: DataFrame, load: str, columns: Sequence[str], patterns: Mapping[
     """
     n, num, txt = F.col("n"), F.col("num"), F.col("txt")
     there = num.isNotNull() | txt.isNotNull()
-    word = F.when(num.isNull(), txt)  # a number's digits are no text
     unmatched: Column = F.lit(False)
     for name, pattern in (patterns or {}).items():
         value = F.coalesce(txt, num.cast("string"))
         unmatched = unmatched | ((F.col("column_no") == list(columns).index(name)) & there & ~value.rlike(pattern))
     counted = lambda test: F.sum(F.when(test, n).otherwise(0))
-    binned = (
-        value_counts(df, load, columns)
-        .groupBy("load", "column_no", _bin().alias("bin"))
-        .agg(
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def part(places: list[int], *more: Column) -> DataFrame:
+        return value_counts(df, load, columns, places).groupBy("load", "column_no", _bin().alias("bin")).agg(
             F.sum(n).alias("n_rows"),
             counted(~there).alias("n_nulls"),
             counted(num == 0).alias("n_zeros"),
@@ -111,11 +112,18 @@ def profile(df: DataFrame, load: str, columns: Sequence[str], patterns: Mapping[
             F.max(num).alias("max_num"),
             F.sum(num * n).alias("sum_num"),
             F.sum(F.when(num > 0, num * n)).alias("sum_positive"),
-            F.min(word).alias("min_txt"),
-            F.max(word).alias("max_txt"),
             counted(unmatched).alias("n_unmatched"),
+            *more,
         )
-    )
+
+    # Numbers on their own, without a least and greatest text, are folded by hash instead of by sort; each part reads
+    # its own columns only.
+    texts = [i for i, name in enumerate(columns) if _is_text(kinds[name])]
+    numbers = [i for i in range(len(columns)) if i not in texts]
+    none = F.lit(None).cast("string")
+    parts = [part(numbers).withColumns({"min_txt": none, "max_txt": none})] if numbers else []
+    parts += [part(texts, F.min(txt).alias("min_txt"), F.max(txt).alias("max_txt"))] if texts else []
+    binned = reduce(DataFrame.unionByName, parts)
     total = [F.sum(c).alias(c) for c in ("n_rows", "n_nulls", "n_zeros", "n_negative", "n_distinct", "n_unmatched")]
     folded = binned.groupBy("load", "column_no").agg(
         *total,
