@@ -46,7 +46,7 @@ def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_catalog(spark: SparkSession, d: str) -> DataFrame:
     """The features that are known by name."""
-    return standard().summary(spark)
+    return standard().summary(spark).select("name", "category", "expected_stationary")
 
 
 def environment_report(spark: SparkSession, d: str) -> DataFrame:

@@ -418,7 +418,7 @@ u as ({" union all ".join(f"select ts, close, '{label}' as lam, {c} as trend fro
 m as (select *, {", ".join(map(_MEAN, (24, 48, 72, 120, 168, 240, 480)))} from u),
 g as (select lam, t1, t2, ts, close, case t1 when 24 then m24 when 48 then m48 else m72 end - case t2 when 120 then m120 when 168 then m168 when 240 then m240 else m480 end as sp from m, (values (24), (48), (72)) a(t1), (values (120), (168), (240), (480)) b(t2)),
 b as (select *, case when sp > 0 then 1.0::double when sp is not null then -1.0::double end as signal from g), {tested('b', ('lam', 't1', 't2'))}
-select lam, t1, t2, {research._METRICS.replace("round(min(equity / peak - 1), 4) as max_drawdown,", "")} from pk group by all having count(signal) >= 100"""
+select lam, t1, t2, {research._METRICS.replace("round(round(min(equity / peak - 1), 6), 4) as max_drawdown,", "")} from pk group by all having count(signal) >= 100"""
 
 # As above, of 8 trials.
 _BEST_8 = (1 - 0.5772156649) * NormalDist().inv_cdf(1 - 1 / 8) + 0.5772156649 * NormalDist().inv_cdf(1 - 1 / (8 * 2.718281828459045))
@@ -432,3 +432,7 @@ s as (select *, round({normal_cdf(f'((sharpe - {_BEST_8!r}) / sqrt(case when v <
 best as (select {", ".join(_KEYS)} from s qualify row_number() over (partition by symbol order by n_trades >= 10 desc, dsr desc nulls last, sharpe desc nulls last, sigma, hold, floor) = 1),
 x as (select pk.*, name, position * ret - abs(trade) * bps / 10000 as net from pk join best using ({", ".join(_KEYS)}), (values ('low', 0.9::double), ('mid', 1.5), ('high', 2.0)) c(name, bps) where part = 'oos')
 select {", ".join(_KEYS)}, name, count(*) as n_obs, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(6048), 4) as sharpe from x group by all"""
+
+SQL["feature_catalog"] = """select * from (values ('hp_trend_level', 'Trend', false), ('hp_trend_slope', 'Trend', true), ('hp_trend_curvature', 'Trend', true), ('ma_spread_on_trend', 'Trend', null), ('ma_crossover_signal', 'Trend', null),
+  ('ma_crossover_age', 'Trend', false), ('trend_deviation_from_ma', 'Mean Reversion', null), ('distance_from_ma_20_raw', 'Mean Reversion', true), ('ma_spread_raw_5020', 'Trend', null), ('lambda_sensitivity_score', 'Diagnostic', true),
+  ('vol_regime', 'Diagnostic', true)) t(name, category, expected_stationary)"""

@@ -717,7 +717,7 @@ def backtest(spark, d):
 
 
 _METRICS = """count(net_return) as n_obs, round(avg(net_return) / nullif(stddev_samp(net_return), 0) * sqrt(6048), 4) as sharpe, round(avg(net_return) * 6048, 2) as annual_return,
-  round(min(equity / peak - 1), 4) as max_drawdown, floor(sum(abs(trade)) / 2)::bigint as n_trades"""
+  round(round(min(equity / peak - 1), 6), 4) as max_drawdown, floor(sum(abs(trade)) / 2)::bigint as n_trades"""
 
 def _measured(m: DataFrame, *by: str) -> DataFrame:
     return m.select(*by, "n_obs", "sharpe", F.round("annual_return", 2).alias("annual_return"), F.round("max_drawdown", 4).alias("max_drawdown"), "n_trades")
@@ -766,11 +766,11 @@ def grid_search(spark, d):
     return _grid(spark, d)
 
 
-@query(_GRID_SQL + " select t1, t2, grouping_id(t1, t2) as level, count(*) as n, count(*) filter (where sharpe > 0) as positive, round(median(sharpe), 4) as median_sharpe, round(median(n_trades), 4) as median_trades from r group by grouping sets ((t1, t2), (t1), (t2), ())")
+@query(_GRID_SQL + " select t1, t2, grouping_id(t1, t2) as level, count(*) as n, count(*) filter (where sharpe > 0) as positive, round(median(sharpe), 5) as median_sharpe, round(median(n_trades), 5) as median_trades from r group by grouping sets ((t1, t2), (t1), (t2), ())")
 def grid_rollup(spark, d):
     g = _grid(spark, d)
     return g.groupingSets([[F.col("t1"), F.col("t2")], [F.col("t1")], [F.col("t2")], []], "t1", "t2").agg(
-        F.grouping_id("t1", "t2").alias("level"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("sharpe") > 0).alias("positive"), F.round(F.median("sharpe"), 4).alias("median_sharpe"), F.round(F.median("n_trades"), 4).alias("median_trades")
+        F.grouping_id("t1", "t2").alias("level"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("sharpe") > 0).alias("positive"), F.round(F.median("sharpe"), 5).alias("median_sharpe"), F.round(F.median("n_trades"), 5).alias("median_trades")
     )
 
 
@@ -785,9 +785,9 @@ def topk_per_group(spark, d):
     return _grid(spark, d).withColumn("_n", F.row_number().over(w)).where("_n <= 2").drop("_n")
 
 
-@query(_GRID_SQL + " select symbol, round(median(sharpe) filter (where t2 = 20), 4) as t2_20, round(median(sharpe) filter (where t2 = 40), 4) as t2_40 from r group by 1")
+@query(_GRID_SQL + " select symbol, round(median(sharpe) filter (where t2 = 20), 5) as t2_20, round(median(sharpe) filter (where t2 = 40), 5) as t2_40 from r group by 1")
 def grid_pivot(spark, d):
-    p = _grid(spark, d).groupBy("symbol").pivot("t2", [20, 40]).agg(F.round(F.median("sharpe"), 4))
+    p = _grid(spark, d).groupBy("symbol").pivot("t2", [20, 40]).agg(F.round(F.median("sharpe"), 5))
     return p.withColumnsRenamed({"20": "t2_20", "40": "t2_40"})
 
 
@@ -807,7 +807,7 @@ p as (select *, max(equity) over (partition by symbol, part order by ts rows bet
 select symbol, part, {measure} from p group by 1, 2"""
 
 
-_PLAIN = _METRICS.replace("round(min(equity / peak - 1), 4) as max_drawdown,", "")
+_PLAIN = _METRICS.replace("round(round(min(equity / peak - 1), 6), 4) as max_drawdown,", "")
 
 
 def _slices(spark, d, part) -> DataFrame:
@@ -974,12 +974,12 @@ def _yearly_sql() -> str:
 
 @query(
     f"""{_yearly_sql()} select symbol, case when part <= 1998 then 'is' else 'oos' end as period, count(*) as years, count(*) filter (where sharpe > 0) as positive,
-  round(median(sharpe), 4) as median_sharpe, arg_max(part, sharpe) as best_year, arg_min(part, sharpe) as worst_year from y group by 1, 2"""
+  round(median(sharpe), 5) as median_sharpe, arg_max(part, sharpe) as best_year, arg_min(part, sharpe) as worst_year from y group by 1, 2"""
 )
 def yearly_rollup(spark, d):
     y = yearly(spark, d).withColumn("period", F.when(F.col("part") <= 1998, "is").otherwise("oos"))
     return y.groupBy("symbol", "period").agg(
-        F.count(F.lit(1)).alias("years"), F.count_if(F.col("sharpe") > 0).alias("positive"), F.round(F.median("sharpe"), 4).alias("median_sharpe"), F.max_by("part", "sharpe").alias("best_year"), F.min_by("part", "sharpe").alias("worst_year")
+        F.count(F.lit(1)).alias("years"), F.count_if(F.col("sharpe") > 0).alias("positive"), F.round(F.median("sharpe"), 5).alias("median_sharpe"), F.max_by("part", "sharpe").alias("best_year"), F.min_by("part", "sharpe").alias("worst_year")
     )
 
 

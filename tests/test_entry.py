@@ -32,7 +32,11 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(n for n in SQL if n in ("p1_found", "p2_found", "p4_found", "p5_found", "p6_found", "p7_found", "metrics", "grid_rollup", "hp_causal", "ic_horizons", "swap_asof", "quality_report")))
+#: Their SQL supposes longer series than those of the smallest tables.
+LONGER = ("adf", "kpss", "univariate", "feature_selection")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in SQL if n not in LONGER))
 def test_query_equals_sql(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
     cols = sorted(df.columns)
