@@ -101,14 +101,30 @@ def _pairs(text: str | None) -> _Object | None:
     return pairs if isinstance(pairs, _Object) else None
 
 
+_read_plain = json.JSONDecoder(object_pairs_hook=_Object).decode
+_PLAIN_KINDS = {str: "string", float: "double", int: "long", bool: "boolean", _Object: "object", list: "array", type(None): "null"}
+
+
+def _shape(text: str | None) -> tuple[tuple[str, str], ...]:
+    """The (name as written, kind) pairs of a record; none for what isn't a JSON object."""
+    if text is None:
+        return ()
+    try:
+        pairs = _read_plain(text)
+    except (ValueError, RecursionError):  # also whole numbers of thousands of digits
+        return tuple((name, _kind(value)) for name, value in _pairs(text) or ())
+    return tuple((name, _PLAIN_KINDS[type(value)]) for name, value in pairs) if isinstance(pairs, _Object) else ()
+
+
 def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         files, providers, times, texts = (c.to_pylist() for c in batch.columns)
+        shapes = Counter(zip(files, providers, times, map(_shape, texts)))
         seen: Counter = Counter()
-        for file, provider, at, text in zip(files, providers, times, texts):
-            seen[(file, provider, at, None, None)] += 1
-            for name, value in _pairs(text) or ():
-                seen[(file, provider, at, name.strip().lower(), _kind(value))] += 1
+        for (file, provider, at, shape), n in shapes.items():
+            seen[(file, provider, at, None, None)] += n
+            for name, kind in shape:
+                seen[(file, provider, at, name.strip().lower(), kind)] += n
         cols = list(zip(*seen)) or [()] * 5
         yield pa.RecordBatch.from_arrays(
             [

@@ -32,14 +32,18 @@ def candidates(stamps: DataFrame, source: str, order: str, both: bool = False) -
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sources, *rest = (c.to_pylist() for c in batch.columns)
-            forms, instants = [], []
+            forms, instants, ends = [], [], [0]
             for tz, day_order, day, time, whole in zip(*rest):
                 text = whole if whole is not None or day is None else day if time is None else f"{day.strip()} {time.strip()}"
                 found = interpretations(text, tz, day_order, both)
-                forms.append([f for f, _ in found])
-                instants.append([t for _, t in found])
+                for form, instant in found:
+                    forms.append(form)
+                    instants.append(instant)
+                ends.append(len(forms))
+            ends = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(flat, kind)) for flat, kind in ((forms, pa.string()), (instants, pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sources, pa.string()), pa.array(forms, pa.list_(pa.string())), pa.array(instants, pa.list_(pa.int64()))],
+                [pa.array(ids, pa.int64()), pa.array(sources, pa.string()), *lists],
                 ["id", "source", "forms", "instants"],
             )
 

@@ -81,3 +81,9 @@ def test_new_alternatives_by_path(spark):
     got = sorted((r.file_no, r.path, r.kind) for r in drift.alternatives(frame(spark, rows), aliases(spark)).collect())
     assert got == [(2, "g.h", "array"), (2, "g.h[]", "double"), (2, "g.h[]", "object"), (2, 'g.h[]."k.l"', "null"), (2, "volume", "long"), (3, "v", "array")]
     assert drift.alternatives(frame(spark, []), aliases(spark)).count() == 0
+
+
+def test_shapes_equal_the_values_kinds():
+    texts = [None, "", "[1]", '{"a": 1, "A ": 1.0, "b": 1e5, "c": "x", "d": null, "e": true, "f": {"g": 1}, "h": [1], "i": NaN, "i": -0}', '{"n": ' + "9" * 5000 + "}", '{"x": 1', "7"]
+    for t in texts:
+        assert drift._shape(t) == tuple((n, drift._kind(v)) for n, v in drift._pairs(t) or ())
