@@ -119,14 +119,14 @@ def kpss_p(statistic: float) -> float:
     return points[-1][1]
 
 
+# Euler's constant in the ten digits that results must match, and what is taken from the excess kurtosis.
+EULER, KURTOSIS_LESS = 0.5772156649, 1
+
+
 def deflated_sharpe(sharpe: float, n_obs: int, n_trials: int, skew: float = 0.0, excess_kurtosis: float = 0.0) -> float:
     """Probability that a Sharpe ratio exceeds the best expected of n_trials; the variance takes (kurtosis - 1) / 4 of
     the excess kurtosis, as the results to match do."""
-    benchmark = 0.0
-    if n_trials > 1:
-        gamma = 0.5772156649
-        benchmark = (1 - gamma) * NORMAL.inv_cdf(1 - 1 / n_trials) + gamma * NORMAL.inv_cdf(1 - 1 / (n_trials * math.e))
-    variance = (1 - skew * sharpe + (excess_kurtosis - 1) / 4 * sharpe * sharpe) / (n_obs - 1)
-    if variance <= 0:
-        variance = 1 / (n_obs - 1)
-    return NORMAL.cdf((sharpe - benchmark) / math.sqrt(variance))
+    quantile = NORMAL.inv_cdf
+    best = 0.0 if n_trials <= 1 else (1 - EULER) * quantile(1 - 1 / n_trials) + EULER * quantile(1 - 1 / (n_trials * math.e))
+    spread = 1 - skew * sharpe + (excess_kurtosis - KURTOSIS_LESS) * sharpe**2 / 4
+    return NORMAL.cdf((sharpe - best) * math.sqrt((n_obs - 1) / (spread if spread > 0 else 1.0)))

@@ -60,8 +60,11 @@ def quality_report(df: DataFrame, freq: str = "h", sigmas: float = 5.0, keys: Se
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bars")).select(*keys, "n_bars", F.lit(0.0).alias("quality_score"), F.array(F.lit("missing columns: " + ", ".join(lacking))).alias("warnings"))
     returns = df.withColumn("_r", F.try_divide(F.col("close"), F.lag("close").over(whole(keys))) - 1)
     spread = returns.groupBy(*keys).agg(F.avg("_r").alias("_mean"), F.stddev_samp("_r").alias("_std"))
-    gaps = missing_bars(df, freq, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("missing_bars"))
-    due = expected_slots(df, freq, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("expected_bars"))
+    # Bars and due slots side by side: a slot without a bar is missing. One grouping, no join of the two.
+    own = df.select(*keys, "ts", F.lit(1).alias("_bar"), F.lit(0).alias("_due"))
+    slots = own.unionByName(expected_slots(df, freq, keys).select(*keys, "ts", F.lit(0).alias("_bar"), F.lit(1).alias("_due")))
+    each = slots.groupBy(*keys, "ts").agg(F.max("_bar").alias("_bar"), F.max("_due").alias("_due"))
+    due = each.groupBy(*keys).agg(F.count_if((F.col("_due") == 1) & (F.col("_bar") == 0)).alias("missing_bars"), F.sum("_due").alias("expected_bars"))
     counts = (
         returns.join(spread, list(keys))
         .groupBy(*keys)
@@ -81,7 +84,7 @@ def quality_report(df: DataFrame, freq: str = "h", sigmas: float = 5.0, keys: Se
             F.stddev_samp("_r").alias("std_return"),
         )
     )
-    all_ = counts.join(gaps, list(keys), "left").join(due, list(keys), "left").na.fill(0, ["missing_bars", "expected_bars"])
+    all_ = counts.join(due, list(keys), "left").na.fill(0, ["missing_bars", "expected_bars"])
     all_ = all_.withColumn("missing_pct", F.coalesce(F.try_divide(F.col("missing_bars") * 100.0, F.col("expected_bars")), F.lit(0.0)))
     all_ = all_.withColumn("quality_score", score()).withColumn("grade", grade())
     warn = lambda test, text: F.when(test, F.lit(text))

@@ -6,10 +6,11 @@ Groups are reduced to a few sums on the executors; tail probabilities and small
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -392,17 +393,44 @@ def arch_lm(df: DataFrame, x: str, lags: int = 10, keys: Sequence[str] = ("symbo
 
 def correlations(df: DataFrame, features: Sequence[str], method: str = "spearman", least: int = 30) -> DataFrame:
     """(feature_a, feature_b, corr, n_obs) for each pair a before b in the order given, over rows where both are there;
-    null below `least` rows. All pairs of features, not of rows: rows are exploded by their pairs and then aggregated."""
+    null below `least` rows. pearson: four matrices of sums a task, nothing is exploded. spearman: ranks of a pair depend
+    on where both are there, so rows are exploded by pairs of features: for a few dozen features."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
+    if method == "pearson":
+        return _pearson(df, features, pairs, least)
     cells = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]
     rows = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("x is not null and y is not null")
     by = ("feature_a", "feature_b")
     if method == "spearman":
         return information(rows, by, "x", "y", least).select(*by, F.col("ic").alias("corr"), "n_obs")
-    if method != "pearson":
-        raise ValueError(f"unknown method {method!r}")
-    out = rows.groupBy(*by).agg(F.corr("x", "y").alias("_c"), F.count(F.lit(1)).alias("n_obs"))
-    return out.select(*by, F.when((F.col("n_obs") >= least) & ~F.isnan("_c"), F.col("_c")).alias("corr"), "n_obs")
+    raise ValueError(f"unknown method {method!r}")
+
+
+def _pearson(df: DataFrame, features: Sequence[str], pairs: Sequence[tuple[str, str]], least: int) -> DataFrame:
+    """`correlations` from sums over the rows where both are there: n, x, y, xx, yy and xy, for all pairs by products of
+    whole matrices. Values are taken from the features' means, so that the sums keep their digits."""
+    k = len(features)
+    means = df.agg(*[F.avg(F.col(f).cast("double")) for f in features]).first()
+    centre = np.array([0.0 if m is None or m != m else m for m in means])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns]) - centre
+            there = ~np.isnan(x)
+            x, own = np.where(there, x, 0.0), there.astype(float)
+            total += np.stack((own.T @ own, x.T @ own, (x * x).T @ own, x.T @ x))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel(), pa.float64())], ["i", "v"])
+
+    cells = df.select(*[F.col(f).cast("double") for f in features]).mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    named = df.sparkSession.createDataFrame(
+        [(a, b, c, (m * k + i) * k + j) for a, b in pairs for i, j in [(features.index(a), features.index(b))] for c, m, i, j in (("n", 0, i, j), ("x", 1, i, j), ("y", 1, j, i), ("xx", 2, i, j), ("yy", 2, j, i), ("xy", 3, i, j))],
+        "feature_a string, feature_b string, c string, i int",
+    )
+    wide = named.join(cells, "i").groupBy("feature_a", "feature_b").pivot("c", ["n", "x", "y", "xx", "yy", "xy"]).agg(F.first("v"))
+    c = F.col
+    corr = F.try_divide(c("n") * c("xy") - c("x") * c("y"), F.sqrt((c("n") * c("xx") - c("x") * c("x")) * (c("n") * c("yy") - c("y") * c("y"))))
+    return wide.select("feature_a", "feature_b", F.when((c("n") >= least) & ~F.isnan(corr), corr).alias("corr"), c("n").cast("bigint").alias("n_obs"))
 
 
 def redundant(matrix: DataFrame, threshold: float = 0.7) -> DataFrame:

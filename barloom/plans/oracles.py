@@ -436,3 +436,9 @@ select {", ".join(_KEYS)}, name, count(*) as n_obs, round(avg(net) / nullif(stdd
 SQL["feature_catalog"] = """select * from (values ('hp_trend_level', 'Trend', false), ('hp_trend_slope', 'Trend', true), ('hp_trend_curvature', 'Trend', true), ('ma_spread_on_trend', 'Trend', null), ('ma_crossover_signal', 'Trend', null),
   ('ma_crossover_age', 'Trend', false), ('trend_deviation_from_ma', 'Mean Reversion', null), ('distance_from_ma_20_raw', 'Mean Reversion', true), ('ma_spread_raw_5020', 'Trend', null), ('lambda_sensitivity_score', 'Diagnostic', true),
   ('vol_regime', 'Diagnostic', true)) t(name, category, expected_stationary)"""
+
+_WALKED = """wb as (select symbol, feature, (row_number() over (partition by symbol, feature order by ts) - 1) // 120 as block, x, y from u where close is not null),
+wk as (select *, rank() over (partition by symbol, feature, block order by x) + (count(*) over (partition by symbol, feature, block, x) - 1) / 2.0 as rx, rank() over (partition by symbol, feature, block order by y) + (count(*) over (partition by symbol, feature, block, y) - 1) / 2.0 as ry from wb where x is not null and y is not null),
+wi as (select symbol, feature, block, corr(rx, ry) as ic from wk group by 1, 2, 3 having count(*) >= 30), wm as (select feature, avg(ic) as m from wi group by 1)"""
+SQL["stability_features"] = f"""{FEATURES}, u as ({_F4}), {_WALKED} select wi.feature, count(*) as n_periods, round(avg(ic), 6) as mean_ic, round(stddev_samp(ic), 6) as std_ic, round(avg(case when m = 0 then 0.5 else (sign(ic) = sign(m))::int end), 6) as sign_consistency,
+  avg(case when m = 0 then 0.5 else (sign(ic) = sign(m))::int end) >= 0.7 as is_stable from wi join wm on wm.feature = wi.feature group by 1"""

@@ -604,6 +604,14 @@ def univariate(spark, d):
     return shown(found, *[c for c in found.columns if c != "feature"], keys=("feature",))
 
 
+@query()
+def stability_features(spark, d):
+    """How steady the sign of every feature's ic is over blocks of 120 rows of each series."""
+    long = stats.long(_features(spark, d), _FEATURES, ("symbol", "ts", "close"))
+    s = stats.stability(stats.walk_forward(long, "value", 4, 120, ("symbol", "feature")), ("feature",))
+    return shown(s, "n_periods", "mean_ic", "std_ic", "sign_consistency", "is_stable", keys=("feature",))
+
+
 @query()
 def feature_selection(spark, d):
     f = written(_features(spark, d), "features")

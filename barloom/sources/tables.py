@@ -8,6 +8,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,15 +63,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as a parquet table in the shared folder and read back, so that its lineage ends there.
 
     The plan above is not computed twice, and a lost executor costs a read, not the stages before. The table is
-    deleted when the Python process ends.
+    deleted at the end of the `scratch` around the call, or else when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/barloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    if _scratches:
+        _scratches[-1].append(path)
+    else:
+        atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scratches: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are `written` inside are deleted at its end: results must be read or saved before."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         if spark.sparkContext._jsc is not None:

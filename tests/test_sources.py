@@ -146,3 +146,11 @@ def test_catalogue_and_configuration(spark, tmp_path):
     assert config.setting(config.read_config(path), "execution.slippage_bps") == 0.2 and config.setting({}, "a.b", 7) == 7
     assert config.environment(spark).first().pyspark
     assert os.path.exists(path)
+
+
+def test_scratch_tables_go_with_their_scratch(spark):
+    with tables.scratch(spark):
+        kept = tables.written(spark.range(3), "scratch")
+        path = kept.inputFiles()[0]
+        assert kept.count() == 3 and src.exists(spark, path)
+    assert not src.exists(spark, path)

@@ -222,3 +222,24 @@ def test_ranks_of_hot_and_few_values(spark):
         own = pd.Series({i: v for i, v in enumerate(x) if ("g" if i % 3 else None) == g}, dtype=float)
         got = {row.i: row.r for row in out.where(F.col("g").eqNullSafe(F.lit(g))).collect()}
         assert all((got[i] is None) if w != w else got[i] == w for i, w in own.rank().items())
+
+
+def test_pearson_by_matrices_equals_each_pair(spark):
+    r = np.random.default_rng(11)
+    x = pd.DataFrame(r.normal(1e6, 1.0, (200, 4)), columns=list("abcd"))
+    x.loc[r.random(200) < 0.2, "b"] = np.nan
+    x.loc[:180, "c"] = np.nan
+    x["e"], x["f"] = 3.0, np.nan
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in row) for row in x.itertuples(index=False)], ", ".join(f"{c} double" for c in x))
+    got = {(row.feature_a, row.feature_b): row for row in stats.correlations(df, list(x), "pearson").collect()}
+    assert len(got) == 15
+    for (a, b), row in got.items():
+        both = x[[a, b]].dropna()
+        want = both[a].corr(both[b]) if len(both) >= 30 else None
+        assert row.n_obs == len(both) and (row.corr is None if want is None or want != want else math.isclose(row.corr, want, abs_tol=1e-8))
+
+
+def test_univariate_gate_and_peak(spark):
+    df = spark.createDataFrame([("a", 1, 0.01, True), ("a", 4, -0.5, False), ("b", 1, 0.3, False), ("b", 4, -0.3, False), ("c", 1, None, None)], "feature string, horizon int, ic double, significant boolean")
+    assert {r.feature: (r.passed, r.peak_horizon) for r in stats.gate(df, ["feature"]).collect()} == {"a": (False, 4), "b": (False, 1), "c": (False, 1)}
+    assert {r.feature: r.peak_horizon for r in stats.decay_peak(df, ["feature"], prefer_significant=True).collect()} == {"a": 1, "b": 1, "c": 1}
