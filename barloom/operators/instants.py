@@ -53,18 +53,29 @@ def candidates(stamps: DataFrame, source: str, order: str, both: bool = False) -
 
 def _step(costs: list[float], f0, t0, f1, t1) -> tuple[list[float], list[int]]:
     """Least costs of each next interpretation, and the place of the one before; ties take the first."""
+    if len(f0) == 1 == len(f1):
+        return [costs[0] + (SWITCH if f0[0] != f1[0] else 0) + (BACK if t0[0] > t1[0] else 0)], [0]
     out, back = [], []
     for f, t in zip(f1, t1):
-        best = min(range(len(costs)), key=lambda i: costs[i] + (SWITCH if f0[i] != f else 0) + (BACK if t0[i] > t else 0))
-        back.append(best)
-        out.append(costs[best] + (SWITCH if f0[best] != f else 0) + (BACK if t0[best] > t else 0))
+        best, at = float("inf"), 0
+        for i, (cost, g, u) in enumerate(zip(costs, f0, t0)):
+            cost += (SWITCH if g != f else 0) + (BACK if u > t else 0)
+            if cost < best:
+                best, at = cost, i
+        out.append(best)
+        back.append(at)
     return out, back
 
 
+def _lists(pdf: pd.DataFrame) -> tuple[list[list[str]], list[list[int]]]:
+    """Forms and instants of the records in order, as plain lists."""
+    pdf = pdf.sort_values("id")
+    return [f.tolist() for f in pdf["forms"]], [t.tolist() for t in pdf["instants"]]
+
+
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     """One row: the first and last record's interpretations and the least costs between them."""
-    pdf = pdf.sort_values("id")
-    forms, times = pdf["forms"].tolist(), pdf["instants"].tolist()
+    forms, times = _lists(pdf)
     matrix = []
     for i in range(len(forms[0])):
         costs = [0.0 if k == i else float("inf") for k in range(len(forms[0]))]
@@ -104,7 +115,7 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
 def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
     """The choice of each record of a block, between given first and last choices."""
     pdf = pdf.sort_values("id")
-    forms, times = pdf["forms"].tolist(), pdf["instants"].tolist()
+    forms, times = _lists(pdf)
     first, last = int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0])
     costs, backs = [0.0 if k == first else float("inf") for k in range(len(forms[0]))], []
     for k in range(1, len(forms)):
