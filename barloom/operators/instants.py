@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,35 +67,27 @@ def _step(costs: list[float], f0, t0, f1, t1) -> tuple[list[float], list[int]]:
     return out, back
 
 
-def _lists(pdf: pd.DataFrame) -> tuple[list[list[str]], list[list[int]]]:
-    """Forms and instants of the records in order, as plain lists."""
-    pdf = pdf.sort_values("id")
-    return [f.tolist() for f in pdf["forms"]], [t.tolist() for t in pdf["instants"]]
+def _sorted(group: pa.Table, by: str) -> pa.Table:
+    return group.take(pc.sort_indices(group[by]))
 
 
-def _block(pdf: pd.DataFrame) -> pd.DataFrame:
+def _block(group: pa.Table) -> pa.Table:
     """One row: the first and last record's interpretations and the least costs between them."""
-    forms, times = _lists(pdf)
+    group = _sorted(group, "id")
+    forms, times = group["forms"].to_pylist(), group["instants"].to_pylist()
     matrix = []
     for i in range(len(forms[0])):
         costs = [0.0 if k == i else float("inf") for k in range(len(forms[0]))]
         for k in range(1, len(forms)):
             costs, _ = _step(costs, forms[k - 1], times[k - 1], forms[k], times[k])
         matrix += costs
-    return pd.DataFrame({
-        "source": [pdf["source"].iloc[0]],
-        "block": [pdf["block"].iloc[0]],
-        "f0": [list(forms[0])],
-        "t0": [list(times[0])],
-        "f1": [list(forms[-1])],
-        "t1": [list(times[-1])],
-        "cost": [matrix],
-    })
-
-
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    row = (group["source"][0].as_py(), group["block"][0].as_py(), forms[0], times[0], forms[-1], times[-1], matrix)
+    return pa.table([pa.array([v], k) for v, k in zip(row, _BLOCK.types)], schema=_BLOCK)
+
+
+def _chain(group: pa.Table) -> pa.Table:
     """The places of each block's first and last choice on the source's best path."""
-    rows = pdf.sort_values("block").to_dict("records")
+    rows = _sorted(group, "block").to_pylist()
     backs, costs = [], []
     for k, r in enumerate(rows):
         n0, n1 = len(r["f0"]), len(r["f1"])
@@ -109,14 +101,14 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
         first = inside[last]
         out.append((r["source"], r["block"], first, last))
         last = back0[first] if back0 is not None else 0
-    return pd.DataFrame(out, columns=["source", "block", "first", "last"])
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out), _CHAIN.types)], schema=_CHAIN)
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+def _walk(group: pa.Table) -> pa.Table:
     """The choice of each record of a block, between given first and last choices."""
-    pdf = pdf.sort_values("id")
-    forms, times = _lists(pdf)
-    first, last = int(pdf["first"].iloc[0]), int(pdf["last"].iloc[0])
+    group = _sorted(group, "id")
+    forms, times = group["forms"].to_pylist(), group["instants"].to_pylist()
+    first, last = group["first"][0].as_py(), group["last"][0].as_py()
     costs, backs = [0.0 if k == first else float("inf") for k in range(len(forms[0]))], []
     for k in range(1, len(forms)):
         costs, back = _step(costs, forms[k - 1], times[k - 1], forms[k], times[k])
@@ -125,7 +117,14 @@ def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
     for back in reversed(backs):
         places.append(back[places[-1]])
     places.reverse()
-    return pd.DataFrame({"id": pdf["id"].to_numpy(), "utc_us": [int(t[p]) for t, p in zip(times, places)], "form": [f[p] for f, p in zip(forms, places)]})
+    columns = (group["id"].combine_chunks(), pa.array([t[p] for t, p in zip(times, places)], pa.int64()), pa.array([f[p] for f, p in zip(forms, places)], pa.string()))
+    return pa.table(list(columns), schema=_WALK)
+
+
+_TEXTS, _TIMES = pa.list_(pa.string()), pa.list_(pa.int64())
+_BLOCK = pa.schema([("source", pa.string()), ("block", pa.int64()), ("f0", _TEXTS), ("t0", _TIMES), ("f1", _TEXTS), ("t1", _TIMES), ("cost", pa.list_(pa.float64()))])
+_CHAIN = pa.schema([("source", pa.string()), ("block", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+_WALK = pa.schema([("id", pa.int64()), ("utc_us", pa.int64()), ("form", pa.string())])
 
 
 def normalised(stamps: DataFrame, source: str, order: str, both: bool = False, block_rows: int = 4096) -> DataFrame:
@@ -144,9 +143,9 @@ def normalised(stamps: DataFrame, source: str, order: str, both: bool = False, b
     near = F.expr("open or coalesce(lag(open) over (partition by source order by block), false) or coalesce(lead(open) over (partition by source order by block), false)")
     state = one.withColumn("near", near)
     on_path = found.join(state.where("near").select(*named), same, "left_semi")
-    ends = on_path.groupBy("source", "block").applyInPandas(_block, "source string, block long, f0 array<string>, t0 array<long>, f1 array<string>, t1 array<long>, cost array<double>")
-    chosen = ends.groupBy("source").applyInPandas(_chain, "source string, block long, first long, last long")
+    ends = on_path.groupBy("source", "block").applyInArrow(_block, "source string, block long, f0 array<string>, t0 array<long>, f1 array<string>, t1 array<long>, cost array<double>")
+    chosen = ends.groupBy("source").applyInArrow(_chain, "source string, block long, first long, last long")
     chosen = chosen.select(*named, "first", "last")
-    walked = on_path.join(chosen, same).select("id", "source", "block", "forms", "instants", "first", "last").groupBy("source", "block").applyInPandas(_walk, "id long, utc_us long, form string")
+    walked = on_path.join(chosen, same).select("id", "source", "block", "forms", "instants", "first", "last").groupBy("source", "block").applyInArrow(_walk, "id long, utc_us long, form string")
     alone = found.join(state.where("near").select(*named), same, "left_anti").select("id", F.col("instants")[0].alias("utc_us"), F.col("forms")[0].alias("form"))
     return alone.unionByName(walked)
