@@ -1117,9 +1117,10 @@ def trend_grid(trends: DataFrame, config: Pipeline) -> DataFrame:
     gap = mean("t1", config.fast) - mean("t2", config.slow)
     by = ("symbol", "lam", "t1", "t2")
     signal = F.when(gap > 0, 1.0).when(gap.isNotNull(), -1.0)
-    run = bt.backtest(bt.crossed(s.df, pairs).select(*by, "ts", "close", signal.alias("signal")), "signal", config.cost, by)
+    signalled = bt.crossed(s.df, pairs).select(*by, "ts", "close", signal.alias("signal"))
     n_trials = len(config.lambdas) * len(config.fast) * len(config.slow)
-    enough = run.groupBy(*by).agg(F.count("signal").alias("n_signals")).where("n_signals >= 100")
+    enough = signalled.groupBy(*by).agg(F.count("signal").alias("n_signals")).where("n_signals >= 100")
+    run = bt.backtest(signalled, "signal", config.cost, by)
     return bt.metrics(run, by, by, n_trials=n_trials).join(enough, list(by))
 
 
